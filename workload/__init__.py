@@ -1,8 +1,8 @@
 """The engine's operators as queries over the given tables."""
 
 from workload.registry import CHECKS, QUERIES  # noqa: I001
-from workload import files_queries
+from workload import files_queries, bundle_queries
 
-flagship = files_queries.manifest
+flagship = bundle_queries.flagship
 
 __all__ = ["CHECKS", "QUERIES", "flagship"]

@@ -51,7 +51,7 @@ PAGE_PATH = (
 # -- conversations as bundles. k varies headers, metadata and bodies.
 _K = "(conv_id * 7 + turn * 3)"
 TURN_PATH = (
-    f"CASE WHEN {_K} % 11 = 0 THEN './' WHEN {_K} % 5 = 1 THEN role || '/last.md' "
+    f"CASE WHEN {_K} % 11 = 0 THEN './' WHEN {_K} % 5 = 1 THEN 'notes/last.md' "
     f"WHEN {_K} % 5 = 2 THEN role || {BACKSLASH} || 'turn_' || CAST(turn AS STRING) || '.py' "
     f"ELSE role || '/turn_' || CAST(turn AS STRING) || '.md' END"
 )
