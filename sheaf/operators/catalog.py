@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators.once import once
+
 # Nodes that add one decision each.
 _BRANCHES = (
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.AsyncWith,
@@ -98,22 +100,37 @@ def flatten(text: str) -> list[dict]:
     return rows
 
 
+_NODES_PER_BATCH = 20_000
+
+
+def _node_batch(paths: list, errors: list, trees: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(paths, pa.string()), pa.array(errors, pa.string()),
+         pa.array(trees, pa.list_(_ARROW_NODE))],
+        ["file", "error", "nodes"],
+    )
+
+
 def source_nodes(files: DataFrame) -> DataFrame:
     """``file, error, nodes``: one row per file ``(path, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            paths, errors, trees, held = [], [], [], 0
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
                 nodes, error = [], None
                 try:
                     nodes = flatten(text)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path], pa.string()), pa.array([error], pa.string()),
-                     pa.array([nodes], pa.list_(_ARROW_NODE))],
-                    ["file", "error", "nodes"],
-                )
+                paths.append(path)
+                errors.append(error)
+                trees.append(nodes)
+                held += len(nodes)
+                if held > _NODES_PER_BATCH:
+                    yield _node_batch(paths, errors, trees)
+                    paths, errors, trees, held = [], [], [], 0
+            yield _node_batch(paths, errors, trees)
 
     return files.select("path", "text").mapInArrow(
         run, f"file string, error string, nodes array<{_NODE}>"
@@ -146,7 +163,8 @@ def _enclosing(n: Column) -> Column:
 def build_catalog(files: DataFrame, with_commands: bool = True,
                   with_metrics: bool = True) -> DataFrame:
     """``files(path, text)`` to catalog rows. A file that does not parse becomes an error row."""
-    nodes = source_nodes(files)
+    placed = _placed(F.col("nodes")) if with_commands else F.lit(None)
+    nodes = once(source_nodes(files), "file", "error", "nodes", placed.alias("__placed"))
 
     def of(*kinds):
         return F.filter("nodes", lambda n: n["kind"].isin(*kinds))
@@ -179,11 +197,11 @@ def build_catalog(files: DataFrame, with_commands: bool = True,
             F.col("file").alias("file"), p["n"]["comment"].alias("comment"),
             p["pos_index"].alias("pos_index"),
         ))
-        nodes = nodes.withColumn("__placed", _placed(F.col("nodes")))
     failed = F.col("error").isNotNull()
     metrics = F.when(~failed, F.struct(F.struct(
-        F.size("nodes").alias("statement_count"), F.size(functions).alias("function_count"),
-        F.size(classes).alias("class_count"),
+        F.size("nodes").alias("statement_count"),
+        F.size(of("FunctionDef", "AsyncFunctionDef")).alias("function_count"),
+        F.size(of("ClassDef")).alias("class_count"),
     ).alias("file")))
     return nodes.select(
         F.translate("file", "\\", "/").alias("file"), F.lit("python").alias("language"), "error",

@@ -159,9 +159,8 @@ def moved(o: DataFrame, n: DataFrame) -> DataFrame:
 
     One signature may make up much of a file. The first occurrences come from a combined minimum,
     one row per signature, and are spread over a few salts so that the old rows of a common
-    signature go to several tasks. Joins use a digest of the signature instead of its text.
+    signature go to several tasks.
     """
-    sig = F.xxhash64(*SIGNATURE).alias("__h")
     firsts = (
         n.groupBy(*PAIR, *SIGNATURE)
         .agg(F.min(F.struct("seq", "line", "pos_index")).alias("first"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.operators.once import once
 from sheaf.profiles import Profile, ProfileRegistry, default_registry
 from sheaf.profiles.base import entry_problem
 
@@ -108,15 +109,6 @@ def duplicate_message(paths: Column) -> Column:
     return F.concat(F.lit("Duplicate file paths found: {"), quoted, F.lit("}"))
 
 
-def _once(df: DataFrame, *cols: Column | str) -> DataFrame:
-    """Select whose expressions are evaluated once per row.
-
-    A plain projection is merged into whatever refers to it, filters included, which would repeat
-    the text scans many times over. A generator is not merged.
-    """
-    return df.select(F.inline(F.array(F.struct(*cols))))
-
-
 def read_bundles(bundles: DataFrame, profile: str | None = None, auto_detect: bool = True,
                  registry: ProfileRegistry | None = None, with_content: bool = True) -> DataFrame:
     """One row per bundle: ``bundle_id, profile, entries array<struct>, problem``.
@@ -135,8 +127,8 @@ def read_bundles(bundles: DataFrame, profile: str | None = None, auto_detect: bo
         raise ValueError("Must specify profile_name or enable auto_detect")
 
     pick = _chooser(profiles, name)
-    raw = _once(
-        _once(named, "bundle_id", "profile", "text"), "bundle_id", "profile",
+    raw = once(
+        once(named, "bundle_id", "profile", "text"), "bundle_id", "profile",
         _structs(pick(lambda p: p.split(F.col("text"))), pick, with_content).alias("raw"),
     )
 
@@ -148,7 +140,7 @@ def read_bundles(bundles: DataFrame, profile: str | None = None, auto_detect: bo
             return F.lit(None).cast("array<string>")
         return _repeated_paths(F.col("raw"))
 
-    settled = _once(
+    settled = once(
         raw, "bundle_id", "profile",
         pick(settle).alias("entries"),
         F.try_element_at(
@@ -174,7 +166,7 @@ def read_bundles(bundles: DataFrame, profile: str | None = None, auto_detect: bo
             F.concat(F.lit("Unexpected error: "), duplicate_message(F.col("clash"))),
         )
     )
-    return _once(settled, "bundle_id", "profile", "entries", problem.alias("problem"))
+    return once(settled, "bundle_id", "profile", "entries", problem.alias("problem"))
 
 
 def _as_entries(df: DataFrame, *extra: str) -> DataFrame:
