@@ -16,15 +16,17 @@ SPACES = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The same set, and its parts, as the inside of a Java character class.
+# The same set, and its parts, as the inside of a Java character class. Single Latin-1 characters
+# share one lookup table there, ranges do not, so the parts that meet every character of a text
+# are spelled out.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LINE_END = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
+LINE_END = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028-\u2029"
 INLINE_WS = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 WS_NOT_LF = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
 
 # Zero-width start of a line, and the end of one (terminator included, or end of text).
-LINE_START = r"(?:\A|(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n))"
+LINE_START = rf"(?:\A|(?<=[{LINE_END}]))(?!(?<=\r)\n)"
 EOL = rf"(?:\r\n|[{LINE_END}])"
 EOL_OR_END = rf"(?:\r\n|[{LINE_END}]|\z)"
 ANY_LINE = rf"[^{LINE_END}]*+"

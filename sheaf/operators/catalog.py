@@ -1,7 +1,7 @@
 """Catalog of Python sources.
 
-Python is needed for one thing, the syntax tree. The task turns each file into flat node rows in
-pre-order; scopes, sections, metrics and positions are then worked out on those rows by Spark.
+Python is needed for one thing, the syntax tree. The task turns each file into flat statement rows in
+pre-order; scopes, sections, metrics and summaries are then worked out on those rows by Spark.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.operators.once import once
+from sheaf.session import deal_out
+
 
 # Nodes that add one decision each.
 _BRANCHES = (
@@ -27,14 +28,14 @@ _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _NODE = (
     "struct<kind:string,line:int,col:int,text:string,comment:string,name:string,doc:string,"
     "names:array<struct<name:string,alias:string>>,scopes:array<struct<kind:string,name:string>>,"
-    "branches:int,statements:int>"
+    "branches:int,statements:int,pos_index:int>"
 )
 _ARROW_NODE = pa.struct([
     ("kind", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("text", pa.string()),
     ("comment", pa.string()), ("name", pa.string()), ("doc", pa.string()),
     ("names", pa.list_(pa.struct([("name", pa.string()), ("alias", pa.string())]))),
     ("scopes", pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string())]))),
-    ("branches", pa.int32()), ("statements", pa.int32()),
+    ("branches", pa.int32()), ("statements", pa.int32()), ("pos_index", pa.int32()),
 ])
 
 
@@ -69,7 +70,8 @@ def _names(node: ast.stmt) -> list[dict]:
 
 
 def flatten(text: str) -> list[dict]:
-    """Statements of a source in pre-order, each with the totals of its own subtree."""
+    """Statements of a source in pre-order, each with the totals of its own subtree and its place
+    on the line, counted by column."""
     comments, rows = _comments(text), []
 
     def visit(node: ast.AST, scopes: list[dict]) -> tuple[int, int]:
@@ -97,6 +99,9 @@ def flatten(text: str) -> list[dict]:
         return branches, statements
 
     visit(ast.parse(text), [])
+    seen: dict[int, int] = {}
+    for row in sorted(rows, key=lambda r: r["col"]):
+        row["pos_index"] = seen[row["line"]] = seen.get(row["line"], 0) + 1
     return rows
 
 
@@ -112,7 +117,10 @@ def _node_batch(paths: list, errors: list, trees: list) -> pa.RecordBatch:
 
 
 def source_nodes(files: DataFrame) -> DataFrame:
-    """``file, error, nodes``: one row per file ``(path, text)``."""
+    """``file, error, nodes``: one row per file ``(path, text)``.
+
+    Building trees costs far more than moving texts, so the files are dealt out evenly first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +140,7 @@ def source_nodes(files: DataFrame) -> DataFrame:
                     paths, errors, trees, held = [], [], [], 0
             yield _node_batch(paths, errors, trees)
 
-    return files.select("path", "text").mapInArrow(
+    return deal_out(files.select("path", "text"), "path").mapInArrow(
         run, f"file string, error string, nodes array<{_NODE}>"
     )
 
@@ -163,8 +171,7 @@ def _enclosing(n: Column) -> Column:
 def build_catalog(files: DataFrame, with_commands: bool = True,
                   with_metrics: bool = True) -> DataFrame:
     """``files(path, text)`` to catalog rows. A file that does not parse becomes an error row."""
-    placed = _placed(F.col("nodes")) if with_commands else F.lit(None)
-    nodes = once(source_nodes(files), "file", "error", "nodes", placed.alias("__placed"))
+    nodes = source_nodes(files)
 
     def of(*kinds):
         return F.filter("nodes", lambda n: n["kind"].isin(*kinds))
@@ -191,11 +198,11 @@ def build_catalog(files: DataFrame, with_commands: bool = True,
     ))
     commands = F.array().cast("array<" + _COMMAND_TYPE + ">")
     if with_commands:
-        commands = F.transform("__placed", lambda p: F.struct(
-            scope_label(p["n"]["scopes"]).alias("scope"), p["n"]["kind"].alias("kind"),
-            p["n"]["text"].alias("text"), p["n"]["line"].alias("line"), p["n"]["col"].alias("col"),
-            F.col("file").alias("file"), p["n"]["comment"].alias("comment"),
-            p["pos_index"].alias("pos_index"),
+        commands = F.transform("nodes", lambda n: F.struct(
+            scope_label(n["scopes"]).alias("scope"), n["kind"].alias("kind"),
+            n["text"].alias("text"), n["line"].alias("line"), n["col"].alias("col"),
+            F.translate("file", "\\", "/").alias("file"), n["comment"].alias("comment"),
+            n["pos_index"].alias("pos_index"),
         ))
     failed = F.col("error").isNotNull()
     metrics = F.when(~failed, F.struct(F.struct(
@@ -217,35 +224,6 @@ _COMMAND_TYPE = (
 )
 
 
-def _placed(nodes: Column) -> Column:
-    """Statements in file order with ``pos_index``, the place on their line by column.
-
-    Sorted by line, column and emission, a statement's place is its index minus the index at which
-    its line starts; the starts are carried along while folding over the sorted statements.
-    """
-    keyed = F.array_sort(F.transform(nodes, lambda n, i: F.struct(
-        n["line"].alias("line"), n["col"].alias("col"), i.alias("seq")
-    )))
-    line_starts = F.array_sort(F.filter(
-        F.zip_with(
-            F.transform(keyed, lambda k, i: F.struct(k["line"].alias("line"), i.alias("i"))),
-            F.concat(F.array(F.lit(None).cast("int")), F.transform(keyed, lambda k: k["line"])),
-            lambda a, before: F.when(
-                a.isNotNull() & (before.isNull() | (a["line"] != before)), a
-            ),
-        ),
-        lambda s: s.isNotNull(),
-    ))
-    start_of = F.map_from_entries(line_starts)
-    ranked = F.transform(keyed, lambda k, i: F.struct(
-        k["seq"].alias("seq"), (i - F.element_at(start_of, k["line"]) + 1).alias("pos_index")
-    ))
-    in_file_order = F.array_sort(ranked)
-    return F.zip_with(nodes, in_file_order, lambda n, r: F.struct(
-        n.alias("n"), r["pos_index"].alias("pos_index")
-    ))
-
-
 def complexity_summary(catalog: DataFrame) -> DataFrame:
     """Per file: functions, mean and largest complexity."""
     return (

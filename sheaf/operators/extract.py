@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import content as C
 from sheaf.functions.paths import path_problem, resolve
 from sheaf.operators.manifest import guard
+from sheaf.session import checkpoint
 
 POLICIES = ("prompt", "skip", "overwrite", "rename")
 
@@ -47,10 +48,11 @@ def _claims(targets: DataFrame, existing: DataFrame) -> DataFrame:
     earlier entry. An entry whose content is ``broken`` never holds a place itself.
 
     The earliest sound entry of a target is found by a combined minimum and joined back on the
-    unique entry key, so many entries on one target make no hot key.
+    unique entry key, so many entries on one target make no hot key. The light rows are
+    checkpointed: several joins read them, and each would otherwise go through all contents again.
     """
-    light = targets.filter(F.col("error").isNull()).select(
-        "bundle_id", "entry_idx", "target", "broken"
+    light = checkpoint(
+        targets.filter(F.col("error").isNull()).select("bundle_id", "entry_idx", "target", "broken")
     )
     sound = light.filter(~F.col("broken"))
     firsts = sound.groupBy("bundle_id", "target").agg(F.min("entry_idx").alias("entry_idx"))
@@ -106,7 +108,7 @@ def rename_targets(claims: DataFrame, existing: DataFrame) -> DataFrame:
     for which no such neighbour exists get their numbers natively: the j-th latecomer takes N = j.
     Only the tangled families are replayed in order, on rows without content.
     """
-    claims = claims.select("bundle_id", "entry_idx", "target", "taken")
+    claims = checkpoint(claims.select("bundle_id", "entry_idx", "target", "taken"))
     contested = claims.filter("taken").select("bundle_id", "target").distinct()
     names = claims.select("bundle_id", "target").union(existing.select("bundle_id", "target"))
     links = (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.plans.parsing import _chooser, parse_bundles
-from sheaf.profiles import ProfileRegistry, default_registry
+from sheaf.profiles import Profile, ProfileRegistry, default_registry
 
 MAX_TEXT_BYTES = 256 * 1024 * 1024
 _USED = ("path", "content", "encoding", "is_binary", "eol_style")
@@ -28,11 +28,14 @@ def format_blocks(entries: DataFrame, profile: str | None = None,
         pick = _chooser(registry.all(), F.col("profile"))
 
     cols = {c: F.col(c) for c in _USED}
+
+    def prepared(p: Profile) -> Column:
+        entry = p.prepare(cols)
+        return F.struct(p.problem(entry).alias("problem"), *[entry[c].alias(c) for c in _USED])
+
     ready = entries.select(
-        "bundle_id", "profile", "entry_idx",
-        pick(lambda p: p.problem(p.prepare(cols))).alias("problem"),
-        *[pick(lambda p, c=c: p.prepare(cols)[c]).alias(c) for c in _USED],
-    )
+        "bundle_id", "profile", "entry_idx", pick(prepared).alias("e")
+    ).select("bundle_id", "profile", "entry_idx", "e.*")
     block = pick(lambda p: p.block(cols))
     failed = F.col("problem").isNotNull()
     if on_problem == "fail":

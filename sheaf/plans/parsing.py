@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions.content import verify_checksum
+from sheaf.functions.text import last_field
 from sheaf.operators.once import once
 from sheaf.profiles import Profile, ProfileRegistry, default_registry
 from sheaf.profiles.base import entry_problem
@@ -43,11 +45,9 @@ def _structs(pieces: Column, pick, with_content: bool) -> Column:
         )
 
     def fielded(s):
-        keys = pick(lambda p: p.fields(s["meta"])[0])
-        values = pick(lambda p: p.fields(s["meta"])[1])
         return F.struct(
             s["path"].alias("path"), s["body"].alias("body"),
-            keys.alias("keys"), values.alias("values"),
+            pick(lambda p: _field_arrays(p, s["meta"])).alias("fields"),
         )
 
     usable = F.filter(
@@ -56,16 +56,20 @@ def _structs(pieces: Column, pick, with_content: bool) -> Column:
     return F.transform(F.transform(usable, fielded), lambda s: _finished(s, pick))
 
 
-def _finished(s: Column, pick) -> Column:
-    from sheaf.functions.text import last_field
+def _field_arrays(p: Profile, meta: Column) -> Column:
+    keys, values = p.fields(meta)
+    return F.struct(keys.alias("keys"), values.alias("values"))
+
 
+def _finished(s: Column, pick) -> Column:
     def get(key):
-        return last_field(s["keys"], s["values"], key)
+        return last_field(s["fields"]["keys"], s["fields"]["values"], key)
 
-    def field(name):
-        return pick(lambda p: p.finish(s["path"], s["body"], get)[name])
+    def one(p: Profile) -> Column:
+        done = p.finish(s["path"], s["body"], get)
+        return F.struct(*[done[n].alias(n) for n in _ENTRY_FIELDS])
 
-    return F.struct(*[field(n).alias(n) for n in _ENTRY_FIELDS])
+    return pick(one)
 
 
 def _repeats(entries: Column) -> Column:
@@ -243,9 +247,7 @@ def parse_blocks(blocks: DataFrame, registry: ProfileRegistry | None = None) ->
     fielded = located.select(
         "bundle_id", "profile", "entry_idx",
         F.struct(
-            "path", "body",
-            pick(lambda p: p.fields(F.col("meta"))[0]).alias("keys"),
-            pick(lambda p: p.fields(F.col("meta"))[1]).alias("values"),
+            "path", "body", pick(lambda p: _field_arrays(p, F.col("meta"))).alias("fields")
         ).alias("s"),
     )
     entries = fielded.select(
@@ -316,8 +318,6 @@ def validate_bundles(bundles: DataFrame, profile: str | None = None,
 
 
 def failed_checksums(entries: DataFrame, checksums: DataFrame) -> DataFrame:
-    from sheaf.functions.content import verify_checksum
-
     expected = checksums.select("bundle_id", "path", F.col("checksum").alias("expected"))
     return (
         entries.join(expected, ["bundle_id", "path"])

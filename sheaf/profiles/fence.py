@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.content import EOL_STYLES
 from sheaf.functions.text import (
     ANY_LINE,
+    EOL,
     EOL_OR_END,
     INLINE_WS,
     LINE_END,
@@ -31,9 +32,11 @@ LANGUAGES = {
 
 _S = f"[{INLINE_WS}]*"
 _HEADER = rf"{_S}<!--{_S}(?iu:FILE:)([^;{LINE_END}]+);([^{LINE_END}]+)-->{_S}{EOL_OR_END}"
-_SPLIT = rf"(?={_HEADER}){LINE_START}"
-_CLOSE = rf"{LINE_START}{_S}```{_S}{EOL_OR_END}"
-_FENCED = rf"{LINE_START}{_S}```[{WORD}]*{_S}{EOL_OR_END}([\s\S]*?)(?:{_CLOSE}|\z)"
+_SPLIT = rf"{LINE_START}(?={_HEADER})"
+_BARE = rf"{_S}```{_S}{EOL_OR_END}"
+# Whole lines up to a bare fence. Possessive, so that long contents need no stack.
+_INSIDE = rf"((?:(?!{_BARE}){ANY_LINE}{EOL})*+(?:(?!{_BARE})[^{LINE_END}]++)?)"
+_FENCED = rf"{LINE_START}{_S}```[{WORD}]*{_S}{EOL_OR_END}{_INSIDE}(?:{_BARE})?"
 
 # Detection splits at line feeds only, so other terminators count as blanks there.
 _B = f"[{WS_NOT_LF}]*"
@@ -115,7 +118,7 @@ class FenceProfile(Profile):
         )
 
     def lossy(self, content: Column) -> Column:
-        return F.rlike(content, F.lit(rf"{_CLOSE}|{LINE_START}{_HEADER}"))
+        return F.rlike(content, F.lit(rf"{LINE_START}(?:{_BARE}|{_HEADER})"))
 
 
 def language_hint(path: Column) -> Column:

@@ -28,7 +28,7 @@ _FILE = rf"{_S}#{_S}(?iu:FILE){_S}:"
 _META = rf"{_S}#{_S}(?iu:META){_S}:"
 _RULE_LINE = rf"{_S}#{_S}={{10,}}{_S}{EOL_OR_END}"
 # The character after the colon may be the line's own terminator, unless that is a line feed.
-_SPLIT = rf"(?={_FILE}[^\n]){LINE_START}"
+_SPLIT = rf"{LINE_START}(?={_FILE}[^\n])"
 _META_LINE = rf"{LINE_START}{_META}(?=[^\n])({ANY_LINE}){EOL_OR_END}"
 _NOT_BODY = rf"{LINE_START}(?:{_META}(?=[^\n]){ANY_LINE}{EOL_OR_END}|{_RULE_LINE})"
 

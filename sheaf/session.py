@@ -39,3 +39,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="sheaf-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def deal_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all shuffle partitions before work that costs far more than moving them.
+
+    The number is given explicitly, because otherwise small inputs are merged into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sheaf.functions.globs import DEFAULT_DENY, GlobFilter
 from sheaf.functions.paths import order_key, relative_to
 from sheaf.operators.manifest import union_sources
+from sheaf.session import deal_out
 
 LISTING = "abs_path string, length bigint"
 READ_BATCH_BYTES = 32 * 1024 * 1024
@@ -168,7 +169,7 @@ def read_contents(listing: DataFrame) -> DataFrame:
                     picked, data, held = [], [], 0
             yield _with_content(batch, picked, data)
 
-    return listing.repartition("abs_path").mapInArrow(read, f"{schema}, content binary")
+    return deal_out(listing, "abs_path").mapInArrow(read, f"{schema}, content binary")
 
 
 def _with_content(batch: pa.RecordBatch, picked: list[int], data: list[bytes]) -> pa.RecordBatch:

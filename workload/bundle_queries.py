@@ -9,6 +9,7 @@ from sheaf.operators import extract as X
 from sheaf.operators import manifest as M
 from sheaf.plans import formatting as W
 from sheaf.plans import parsing as R
+from sheaf.session import checkpoint
 from sheaf.sources import tables
 from workload import inputs as I
 from workload.files_queries import FILES, manifest
@@ -324,7 +325,7 @@ count(*) FILTER (NOT is_binary AND eol_style = 'CR') AS cr_files, true AS exact
 def round_trip(spark, sf):
     """Written as fence bundles and read back: the contents are the same."""
     entries = manifest(spark, sf)
-    back = R.parse_bundles(W.format_bundles(entries, "md_fence"), "md_fence")
+    back = R.parse_bundles(checkpoint(W.format_bundles(entries, "md_fence")), "md_fence")
     before = entries.select("bundle_id", "path", C.text_checksum(F.col("content")).alias("before"))
     return back.join(before, ["bundle_id", "path"], "left").groupBy("bundle_id").agg(
         F.count("*").alias("files"), F.count_if("is_binary").alias("binaries"),
@@ -334,9 +335,10 @@ def round_trip(spark, sf):
 
 
 def flagship(spark, sf):
-    """Documents as files, packed into one bundle per source, read back and summed up."""
+    """Documents as files, packed into one bundle per source, stored, read back and summed up."""
     entries = manifest(spark, sf)
-    back = R.parse_bundles(W.format_bundles(entries, "plain_marker"), "plain_marker")
+    stored = checkpoint(W.format_bundles(entries, "plain_marker"))
+    back = R.parse_bundles(stored, "plain_marker")
     return back.groupBy("bundle_id", "eol_style").agg(
         F.count("*").alias("files"), F.count_if("is_binary").alias("binaries"),
         F.sum(F.length("content")).alias("chars"),
