@@ -18,6 +18,9 @@ MIB = 1024 * 1024
 SNIFF_BYTES = 1024
 BOM_NAMES = ("utf-8-bom", "utf8-bom", "utf-8_sig", "utf-8-sig", "utf_8_sig")
 UTF8_NAMES = ("utf-8", "utf8", "utf_8", "auto", "")
+# First two bytes, in hex, of a three and of a four byte character.
+_OPEN_3 = "E0[AB].|E[1-9A-CEF][89AB].|ED[89]."
+_OPEN_4 = "F0[9AB].|F[1-3][89AB].|F48."
 HEADER_RULE = "# " + "=" * 76
 
 
@@ -33,9 +36,9 @@ def is_binary(content: Column, strict_sniff: bool = False) -> Column:
         tail = F.hex(F.substring(content, SNIFF_BYTES - 2, 3))
         cut = (
             F.when(F.length(content) <= SNIFF_BYTES, 0)
-            .when(F.rlike(tail, F.lit("^....[C-F].$")), 1)
-            .when(F.rlike(tail, F.lit("^..[EF].[89AB].$")), 2)
-            .when(F.rlike(tail, F.lit("^F.[89AB].[89AB].$")), 3)
+            .when(F.rlike(tail, F.lit("^....(?:C[2-9A-F]|D.|E.|F[0-4])$")), 1)
+            .when(F.rlike(tail, F.lit(f"^..(?:{_OPEN_3}|{_OPEN_4})$")), 2)
+            .when(F.rlike(tail, F.lit(f"^(?:{_OPEN_4})[89AB].$")), 3)
             .otherwise(0)
         )
         probe = F.substring(content, F.lit(1), F.lit(SNIFF_BYTES) - cut)
