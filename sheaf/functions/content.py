@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from sheaf.functions.paths import base_name, to_posix
+from sheaf.functions.text import fixed
 
 # Fixed values.
 EOL_STYLES = ("LF", "CRLF", "CR", "MIXED", "n/a")
@@ -171,5 +172,5 @@ def over_limit_bytes(length: Column, max_mb: float) -> Column:
 def size_message(path: Column, length: Column, max_mb: float) -> Column:
     return F.concat(
         F.lit("File '"), path, F.lit("' size ("),
-        F.format_string("%.2f", size_mb(length)), F.lit(f" MB) exceeds limit ({max_mb:.2f} MB)"),
+        fixed(size_mb(length), 2), F.lit(f" MB) exceeds limit ({max_mb:.2f} MB)"),
     )

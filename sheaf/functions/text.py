@@ -70,10 +70,15 @@ def meta_fields(meta: Column, lower_keys: bool = False) -> tuple[Column, Column]
     return keys, values
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Number with so many decimals; a tie goes to the even digit, as in C and Python."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+
+
 def human_size(size: Column) -> Column:
     mib = 1024 * 1024
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < mib, F.format_string("%.1f KB", size / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1f MB", size / F.lit(float(mib))))
+        .when(size < mib, F.concat(fixed(size / F.lit(1024.0), 1), F.lit(" KB")))
+        .otherwise(F.concat(fixed(size / F.lit(float(mib)), 1), F.lit(" MB")))
     )

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import checkpoint
+
 POSITION = ("scope", "line", "pos_index")
 SIGNATURE = ("scope", "kind", "text")
 PAIR = ("file_old", "file_new")
@@ -107,7 +109,11 @@ def _of_pairs(commands: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 def diff_commands(old: DataFrame, new: DataFrame, pairs: DataFrame,
                   suppress_docstrings: bool = False) -> DataFrame:
     """Change rows ``file_old, file_new, scope, change_type, line_old, pos_old, line_new, pos_new,
-    kind_old, kind_new, text_old, text_new``."""
+    kind_old, kind_new, text_old, text_new``.
+
+    The pairs, one light row per file, are read by every join and so checkpointed once.
+    """
+    pairs = checkpoint(pairs.select(*PAIR))
     if suppress_docstrings:
         old, new = without_docstrings(old), without_docstrings(new)
     o, n = _of_pairs(old, pairs, "old"), _of_pairs(new, pairs, "new")
@@ -181,6 +187,7 @@ def moved(o: DataFrame, n: DataFrame) -> DataFrame:
 def stability(old: DataFrame, new: DataFrame, pairs: DataFrame, keys: Sequence[str],
               name: str = "stability") -> DataFrame:
     """Per pair the share of distinct keys found on both sides, four decimals; 1.0 without any."""
+    pairs = checkpoint(pairs.select(*PAIR))
     both = (
         _of_pairs(old, pairs, "old").select(*PAIR, *keys, F.lit(1).alias("o"), F.lit(0).alias("n"))
         .unionByName(
@@ -235,7 +242,9 @@ def compare_catalogs(old: DataFrame, new: DataFrame, mode: str = "path",
     def files(c):
         return c.select("file", F.col("file").alias("ord"))
 
-    pairs = map_files(files(old), files(new), maps) if maps else pair_files(files(old), files(new), mode)
+    pairs = checkpoint(
+        map_files(files(old), files(new), maps) if maps else pair_files(files(old), files(new), mode)
+    )
     (oc, of), (nc, nf) = explode_catalog(old), explode_catalog(new)
     by_function = stability(of, nf, pairs, ("scope", "name"), "function_stability")
     by_command = stability(oc, nc, pairs, SIGNATURE, "command_stability")

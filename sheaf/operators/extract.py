@@ -7,12 +7,13 @@ Everything is planned as a table of actions before a file is touched. Placement
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import content as C
 from sheaf.functions.paths import path_problem, resolve
 from sheaf.operators.manifest import guard
+from sheaf.operators.ordinal import with_ordinal
 from sheaf.session import checkpoint
 
 POLICIES = ("prompt", "skip", "overwrite", "rename")
@@ -100,60 +101,109 @@ def _numbered_parent(target: Column) -> Column:
     return F.when(cut != "", F.concat(p["folder"], cut, p["suffix"]))
 
 
+def _ancestors(target: Column) -> Column:
+    """``a.t, a_1.t, a_1_2.t`` for ``a_1_2.t``: the names it is a numbered form of, and itself."""
+    p = _split_target(target)
+    numbers = F.regexp_extract_all(
+        F.substring(p["stem"], F.length(p["root"]) + 1, F.length(p["stem"])),
+        F.lit(r"(_[0-9]+)"), F.lit(1),
+    )
+    return F.transform(
+        F.sequence(F.lit(0), F.size(numbers)),
+        lambda k: F.concat(
+            p["folder"], p["root"], F.array_join(F.slice(numbers, F.lit(1), k), ""), p["suffix"]
+        ),
+    )
+
+
+def _components(names: DataFrame, demand: DataFrame) -> DataFrame:
+    """``bundle_id, target, component`` for names whose placement another name takes part in.
+
+    A name hands out numbers only if it is claimed and was, or may become, taken. Down from the
+    plainest form, a name joins the component of the one above it if that one hands out numbers,
+    and else starts its own. Components of one name are left out.
+    """
+    ladder = names.select(
+        "bundle_id", "target", F.posexplode(_ancestors(F.col("target"))).alias("level", "step")
+    )
+    known = ladder.join(
+        demand.withColumnRenamed("target", "step"), ["bundle_id", "step"], "left"
+    ).groupBy("bundle_id", "target").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "level", "step",
+            F.col("contested").isNotNull().alias("claimed"),
+            F.coalesce("contested", F.lit(False)).alias("contested"),
+        ))).alias("steps")
+    )
+    start = F.struct(F.lit(None).cast("string").alias("component"), F.lit(False).alias("live"))
+    climbed = F.aggregate(
+        "steps", start,
+        lambda acc, s: F.struct(
+            F.when(acc["live"], acc["component"]).otherwise(s["step"]).alias("component"),
+            (s["claimed"] & (s["contested"] | acc["live"])).alias("live"),
+        ),
+    )["component"]
+    placed = known.select("bundle_id", "target", climbed.alias("component"))
+    shared = placed.groupBy("bundle_id", "component").count().filter("count > 1")
+    return placed.join(shared.drop("count"), ["bundle_id", "component"])
+
+
 def rename_targets(claims: DataFrame, existing: DataFrame) -> DataFrame:
     """``bundle_id, entry_idx, target, final``: a taken target becomes ``stem_N.suffix`` with the
     lowest N free at that moment, entries being placed in order.
 
-    Placement of one name touches another only if one is the other with numbers appended. Names
-    for which no such neighbour exists get their numbers natively: the j-th latecomer takes N = j.
-    Only the tangled families are replayed in order, on rows without content.
+    Placing one name touches another only if the other is the first with numbers appended. Where
+    no such neighbour takes part, the j-th latecomer of a name gets N = j, counted natively. Names
+    that do depend on each other are replayed in order, one component at a time, on rows that
+    carry no content.
     """
     claims = checkpoint(claims.select("bundle_id", "entry_idx", "target", "taken"))
-    contested = claims.filter("taken").select("bundle_id", "target").distinct()
-    names = claims.select("bundle_id", "target").union(existing.select("bundle_id", "target"))
-    links = (
-        names.select("bundle_id", "target", _numbered_parent(F.col("target")).alias("parent"))
-        .filter(F.col("parent").isNotNull())
-        .distinct()
-    )
-    key = ["bundle_id", "folder", "root", "suffix"]
+    demand = claims.groupBy("bundle_id", "target").agg(F.max("taken").alias("contested"))
+    names = claims.select("bundle_id", "target").union(existing.select("bundle_id", "target")).distinct()
+    family = ["bundle_id", "folder", "root", "suffix"]
 
     def with_family(df: DataFrame) -> DataFrame:
         p = _split_target(F.col("target"))
-        return df.withColumns({k: p[k] for k in ("folder", "root", "suffix")})
+        return df.withColumns({k: p[k] for k in family[1:]})
 
-    # A contested name with a numbered neighbour below it; every such pair shares one family.
+    # Families in which some contested name has a numbered form that is claimed or on disk.
+    below = names.select("bundle_id", _numbered_parent(F.col("target")).alias("target")).filter(
+        F.col("target").isNotNull()
+    )
     tangled = with_family(
-        links.join(contested.withColumnRenamed("target", "parent"), ["bundle_id", "parent"])
-    ).select(*key).distinct()
-
-    marked = with_family(claims).join(
-        tangled.withColumn("__tangled", F.lit(True)), key, "left"
-    ).withColumn("__tangled", F.coalesce("__tangled", F.lit(False)))
-
-    clear = marked.filter(~F.col("__tangled"))
+        demand.filter("contested").join(below, ["bundle_id", "target"], "left_semi")
+    ).select(*family).distinct()
+    component = checkpoint(_components(
+        with_family(names).join(tangled, family, "left_semi").select("bundle_id", "target"), demand
+    ))
+
+    marked = claims.join(component, ["bundle_id", "target"], "left")
+    clear = marked.filter(F.col("component").isNull()).drop("component")
     settled = clear.filter(~F.col("taken")).select(
         "bundle_id", "entry_idx", "target", F.col("target").alias("final")
     )
-    arrival = Window.partitionBy("bundle_id", "target").orderBy("entry_idx")
     p = _split_target(F.col("target"))
-    numbered = clear.filter("taken").select(
+    numbered = with_ordinal(
+        clear.filter("taken"), ["bundle_id", "target"], [F.col("entry_idx")], "nth"
+    ).select(
         "bundle_id", "entry_idx", "target",
         F.concat(
-            p["folder"], p["stem"], F.lit("_"),
-            F.row_number().over(arrival).cast("string"), p["suffix"],
+            p["folder"], p["stem"], F.lit("_"), (F.col("nth") + 1).cast("string"), p["suffix"]
         ).alias("final"),
     )
-    occupied = with_family(existing.select("bundle_id", "target")).join(tangled, key, "left_semi")
-    replay = (
-        marked.filter("__tangled").select(*key, "entry_idx", "target")
-        .unionByName(
-            occupied.select(*key, F.lit(-1).cast("bigint").alias("entry_idx"), "target")
+    on_disk = existing.select(
+        "bundle_id", F.lit(-1).cast("bigint").alias("entry_idx"), "target"
+    ).join(component, ["bundle_id", "target"])
+    replayed = (
+        marked.filter(F.col("component").isNotNull())
+        .select("bundle_id", "component", "entry_idx", "target")
+        .unionByName(on_disk)
+        .withColumn("suffix", p["suffix"])
+        .groupBy("bundle_id", "component")
+        .applyInPandas(
+            _place_in_order, "bundle_id string, entry_idx bigint, target string, final string"
         )
     )
-    replayed = replay.groupBy(*key).applyInPandas(
-        _place_in_order, "bundle_id string, entry_idx bigint, target string, final string"
-    )
     return settled.unionByName(numbered).unionByName(replayed)
 
 

@@ -259,11 +259,14 @@ def add_entries(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
     """
     keys = ["bundle_id", "path"]
     new = new.withColumn("path", to_posix(F.col("path")))
-    earliest = Window.partitionBy(*keys).orderBy("entry_idx")
-    ranked = new.withColumn("__nth", F.row_number().over(earliest))
-    taken = entries.select(*keys).distinct().withColumn("__taken", F.lit(True))
-    marked = ranked.join(taken, keys, "left")
-    fresh = F.col("__taken").isNull() & (F.col("__nth") == 1)
+    # One candidate per path from a combined minimum, joined back on a key unique to the row.
+    fresh_rows = (
+        new.groupBy(*keys).agg(F.min("entry_idx").alias("entry_idx"))
+        .join(entries.select(*keys), keys, "left_anti")
+        .withColumn("__fresh", F.lit(True))
+    )
+    marked = new.join(fresh_rows, [*keys, "entry_idx"], "left")
+    fresh = F.col("__fresh").isNotNull()
     last = entries.groupBy("bundle_id").agg((F.max("entry_idx") + 1).alias("__base"))
     accepted = (
         marked.filter(fresh)

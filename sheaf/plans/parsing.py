@@ -276,7 +276,8 @@ def validate_bundles(bundles: DataFrame, profile: str | None = None,
     """``bundle_id, valid, profile, file_count, errors, warnings``, one row per bundle.
 
     Failures are data. ``checksums(bundle_id, path, checksum)`` adds a check of the parsed
-    contents against recorded digests.
+    contents against recorded digests; the paths named in its message all come out of the one
+    text that the bundle is here, so their number is bounded by it.
     """
     registry = registry or default_registry()
     if profile is not None and profile not in registry.list_profiles():

@@ -422,7 +422,14 @@ def extract_plan_rename(spark, sf):
     )
 
 
-@query("extract_plan_rename_chain")
+@query("extract_plan_rename_chain", """
+WITH RECURSIVE c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN 'a_1' ELSE 'a' END AS stem FROM conversations),
+s AS (SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, ['a.md'] AS taken, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS wanted FROM c
+UNION ALL SELECT conv_id, turn, list_append(taken, target), target, wanted FROM (
+SELECT s.conv_id, c.turn, s.taken, c.stem || '.md' AS wanted, list_filter(list_concat([c.stem || '.md'],
+list_transform(range(1, 60), lambda i: c.stem || '_' || i || '.md')), lambda x: NOT list_contains(s.taken, x))[1] AS target
+FROM s JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn + 1))
+SELECT CAST(conv_id AS VARCHAR) AS bundle_id, turn AS entry_idx, target, CASE WHEN target <> wanted THEN wanted END AS renamed_from FROM s WHERE turn >= 0""")
 def extract_plan_rename_chain(spark, sf):
     """Names that are each other's numbered forms, so that placements depend on each other."""
     c = I.load(spark, sf, "conversations")
