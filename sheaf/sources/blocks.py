@@ -16,9 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sheaf.functions.content import decode_ignore
+from sheaf.functions.paths import base_name, relative_to
+from sheaf.functions.text import universal_newlines
 from sheaf.profiles import default_registry
+from sheaf.sources.filetree import list_files, read_contents
 
 RANGE_BYTES = 64 * 1024 * 1024
+# Ranges grow beyond this many tasks.
+MAX_RANGES = 100_000
 _CHUNK = 4 * 1024 * 1024
 
 # A header line of either format, with the line feed before it.
@@ -45,11 +51,12 @@ class BlockReader(DataSourceReader):
             files = sorted(e.path for e in os.scandir(self.root) if e.is_file())
         else:
             files = [self.root]
+        sizes = [(f, os.path.getsize(f)) for f in files]
+        step = max(self.step, sum(n for _, n in sizes) // MAX_RANGES)
         return [
-            _Range(f, at, min(at + self.step, size))
-            for f in files
-            for size in [os.path.getsize(f)]
-            for at in range(0, size, self.step)
+            _Range(f, at, min(at + step, size))
+            for f, size in sizes
+            for at in range(0, size, step)
         ]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
@@ -136,15 +143,13 @@ def read_blocks(spark: SparkSession, path: str, profile: str,
     ).select("bundle_id", "profile", (F.col("entry_idx") + F.col("pos")).alias("entry_idx"), "block")
 
 
-def read_bundles_text(spark: SparkSession, paths: str | list[str],
-                      newline_text: bool = False) -> DataFrame:
-    """``bundle_id, text``: one row per bundle file, undecodable bytes dropped."""
-    from sheaf.functions.content import decode_ignore
-    from sheaf.functions.text import universal_newlines
-
-    raw = spark.read.format("binaryFile").load(paths)
+def read_bundles_text(spark: SparkSession, path: str, newline_text: bool = False) -> DataFrame:
+    """``bundle_id, text``: one row per bundle file, empty ones included; undecodable bytes are
+    dropped. ``bundle_id`` is the path below ``path``, or the name of a single file."""
+    files = read_contents(list_files(spark, path))
     text = decode_ignore(F.col("content"))
-    return raw.select(
-        F.element_at(F.split("path", "/"), -1).alias("bundle_id"),
+    below = relative_to(F.col("abs_path"), os.path.abspath(path))
+    return files.select(
+        F.when(below == ".", base_name(F.col("abs_path"))).otherwise(below).alias("bundle_id"),
         (universal_newlines(text) if newline_text else text).alias("text"),
     )

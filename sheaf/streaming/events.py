@@ -124,18 +124,33 @@ def stream_event_counts(log: DataFrame, watermark: str | None = None) -> DataFra
     return event_counts(log)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Drain what is there into a table of complete counts, one version per batch."""
+def run_available(stream: DataFrame, path: str, checkpoint: str,
+                  mode: str = "complete") -> StreamingQuery:
+    """Drain what is there.
+
+    ``complete`` replaces the table of all counts with every batch. ``update`` writes only the
+    counts a batch has changed, into a folder of that batch, so that the work follows the new
+    events and a repeated batch replaces its own folder; :func:`latest_counts` reads those.
+    """
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        target = path if mode == "complete" else f"{path}/batch={epoch}"
+        batch.write.mode("overwrite").parquet(target)
 
     return (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(publish).start()
     )
 
 
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of every session and event name out of update batches."""
+    newest = F.max(F.struct("batch", "n", "first", "last")).alias("c")
+    return spark.read.parquet(path).groupBy("sessionId", "event").agg(newest).select(
+        "sessionId", "event", "c.n", "c.first", "c.last"
+    )
+
+
 def stream_bundles(spark: SparkSession, path: str) -> DataFrame:
     """Bundle files as they arrive, one row each."""
     return spark.readStream.text(path, wholetext=True).select(

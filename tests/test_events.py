@@ -36,6 +36,8 @@ def test_stream_equals_batch(spark, tmp_path):
         E.run_available(E.stream_event_counts(E.stream_log(spark, log)), out, state).awaitTermination()
         want = E.event_counts(read_log(spark, log)).collect()
         assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, want))
+        E.run_available(E.stream_event_counts(E.stream_log(spark, log)), out + "_u", state + "_u", "update").awaitTermination()
+        assert sorted(map(tuple, E.latest_counts(spark, out + "_u").collect())) == sorted(map(tuple, want))
     summary = {r.sessionId: r for r in E.session_summary(read_log(spark, log)).collect()}
     assert summary["s0"].totalEvents == 14 and summary["s0"].eventCounts == {"error": 7, "custom": 7}
     assert E.stream_event_counts(E.stream_log(spark, log), "1 hour").isStreaming

@@ -88,7 +88,10 @@ def test_carriage_return_bundle_is_not_lost(spark, tmp_path):
 
 def test_undecodable_bundle_bytes_are_dropped(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"# FILE: a\n\xffok\r\n")
-    assert read_bundles_text(spark, str(tmp_path), newline_text=True).first().text == "# FILE: a\nok\n"
+    (tmp_path / "_empty").touch()
+    got = {r.bundle_id: r.text for r in read_bundles_text(spark, str(tmp_path), newline_text=True).collect()}
+    assert got == {"x.txt": "# FILE: a\nok\n", "_empty": ""}
+    assert read_bundles_text(spark, str(tmp_path / "x.txt")).first().bundle_id == "x.txt"
 
 
 def test_blocks_as_text_folders(spark, tmp_path):
