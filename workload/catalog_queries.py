@@ -103,7 +103,8 @@ def diff_changes(spark, sf):
 
 
 @query("diff_moved", f"""
-WITH {CHANGES} SELECT file_old, scope, line_old, pos_old, line_new, pos_new, kind_old AS kind FROM moves""")
+WITH {CHANGES} SELECT file_old, scope, line_old::INT AS line_old, pos_old::INT AS pos_old, line_new::INT AS line_new, pos_new::INT AS pos_new,
+kind_old AS kind FROM moves""")
 def diff_moved(spark, sf):
     pairs = _pairs(spark, sf)
     o = D._of_pairs(I.commands(spark, sf, "old"), pairs, "old")
@@ -148,7 +149,7 @@ def change_summary(spark, sf):
 @query("diff_samples", f"""
 WITH {CHANGES}, r AS (SELECT *, row_number() OVER (PARTITION BY file_old, file_new, change_type ORDER BY scope,
 coalesce(line_old, line_new), coalesce(pos_old, pos_new), line_new, pos_new) AS rank FROM changes)
-SELECT file_old, change_type, rank, scope, {_BLANK} FROM r WHERE rank <= 3""")
+SELECT file_old, change_type, rank::INT AS rank, scope, {_BLANK} FROM r WHERE rank <= 3""")
 def diff_samples(spark, sf):
     return _blank(D.samples(_changes(spark, sf))).select(
         "file_old", "change_type", "rank", "scope", "line_old", "pos_old", "line_new", "pos_new"
@@ -217,13 +218,13 @@ def catalog_commands(spark, sf):
 
 
 @query("complexity_summary", f"""
-WITH {_SOURCES} SELECT file, count(*) AS functions, 5.0 AS avg_complexity, 5 AS max_complexity FROM m GROUP BY 1""")
+WITH {_SOURCES} SELECT file, count(*) AS functions, 5.0::DOUBLE AS avg_complexity, 5 AS max_complexity FROM m GROUP BY 1""")
 def complexity_summary(spark, sf):
     return K.complexity_summary(_catalog(spark, sf))
 
 
 @query("position_on_line", """
-SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id, seq // 3 ORDER BY (seq * 7) % 3, seq) AS pos_index
+SELECT doc_id, seq::INT AS seq, (row_number() OVER (PARTITION BY doc_id, seq // 3 ORDER BY (seq * 7) % 3, seq))::INT AS pos_index
 FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS seq FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def position_on_line(spark, sf):
     lines = I.load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "t"))

@@ -122,7 +122,7 @@ def stream_session_counts(spark, sf):
 
 
 @query("stream_validate", """
-SELECT conv_id || '/' || turn AS bundle_id, turn % 3 <> 0 AS valid, CASE WHEN turn % 3 <> 0 THEN 1 ELSE 0 END AS file_count FROM conversations""")
+SELECT conv_id || '/' || turn AS bundle_id, turn % 3 <> 0 AS valid, CASE WHEN turn % 3 <> 0 THEN 1::BIGINT ELSE 0 END AS file_count FROM conversations""")
 def stream_validate(spark, sf):
     """Each turn arrives as a bundle of its own; a third of them hold no marker."""
     work = _work_folder(spark)
