@@ -1,6 +1,6 @@
 """Operators for pipelines of training data, each with a query over its whole table."""
 
 from sheaf.llm.common import CHECKS, QUERIES  # noqa: I001
-from sheaf.llm import lm_quality, mixing, near_dedup, packing, secrets
+from sheaf.llm import lm_quality, mixing, near_dedup, packing, personal_data, quality_rules, secrets, tiff
 
 __all__ = ["CHECKS", "QUERIES"]
