@@ -9,14 +9,19 @@ exact copies are one row in all that follows. Classes that agree in one of 32 ba
 minimum hashes are candidates: two sets at the limit of 0.75 meet in a band with probability
 1 - (1 - 0.75^4)^32, about 0.999995.
 
-Not all pairs of a band's bucket are emitted; what is wanted is the connected components:
+Not all pairs of a band's bucket are compared. Each bucket has a *hub*, the member that shares most
+places in buckets, which in a group of near copies tends to be their origin:
 
-1. Each bucket compares its members with the least of them. Nearly all near copies are linked here.
-2. In buckets that still hold several components, each member is compared with a member drawn by
-   hash, if its component differs.
-3. In buckets that still do, the members outside the largest component are compared with all
-   members of other components. So every candidate pair is compared or lies in one component, and
-   pairs grow with a bucket's size times the number of those not in its largest group.
+1. Every member is compared with its hub. Nearly all near copies are linked here.
+2. Two members x, y of one hub h of which x is not linked to h can only be linked if they differ from
+   h in the same shingles. With Dx the symmetric difference of x and h, a similarity of 3/4 means
+   |Dx| + |Dy| - 2 |Dx & Dy| <= (|x| + |y|) / 7, while |Dx| > (|x| + |h|) / 7, so Dx and Dy share more
+   than b = (7 |Dy| + |h| - |y|) / 14 shingles, and any |Dy| - floor(b) shingles of Dy hold one of
+   them. Each y gives so many of its Dy, those that h lacks first, as these are rarely shared; each
+   x gives all of Dx. Pairs that meet in a shingle and lie in different components are compared.
+
+So every pair that shares a bucket is compared, lies in one component, or is proven not to be a
+link, and the number of comparisons does not grow with the square of a bucket.
 
 A comparison first rules out pairs by set sizes, then reads the signatures in batches and drops a
 pair as soon as the posterior probability (uniform prior) that its similarity reaches the limit falls
@@ -194,6 +199,11 @@ def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[keep, ["a", "b"]]
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    return written(own.join(wanted, "doc_id", "left_semi"), name)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, miss: float, name: str) -> DataFrame:
     """Those of the pairs (a, b) that are links."""
     sig = nodes.select("node", "sig")
@@ -205,10 +215,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, miss: float,
     )
     likely = written(likely.distinct(), f"{name}-likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = written(
-        docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-        .join(wanted, "doc_id", "left_semi"), f"{name}-texts",
-    )
+    texts = _texts(docs, wanted, f"{name}-texts")
     sure = (
         likely.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
         .select("a", "text_a", "b", "text_b")
@@ -217,70 +224,103 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, miss: float,
     return written(sure.distinct(), f"{name}-links")
 
 
-def _possible() -> str:
+def _possible(n: str, other: str) -> str:
     """Sets whose sizes differ too much cannot reach the limit."""
-    return f"{DENOMINATOR} * least(n, other_n) >= {NUMERATOR} * greatest(n, other_n)"
+    return f"{DENOMINATOR} * least({n}, {other}) >= {NUMERATOR} * greatest({n}, {other})"
+
+
+def _differences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingles in which a member and its hub differ, keyed with the hub; ``part`` marks those
+    given for the role of y. Members that are linked to their hub give no others."""
+    last, hub_set = None, None
+    for frame in frames:
+        keys, nodes, parts = [], [], []
+        held = 0
+        for node, hub, linked, text, hub_text in zip(*(frame[c] for c in ("node", "hub", "linked", "text", "hub_text"))):
+            if last is None or last[0] != hub or last[1] != hub_text:
+                last, hub_set = (hub, hub_text), shingle_hashes(b" ".join(words_of(hub_text)))
+            own = shingle_hashes(b" ".join(words_of(text)))
+            added = np.setdiff1d(own, hub_set, assume_unique=True)
+            missing = np.setdiff1d(hub_set, own, assume_unique=True)
+            both = np.concatenate((added, missing))
+            given = len(both) - (7 * len(both) + len(hub_set) - len(own)) // 14
+            both = both[:given] if linked else both
+            keys.append(_mix(both ^ _mix(np.array([hub], dtype=np.int64).view(_U))))
+            nodes.append(np.full(len(both), node, dtype=np.int64))
+            parts.append(np.arange(len(both)) < given)
+            held += len(both)
+            if held > 500_000:
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "part": np.concatenate(parts)})
+                keys, nodes, parts, held = [], [], [], 0
+        if keys:
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "part": np.concatenate(parts)})
 
 
 def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document of ``docs``."""
     signed = written(sign_documents(docs), "signed")
-    nodes = written(
-        signed.where("seq is not null and doc_id is not null").groupBy("seq").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-            F.first("sig").alias("sig"), F.first("bands").alias("bands"),
-        ), "nodes",
-    )
+    named = signed.where("seq is not null and doc_id is not null")
+    nodes = written(named.groupBy("seq").agg(
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
+        F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     # Repeated ids with different texts are one node; identical texts link all their ids.
     copies = (
-        signed.where("seq is not null and doc_id is not null")
-        .select("seq", F.col("doc_id").alias("u")).join(nodes.select("seq", F.col("node").alias("v")), "seq")
+        named.select("seq", F.col("doc_id").alias("u")).join(nodes.select("seq", F.col("node").alias("v")), "seq")
         .where("u <> v").select("u", "v").distinct()
     )
 
     in_bands = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = (
-        in_bands.groupBy("key")
-        .agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub"))
-        .where("members > 1")
+    shared = in_bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = written(in_bands.join(shared, "key"), "members")
+    places = members.groupBy("node").agg(F.sum("members").alias("places"))
+    placed = members.join(places, "node")
+    hubs = placed.groupBy("key").agg(
+        F.max_by(F.struct("node", "n"), F.struct(F.col("places"), -F.col("node"))).alias("hub"))
+    family = written(
+        members.join(hubs, "key").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+        .where("node <> hub").distinct(), "family",
+    )
+    pairs = family.where(_possible("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = _verified(pairs, nodes, docs, miss, "hub").toDF("u", "v")
+
+    component = written(connected_components(links), "hub-components")
+    sure = links.select(F.col("u").alias("node"), F.col("v").alias("hub")).union(links.select("v", "u"))
+    family = written(
+        family.join(sure.withColumn("linked", F.lit(True)), ["node", "hub"], "left")
+        .join(component, "node", "left")
+        .select("node", "hub", F.coalesce("linked", F.lit(False)).alias("linked"),
+                F.coalesce("component", "node").alias("component")), "family",
+    )
+    open_hubs = family.groupBy("hub").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"),
+    ).where("low <> high and not all").select("hub")
+    left = written(family.join(open_hubs, "hub", "left_semi").select("node", "hub", "linked").distinct(), "open")
+    wanted = left.select(F.col("node").alias("doc_id")).union(left.select("hub")).distinct()
+    texts = _texts(docs, wanted, "open-texts")
+    differing = written(
+        left.join(texts.toDF("node", "text"), "node").join(texts.toDF("hub", "hub_text"), "hub")
+        .select("node", "hub", "linked", "text", "hub_text")
+        .mapInPandas(_differences, "key long, node long, part boolean"), "differences",
     )
-    members = written(in_bands.join(shared.select("key", "hub"), "key"), "members")
-    first = members.select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
-    pairs = first.where(_possible()).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    links = _verified(pairs, nodes, docs, miss, "hub")
-
-    def mixed(links: DataFrame) -> DataFrame:
-        """Members of buckets with several components, with their components."""
-        comp = connected_components(links.toDF("u", "v"))
-        held = members.select("key", "node", "n").join(comp, "node", "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("component"))
-        several = held.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-        ).where("low <> high").select("key")
-        return held.join(several, "key", "left_semi")
-
-    held = written(mixed(links), "mixed")
-    drawn = held.groupBy("key").agg(
-        F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "key")).alias("hub"))
-    second = held.join(drawn, "key").where("component <> hub.component").select(
-        "node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
-    pairs = second.where(_possible()).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    links = links.unionByName(_verified(pairs, nodes, docs, miss, "drawn"))
-
-    held = written(mixed(links), "mixed")
-    sizes = held.groupBy("key", "component").count()
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    held = written(held.join(largest, "key"), "sides")
-    few = held.where("component <> main")
-    rest = held.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"),
-                       F.col("component").alias("other_component"))
-    third = few.join(rest, "key").where("component <> other_component").where(
-        "other_component = main or node < other").where(_possible())
-    pairs = third.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    links = links.unionByName(_verified(pairs, nodes, docs, miss, "rest"))
-
-    comp = written(connected_components(links.toDF("u", "v").unionByName(copies)), "components")
-    return signed.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    whole = differing.join(left.where("not linked").select("node").distinct(), "node", "left_semi")
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    known = sizes.join(component, "node", "left").select(
+        "node", "low", "high", F.coalesce("component", "node").alias("component"))
+    met = (
+        differing.where("part").select("key", F.col("node").alias("b"))
+        .join(whole.select("key", F.col("node").alias("a")), "key").where("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    pairs = (
+        met.join(known.toDF("a", "a_low", "a_high", "a_component"), "a")
+        .join(known.toDF("b", "b_low", "b_high", "b_component"), "b")
+        .where("a_component <> b_component")
+        .where(f"{DENOMINATOR} * least(a_high, b_high) >= {NUMERATOR} * greatest(a_low, b_low)").select("a", "b")
+    )
+    links = links.unionByName(_verified(pairs, nodes, docs, miss, "rest").toDF("u", "v"))
+
+    groups = written(connected_components(links.unionByName(copies)), "components")
+    return signed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
