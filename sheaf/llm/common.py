@@ -76,7 +76,7 @@ def slices(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.
     for frame in frames:
         if not len(frame):
             continue
-        sizes = frame[column].str.len().fillna(0).astype("int64")
+        sizes = pd.Series([len(t) if t else 0 for t in frame[column]], dtype="int64")
         part = sizes.cumsum() // SLICE_CHARS
         if part.iloc[-1] == 0:
             yield frame
