@@ -65,6 +65,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this number (8 bytes each, so 32 MB) may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A written table of one id a row, marked for broadcast if its size, counted first, is within
+    the bound. A filter by few ids then does not shuffle the texts it is put to."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null: starts of runs of characters that are not white space."""
     starts = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]"))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import query, slices, table, written
+from sheaf.llm.common import query, slices, small_side, table, written
 
 ORDER = 4
 LOWER_QUANTILE, UPPER_QUANTILE = 0.001, 0.999
@@ -42,8 +42,6 @@ LOWER_QUANTILE, UPPER_QUANTILE = 0.001, 0.999
 MARGIN = 0.03
 MIN_TRUSTED = 200
 BLOCK_CHARS = 24_000_000
-#: Trusted ids up to this number (8 bytes each) are broadcast, more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
 
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 
@@ -88,9 +86,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(key, n): every four-gram of ``docs``, and how often trusted ids (doc_id) have it."""
-    ids = written(trusted.select(F.col("doc_id").cast("long"), F.lit(1).alias("trusted")).distinct(), "trusted")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small_side(written(trusted.select(F.col("doc_id").cast("long"), F.lit(1).alias("trusted")).distinct(), "trusted"))
     flagged = docs.select(F.col("doc_id").cast("long"), "text").where("length(text) > 0").join(
         ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
     return flagged.mapInPandas(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))

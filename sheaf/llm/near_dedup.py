@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import query, slices, table, written
+from sheaf.llm.common import query, slices, small_side, table, written
 from sheaf.llm.components import connected_components
 
 SHINGLE = 5
@@ -201,7 +201,7 @@ def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _texts(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    return written(own.join(wanted, "doc_id", "left_semi"), name)
+    return written(own.join(small_side(written(wanted, f"{name}-ids")), "doc_id", "left_semi"), name)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, miss: float, name: str) -> DataFrame:
