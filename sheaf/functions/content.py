@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import binascii
 import codecs
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from sheaf.functions.paths import base_name, to_posix
 from sheaf.functions.text import fixed
@@ -81,43 +82,66 @@ def to_base64(content: Column) -> Column:
     return F.translate(F.base64(content), "\r\n", "")
 
 
+@F.pandas_udf(BinaryType())
+def _lenient_base64(text: pd.Series) -> pd.Series:
+    def one(value):
+        try:
+            return None if value is None else binascii.a2b_base64(value)
+        except ValueError:
+            return None
+
+    return text.map(one)
+
+
 def from_base64(text: Column) -> Column:
     """Bytes, or null when the text is not base64.
 
-    Characters outside the alphabet are skipped, missing padding is an error.
+    Characters outside the alphabet are skipped, and so is padding before the third place of a
+    quad. A completed pad ends the data, whatever follows; an incomplete quad is an error. Only
+    texts with padding in odd places reach Python.
     """
     kept = F.regexp_replace(text, "[^A-Za-z0-9+/=]", "")
-    return F.when(F.length(kept) % 4 == 0, F.try_to_binary(kept, F.lit("base64")))
+    plain = (F.length(kept) % 4 == 0) & F.rlike(kept, F.lit(r"\A[^=]*+={0,2}\z"))
+    return F.coalesce(
+        F.when(plain, F.try_to_binary(kept, F.lit("base64"))),
+        _lenient_base64(F.when(~plain & F.contains(kept, F.lit("=")), kept)),
+    )
 
 
-@F.pandas_udf(BinaryType())
-def _encode_charset(text: pd.Series, charset: pd.Series) -> pd.Series:
+@F.pandas_udf(StructType().add("payload", BinaryType()).add("error", StringType()))
+def _encode_charset(text: pd.Series, charset: pd.Series) -> pd.DataFrame:
     def one(value, name):
         if value is None or name is None:
-            return None
+            return None, None
         try:
-            return value.encode(name, "replace")
-        except LookupError:
-            return None
+            return value.encode(name, "replace"), None
+        except Exception as e:  # noqa: BLE001 - a charset may raise anything, and is one row's error
+            return None, str(e)
 
-    return pd.Series([one(t, c) for t, c in zip(text, charset)], dtype=object)
+    return pd.DataFrame([one(t, c) for t, c in zip(text, charset)], columns=["payload", "error"])
 
 
-def encode_text(text: Column, encoding: Column) -> Column:
-    """Payload bytes in the named charset; null when the charset is unknown.
+def encoded_text(text: Column, encoding: Column) -> Column:
+    """``payload`` bytes in the named charset, or an ``error`` that says why there are none.
 
     UTF-8, with or without byte order mark, stays in the JVM.
     """
     name = F.lower(F.coalesce(encoding, F.lit("")))
     utf8, bom = name.isin(*UTF8_NAMES), name.isin(*BOM_NAMES)
     other = ~utf8 & ~bom
+    none = F.lit(None).cast("string").alias("error")
     return (
-        F.when(utf8, text.cast("binary"))
-        .when(bom, F.concat(F.lit(bytearray(codecs.BOM_UTF8)), text.cast("binary")))
+        F.when(utf8, F.struct(text.cast("binary").alias("payload"), none))
+        .when(bom, F.struct(F.concat(F.lit(bytearray(codecs.BOM_UTF8)), text.cast("binary")).alias("payload"), none))
         .otherwise(_encode_charset(F.when(other, text), F.when(other, name)))
     )
 
 
+def encode_text(text: Column, encoding: Column) -> Column:
+    """The payload of ``encoded_text``; null when the charset is unknown or fails."""
+    return encoded_text(text, encoding)["payload"]
+
+
 def header_block(path: Column, project: str = "", team: str = "", version: str = "",
                  lifecycle: str = "Proposed") -> Column:
     """Comment banner put before extracted text files."""

@@ -40,14 +40,17 @@ _ARROW_NODE = pa.struct([
 
 
 def _comments(text: str) -> dict[int, str]:
-    found: dict[int, list[str]] = {}
-    try:
-        for t in tokenize.tokenize(io.BytesIO(text.encode("utf-8", "replace")).readline):
-            if t.type == tokenize.COMMENT:
-                found.setdefault(t.start[0], []).append(t.string.lstrip("#").strip())
-    except (tokenize.TokenError, SyntaxError):
-        pass
-    return {line: " | ".join(c) for line, c in found.items()}
+    """By line, what follows the hash signs on it; none from where the source cannot be split."""
+    notes: dict[int, str] = {}
+    reader = tokenize.generate_tokens(io.StringIO(text).readline)
+    while True:
+        try:
+            kind, word, (line, _), _, _ = next(reader)
+        except (StopIteration, tokenize.TokenError, SyntaxError):
+            return notes
+        if kind == tokenize.COMMENT:
+            note = word.lstrip("#").strip()
+            notes[line] = f"{notes[line]} | {note}" if line in notes else note
 
 
 def _names(node: ast.stmt) -> list[dict]:
@@ -130,7 +133,7 @@ def source_nodes(files: DataFrame) -> DataFrame:
                 try:
                     nodes = flatten(text)
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    error = f"{type(e).__name__}: {e}"
+                    error = f"{'SyntaxError' if isinstance(e, SyntaxError) else type(e).__name__}: {e}"
                 paths.append(path)
                 errors.append(error)
                 trees.append(nodes)

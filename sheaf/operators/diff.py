@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sheaf.session import checkpoint
 
@@ -156,26 +158,25 @@ def _positional(o: DataFrame, n: DataFrame) -> DataFrame:
     )
 
 
-MOVED_SALTS = 16
+def _signature() -> Column:
+    """128 bits for a statement's pair and signature, so that joins carry no texts."""
+    parts = F.struct(*PAIR, *SIGNATURE)
+    return F.struct(F.xxhash64(F.lit(1), parts).alias("a"), F.xxhash64(F.lit(2), parts).alias("b"))
 
 
 def moved(o: DataFrame, n: DataFrame) -> DataFrame:
     """Old statements whose signature is found on the new side, but not at their position; paired
     with its first new occurrence. Such rows are also among the added and removed ones.
 
-    One signature may make up much of a file. The first occurrences come from a combined minimum,
-    one row per signature, and are spread over a few salts so that the old rows of a common
-    signature go to several tasks.
+    Both joins are on hashes of the signature and bring in positions only. The first occurrences
+    are a combined minimum, one row per signature; where one signature makes up much of a file,
+    adaptive execution splits the old side.
     """
-    firsts = (
-        n.groupBy(*PAIR, *SIGNATURE)
-        .agg(F.min(F.struct("seq", "line", "pos_index")).alias("first"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(MOVED_SALTS - 1))))
-    )
-    salted = o.withColumn("__salt", F.pmod(F.xxhash64("line", "pos_index", "seq"), F.lit(MOVED_SALTS)).cast("int"))
-    stays = n.select(*PAIR, *SIGNATURE, "line", "pos_index").distinct()
-    loose = salted.join(stays, [*PAIR, *SIGNATURE, "line", "pos_index"], "left_anti")
-    return loose.join(firsts, [*PAIR, *SIGNATURE, "__salt"]).select(
+    keyed = n.select(_signature().alias("__sig"), "seq", "line", "pos_index")
+    firsts = keyed.groupBy("__sig").agg(F.min(F.struct("seq", "line", "pos_index")).alias("first"))
+    stays = keyed.select("__sig", "line", "pos_index").distinct()
+    loose = o.withColumn("__sig", _signature()).join(stays, ["__sig", "line", "pos_index"], "left_anti")
+    return loose.join(firsts, "__sig").select(
         *PAIR, "scope", F.lit("moved").alias("change_type"),
         F.col("line").alias("line_old"), F.col("pos_index").alias("pos_old"),
         F.col("first.line").alias("line_new"), F.col("first.pos_index").alias("pos_new"),
@@ -184,6 +185,13 @@ def moved(o: DataFrame, n: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(DoubleType())
+def _four_decimals(share: pd.Series) -> pd.Series:
+    """The decimal nearest to the double itself. Spark's own rounding reads the shortest decimal
+    form of the double first, and so takes 1/32 for a tie."""
+    return share.map(lambda v: round(float(v), 4))
+
+
 def stability(old: DataFrame, new: DataFrame, pairs: DataFrame, keys: Sequence[str],
               name: str = "stability") -> DataFrame:
     """Per pair the share of distinct keys found on both sides, four decimals; 1.0 without any."""
@@ -197,10 +205,10 @@ def stability(old: DataFrame, new: DataFrame, pairs: DataFrame, keys: Sequence[s
         .agg((F.max("o") + F.max("n")).alias("sides"))
     )
     share = both.groupBy(*PAIR).agg(
-        F.round(F.count_if(F.col("sides") == 2) / F.count(F.lit(1)), 4).alias("__share")
+        (F.count_if(F.col("sides") == 2) / F.count(F.lit(1))).alias("__share")
     )
     return pairs.join(share, list(PAIR), "left").select(
-        *PAIR, F.coalesce("__share", F.lit(1.0)).alias(name)
+        *PAIR, _four_decimals(F.coalesce("__share", F.lit(1.0))).alias(name)
     )
 
 
@@ -237,10 +245,11 @@ def compare_catalogs(old: DataFrame, new: DataFrame, mode: str = "path",
                      suppress_docstrings: bool = False) -> dict[str, DataFrame]:
     """The whole comparison of two catalog tables: ``pairs, stability, changes, changelog``.
 
-    Catalog order is taken from the file path, the order in which a scan lists the files.
+    Catalog order is the column ``ord`` where a table has one (``sources.sinks.read_catalog`` gives
+    the place in the file), else the file path, the order in which a scan lists the files.
     """
     def files(c):
-        return c.select("file", F.col("file").alias("ord"))
+        return c.select("file", F.col("ord" if "ord" in c.columns else "file").alias("ord"))
 
     pairs = checkpoint(
         map_files(files(old), files(new), maps) if maps else pair_files(files(old), files(new), mode)

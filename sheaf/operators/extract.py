@@ -263,16 +263,16 @@ def payload(targets: DataFrame, add_headers: bool = True, **header: str) -> Data
     text = F.col("content")
     if add_headers:
         text = F.concat(C.header_block(F.col("path"), **header), text)
-    data = F.when(binary, C.from_base64(F.col("content"))).otherwise(
-        C.encode_text(F.when(~binary, text), F.when(~binary, F.col("encoding")))
+    encoded = C.encoded_text(F.when(~binary, text), F.when(~binary, F.col("encoding")))
+    made = targets.withColumn("__encoded", F.when(~binary, encoded)).withColumn(
+        "payload",
+        F.when(binary, C.from_base64(F.when(binary, F.col("content")))).otherwise(F.col("__encoded.payload")),
     )
     reason = F.when(binary, F.lit("Binary decode failed")).otherwise(
-        F.concat(F.lit("Unknown encoding: "), F.coalesce("encoding", F.lit("")))
+        F.concat(F.lit("Encoding failed: "), F.coalesce("__encoded.error", F.lit("no content")))
     )
     broken = F.col("payload").isNull()
-    return targets.withColumn("payload", data).withColumns(
-        {"broken": broken, "payload_error": F.when(broken, reason)}
-    )
+    return made.withColumns({"broken": broken, "payload_error": F.when(broken, reason)}).drop("__encoded")
 
 
 def plan_extraction(entries: DataFrame, existing: DataFrame, policy: object = "prompt",

@@ -414,12 +414,11 @@ def extract_plan_overwrite(spark, sf):
 
 @query("extract_plan_rename", f"""
 WITH {_CLAIMS}, s AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, target ORDER BY entry_idx) AS nth FROM t WHERE taken AND NOT unsafe AND NOT broken)
-SELECT t.bundle_id, t.entry_idx, CASE WHEN t.taken THEN regexp_replace(t.target, '\\.md$', '_' || s.nth || '.md') ELSE t.target END AS target,
-CASE WHEN t.taken THEN t.target END AS renamed_from FROM t LEFT JOIN s USING (bundle_id, entry_idx) WHERE NOT t.unsafe AND NOT t.broken""")
+SELECT t.bundle_id, t.entry_idx, CASE WHEN t.unsafe THEN NULL WHEN s.nth IS NOT NULL THEN regexp_replace(t.target, '\\.md$', '_' || s.nth || '.md') ELSE t.target END AS target,
+CASE WHEN s.nth IS NOT NULL THEN t.target END AS renamed_from, CASE WHEN t.unsafe OR t.broken THEN 'error' ELSE 'processed' END AS status,
+CASE WHEN t.unsafe THEN 'Unsafe' WHEN t.broken THEN 'Binary' END AS error FROM t LEFT JOIN s USING (bundle_id, entry_idx)""")
 def extract_plan_rename(spark, sf):
-    return _actions(spark, sf, "rename").filter("status = 'processed'").select(
-        "bundle_id", "entry_idx", "target", "renamed_from"
-    )
+    return _actions(spark, sf, "rename").drop("path", "payload")
 
 
 @query("extract_plan_rename_chain", """

@@ -243,14 +243,12 @@ def binary_sniff_strict(spark, sf):
 
 @query("decode_text", f"""
 WITH {FILES} SELECT path, bundle_id,
-sha256(CASE WHEN doc_id % 13 = 0 THEN chr(65533) || 'PNG' || chr(13) || chr(10) || 'A' || text
-WHEN doc_id % 13 = 5 THEN chr(65533) || text ELSE decoded END) AS replaced,
-sha256(CASE WHEN doc_id % 13 = 0 THEN 'PNG' || chr(13) || chr(10) || 'A' || text WHEN doc_id % 13 = 7 THEN text || '(' ELSE text END) AS dropped
-FROM (SELECT * FROM sniffed WHERE doc_id % 13 <> 0)""")
+sha256(CASE doc_id % 13 WHEN 0 THEN chr(65533) || 'PNG' || chr(13) || chr(10) || chr(0) || text WHEN 5 THEN chr(65533) || text ELSE decoded END) AS replaced,
+sha256(CASE doc_id % 13 WHEN 0 THEN 'PNG' || chr(13) || chr(10) || chr(0) || text WHEN 7 THEN text || '(' ELSE text END) AS dropped
+FROM sniffed""")
 def decode_text(spark, sf):
     c = F.col("content")
-    readable = I.files(spark, sf).filter(~F.startswith(c, F.lit(bytearray(b"\x89PNG"))))
-    return readable.select(
+    return I.files(spark, sf).select(
         "path", "bundle_id", F.sha2(C.decode_replace(c), 256).alias("replaced"),
         F.sha2(C.decode_ignore(c), 256).alias("dropped"),
     )
@@ -277,13 +275,33 @@ def base64_errors(spark, sf):
     )
 
 
+@query("base64_padding", """
+WITH b AS (SELECT doc_id, text, base64(encode(text)) AS b FROM documents)
+SELECT doc_id, sha256(CASE doc_id % 6 WHEN 3 THEN CASE WHEN suffix(b, '=') THEN text ELSE text || text END
+WHEN 4 THEN CASE WHEN suffix(b, '=') THEN text END WHEN 5 THEN CASE WHEN NOT suffix(b, '=') THEN text END ELSE text END) AS decoded FROM b""")
+def base64_padding(spark, sf):
+    """Padding before the data, too much of it, in the middle, followed by more, and missing."""
+    b = C.to_base64(F.col("text").cast("binary"))
+    odd = (
+        F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit("="), b))
+        .when(F.col("doc_id") % 6 == 2, F.concat(b, F.lit("=")))
+        .when(F.col("doc_id") % 6 == 3, F.concat(b, b))
+        .when(F.col("doc_id") % 6 == 4, F.concat(b, F.lit("x")))
+        .when(F.col("doc_id") % 6 == 5, F.translate(b, "=", ""))
+        .otherwise(b)
+    )
+    return I.load(spark, sf, "documents").select("doc_id", F.sha2(C.from_base64(odd), 256).alias("decoded"))
+
+
 @query("encode_payload", """
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'UTF-8-BOM' WHEN 2 THEN 'auto' ELSE 'no-such-set' END AS encoding,
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'UTF-8-BOM' WHEN 2 THEN 'auto'
+ELSE CASE doc_id % 8 WHEN 7 THEN 'undefined' ELSE 'no-such-set' END END AS encoding,
 CASE doc_id % 4 WHEN 1 THEN sha256(unhex('EFBBBF') || encode(text)) WHEN 3 THEN NULL ELSE sha256(text) END AS payload
 FROM documents""")
 def encode_payload(spark, sf):
     name = F.expr(
-        "CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'UTF-8-BOM' WHEN 2 THEN 'auto' ELSE 'no-such-set' END"
+        "CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'UTF-8-BOM' WHEN 2 THEN 'auto' "
+        "ELSE CASE doc_id % 8 WHEN 7 THEN 'undefined' ELSE 'no-such-set' END END"
     )
     return I.load(spark, sf, "documents").select(
         "doc_id", name.alias("encoding"),

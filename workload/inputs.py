@@ -232,7 +232,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(
         F.lit("import os, sys as system\nfrom a.b import c\n\nN = M = 1\nclass K:\n    'doc'\n"),
         F.array_join(words, ""),
-        F.expr("CASE WHEN doc_id % 17 = 3 THEN 'def broken(:' ELSE '' END"),
+        F.expr("CASE doc_id % 17 WHEN 3 THEN 'def broken(:' WHEN 9 THEN '      w = 1' ELSE '' END"),
     )
     return load(spark, sf, "documents").select(
         F.expr("source || '/doc_' || CAST(doc_id AS STRING) || '.py'").alias("path"), text.alias("text")
