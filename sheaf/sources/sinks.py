@@ -3,42 +3,71 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from sheaf import schemas
+from sheaf.operators.manifest import guard
 
 
 @dataclass
 class _Written(WriterCommitMessage):
+    folder: str
     files: int
 
 
 class FileTreeWriter(DataSourceArrowWriter):
-    """One file per row. A file appears under its name only when complete, so a task that is run
-    again after a failure leaves the same files behind."""
+    """One file per target, written in two steps.
+
+    A task writes below a folder of its own in the job's staging folder; neighbouring rows with one
+    target are one file. The job's commit moves the files of the tasks that counted into place, each
+    by one rename, and drops the rest; its abort drops everything. Nothing of a failed job is left,
+    and a task that ran twice counts once. The root is on a file system that all executors mount.
+    """
 
     def __init__(self, root: str):
         self.root = os.path.abspath(root)
+        self.staging = os.path.join(self.root, f".staging-{uuid.uuid4().hex}")
 
     def write(self, iterator) -> _Written:
-        n = 0
+        folder = os.path.join(self.staging, uuid.uuid4().hex)
+        n, last, out = 0, None, None
         for batch in iterator:
             for target, data in zip(
                 batch.column("target").to_pylist(), batch.column("payload").to_pylist()
             ):
-                path = os.path.join(self.root, target)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}.part")
-                with open(part, "wb") as f:
-                    f.write(data)
-                os.replace(part, path)
-                n += 1
-        return _Written(n)
+                if target != last:
+                    path = os.path.normpath(os.path.join(folder, target))
+                    if not path.startswith(folder + os.sep) or os.path.isabs(target):
+                        raise ValueError(f"Target outside of the output folder: {target!r}")
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    if out is not None:
+                        out.close()
+                    out, last, n = open(path, "wb"), target, n + 1  # noqa: SIM115
+                out.write(data)
+        if out is not None:
+            out.close()
+        return _Written(folder, n)
+
+    def commit(self, messages) -> None:
+        for m in messages:
+            if m is None or not m.files:
+                continue
+            for folder, _, names in os.walk(m.folder):
+                own = os.path.join(self.root, os.path.relpath(folder, m.folder))
+                if names:
+                    os.makedirs(own, exist_ok=True)
+                for name in names:
+                    os.replace(os.path.join(folder, name), os.path.join(own, name))
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class FileTreeSink(DataSource):
@@ -54,59 +83,96 @@ class FileTreeSink(DataSource):
 
 
 def write_files(spark: SparkSession, files: DataFrame, root: str) -> None:
-    """``files(target, payload)`` below ``root``. Parents are created; bytes are written as is."""
+    """``files(target, payload)`` below ``root``. Parents are created; bytes are written as is. A
+    target outside of the root fails the job before any file appears."""
     spark.dataSource.register(FileTreeSink)
     files.select("target", "payload").write.format("filetree_sink").mode("append").save(root)
 
 
-def write_actions(spark: SparkSession, actions: DataFrame, root: str) -> None:
-    """The processed rows of an extraction plan. Two rows for one target (overwrite policy): the
-    later entry is the one written."""
-    done = actions.filter("status = 'processed'")
-    last = done.groupBy("bundle_id", "target").agg(F.max("entry_idx").alias("entry_idx"))
-    final = done.join(last.select("bundle_id", "entry_idx"), ["bundle_id", "entry_idx"], "left_semi")
-    write_files(spark, final, root)
+def folder_of(bundle_id: str) -> Column:
+    """A folder or file name for a bundle: its id, encoded where it is not a plain name."""
+    name = F.coalesce(F.col(bundle_id), F.lit(""))
+    plain = F.rlike(name, F.lit(r"\A[\w-][\w .-]*\z"))
+    return F.when(plain, name).otherwise(F.concat(F.lit("%"), F.url_encode(name)))
 
 
-def write_bundles(spark: SparkSession, bundles: DataFrame, root: str, suffix: str = ".txt") -> None:
+def write_actions(spark: SparkSession, actions: DataFrame, root: str, flat: bool = False) -> None:
+    """The processed rows of an extraction plan, each bundle in a folder of its own. Two rows for
+    one target (overwrite policy): the later entry is the one written.
+
+    ``flat`` puts all bundles into the root itself; a target of several bundles then fails the job.
+    """
+    done = actions.filter("status = 'processed'")
+    if flat:
+        last = done.groupBy("target").agg(
+            F.max("entry_idx").alias("entry_idx"), F.min("bundle_id").alias("bundle_id"),
+            F.max("bundle_id").alias("__other"),
+        ).filter(guard(
+            F.col("bundle_id") != F.col("__other"),
+            F.concat(F.lit("Several bundles extract to '"), F.col("target"), F.lit("'")),
+        ))
+        target = F.col("target")
+    else:
+        last = done.groupBy("bundle_id", "target").agg(F.max("entry_idx").alias("entry_idx"))
+        target = F.concat(folder_of("bundle_id"), F.lit("/"), F.col("target"))
+    keys = last.select("bundle_id", "entry_idx")
+    final = done.join(keys, ["bundle_id", "entry_idx"], "left_semi")
+    write_files(spark, final.select(target.alias("target"), "payload"), root)
+
+
+def write_bundles(spark: SparkSession, bundles: DataFrame, root: str, suffix: str = ".txt",
+                  separator: str = "") -> None:
     """One UTF-8 file per bundle, byte for byte; a bundle in parts gets one file per part, whose
-    names sort in order."""
+    names sort in order. ``separator`` is the format's, and goes before every part but the first,
+    so that the parts one after the other are the bundle."""
+    parts = F.col("in_parts")
     name = F.when(
-        F.col("in_parts"), F.format_string("%s.%012d", F.col("bundle_id"), F.col("part_no"))
-    ).otherwise(F.col("bundle_id"))
+        parts, F.format_string("%s.%012d", folder_of("bundle_id"), F.col("part_no"))
+    ).otherwise(folder_of("bundle_id"))
+    lead = F.when(parts & (F.col("part_no") > 0), F.lit(separator)).otherwise("")
     write_files(
         spark,
         bundles.select(
             F.concat(name, F.lit(suffix)).alias("target"),
-            F.col("text").cast("binary").alias("payload"),
+            F.concat(lead, F.col("text")).cast("binary").alias("payload"),
         ),
         root,
     )
 
 
-def write_blocks_text(blocks: DataFrame, root: str, separator: str = "") -> None:
-    """Bundles of any size as text: per bundle a folder whose files, in name order, are the bundle.
+def write_blocks_text(spark: SparkSession, blocks: DataFrame, root: str, separator: str = "") -> None:
+    """Bundles of any size: per bundle a folder whose files, in name order, are the bundle, byte
+    for byte.
 
-    Rows are range-partitioned by bundle and position, so a large bundle is written by many tasks.
-    The text writer ends each block with a newline, so the block's own final newline is taken off.
+    Rows are range-partitioned by bundle and position, so a large bundle is written by many tasks,
+    each of which adds one file to it. The separator goes before every block but a bundle's first.
     """
-    line = F.regexp_replace(F.concat("block", F.lit(separator)), r"\n\z", "")
-    (
-        blocks.select("bundle_id", "entry_idx", line.alias("value"))
+    first = blocks.groupBy("bundle_id").agg(F.min("entry_idx").alias("__first"))
+    lead = F.when(F.col("entry_idx") > F.col("__first"), F.lit(separator)).otherwise("")
+    sliced = (
+        blocks.join(first, "bundle_id")
+        .select("bundle_id", "entry_idx", F.concat(lead, F.col("block")).alias("__text"))
         .repartitionByRange("bundle_id", "entry_idx")
         .sortWithinPartitions("bundle_id", "entry_idx")
-        .drop("entry_idx")
-        .write.mode("overwrite").partitionBy("bundle_id").text(root)
     )
+    target = F.format_string("%s/part-%08d", folder_of("bundle_id"), F.spark_partition_id())
+    write_files(spark, sliced.select(target.alias("target"), F.col("__text").cast("binary").alias("payload")), root)
 
 
 def append_log(events: DataFrame, path: str) -> None:
-    """JSON lines; ``details`` is stored as an object, not as quoted text."""
+    """JSON lines; ``details`` is stored as an object, not as quoted text. A null field is null, and
+    details that are no JSON become a string, so that every event is one readable line."""
+    details = F.col("details")
+    sound = F.try_parse_json(details).isNotNull()
+    value = lambda c: F.coalesce(F.to_json(c.cast("variant")), F.lit("null"))
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     line = F.concat(
-        F.lit('{"sessionId":'), F.to_json(F.col("sessionId").cast("variant")),
-        F.lit(',"timestamp":"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"),
-        F.lit('","event":'), F.to_json(F.col("event").cast("variant")),
-        F.lit(',"details":'), F.col("details"), F.lit("}"),
+        F.lit('{"sessionId":'), value(F.col("sessionId")),
+        F.lit(',"timestamp":'), F.coalesce(F.concat(F.lit('"'), stamp, F.lit('"')), F.lit("null")),
+        F.lit(',"event":'), value(F.col("event")),
+        F.lit(',"details":'),
+        F.when(details.isNull(), F.lit("null")).when(sound, F.translate(details, "\n\r", "  ")).otherwise(value(details)),
+        F.lit("}"),
     )
     events.select(line.alias("value")).write.mode("append").text(path)
 

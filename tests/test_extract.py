@@ -69,7 +69,7 @@ def test_partial_failure(spark):
     stats = X.extraction_stats(plan).first()
     assert (stats.processed, stats.skipped, stats.errors) == (1, 0, 3)
     errors = [r.error for r in plan.orderBy("entry_idx").collect()]
-    assert "escapes" in errors[0] and errors[1] is None and "decode" in errors[2] and "Unknown encoding" in errors[3]
+    assert "escapes" in errors[0] and errors[1] is None and "decode" in errors[2] and "unknown encoding: no-set" in errors[3]
 
 
 def test_broken_entry_holds_no_place(spark):
@@ -97,7 +97,7 @@ def test_absolute_paths(spark):
 
 def test_files_are_written(spark, tmp_path):
     e = entries(spark, [text("a/b.txt", "x\r\n"), ("c.bin", "AAE=", "base64", True), text("./a/b.txt", "later"), ("d.txt", "é", "utf-8-bom", False)])
-    write_actions(spark, X.plan_extraction(e, existing(spark, "none"), "overwrite", add_headers=False), str(tmp_path))
+    write_actions(spark, X.plan_extraction(e, existing(spark, "none"), "overwrite", add_headers=False), str(tmp_path), flat=True)
     assert (tmp_path / "a/b.txt").read_bytes() == b"later"
     assert (tmp_path / "c.bin").read_bytes() == b"\x00\x01"
     assert (tmp_path / "d.txt").read_bytes() == b"\xef\xbb\xbf\xc3\xa9"
