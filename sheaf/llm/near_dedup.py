@@ -229,31 +229,42 @@ def _possible(n: str, other: str) -> str:
     return f"{DENOMINATOR} * least({n}, {other}) >= {NUMERATOR} * greatest({n}, {other})"
 
 
+def _rare_first(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Each array in the order of how many of the arrays have an element."""
+    together = np.concatenate(parts)
+    _, back, count = np.unique(together, return_inverse=True, return_counts=True)
+    often = count[back.ravel()]
+    out, at = [], 0
+    for part in parts:
+        out.append(part[np.argsort(often[at:at + len(part)], kind="stable")])
+        at += len(part)
+    return out
+
+
 def _differences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shingles in which a member and its hub differ, keyed with the hub; ``part`` marks those
-    given for the role of y. Members that are linked to their hub give no others."""
-    last, hub_set = None, None
+    given for the role of y. Members that are linked to their hub give no others.
+
+    Which shingles are given is free, only their number is not, so rarity need not be exact: it is
+    counted over the members of a hub that a frame holds, of a few hundred at a time.
+    """
     for frame in frames:
-        keys, nodes, parts = [], [], []
-        held = 0
-        for node, hub, linked, text, hub_text in zip(*(frame[c] for c in ("node", "hub", "linked", "text", "hub_text"))):
-            if last is None or last[0] != hub or last[1] != hub_text:
-                last, hub_set = (hub, hub_text), shingle_hashes(b" ".join(words_of(hub_text)))
-            own = shingle_hashes(b" ".join(words_of(text)))
-            added = np.setdiff1d(own, hub_set, assume_unique=True)
-            missing = np.setdiff1d(hub_set, own, assume_unique=True)
-            both = np.concatenate((added, missing))
-            given = len(both) - (7 * len(both) + len(hub_set) - len(own)) // 14
-            both = both[:given] if linked else both
-            keys.append(_mix(both ^ _mix(np.array([hub], dtype=np.int64).view(_U))))
-            nodes.append(np.full(len(both), node, dtype=np.int64))
-            parts.append(np.arange(len(both)) < given)
-            held += len(both)
-            if held > 500_000:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "part": np.concatenate(parts)})
-                keys, nodes, parts, held = [], [], [], 0
-        if keys:
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "part": np.concatenate(parts)})
+        for (hub, hub_text), family in frame.groupby(["hub", "hub_text"], sort=False):
+            hub_set = shingle_hashes(b" ".join(words_of(hub_text)))
+            mark = _mix(np.array([hub], dtype=np.int64).view(_U))
+            for at in range(0, len(family), 500):
+                some = family.iloc[at:at + 500]
+                sets = [shingle_hashes(b" ".join(words_of(t))) for t in some["text"]]
+                differ = _rare_first([np.setxor1d(s, hub_set, assume_unique=True) for s in sets])
+                given = [len(d) - (7 * len(d) + len(hub_set) - len(s)) // 14 for d, s in zip(differ, sets)]
+                differ = [d[:g] if linked else d for d, g, linked in zip(differ, given, some["linked"])]
+                sizes = [len(d) for d in differ]
+                yield pd.DataFrame({
+                    "key": _mix(np.concatenate(differ) ^ mark).view(np.int64),
+                    "node": np.repeat(some["node"].to_numpy(dtype=np.int64), sizes),
+                    "component": np.repeat(some["component"].to_numpy(dtype=np.int64), sizes),
+                    "part": np.concatenate([np.arange(n) < g for n, g in zip(sizes, given)]),
+                })
 
 
 def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
@@ -294,27 +305,24 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     open_hubs = family.groupBy("hub").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"),
     ).where("low <> high and not all").select("hub")
-    left = written(family.join(open_hubs, "hub", "left_semi").select("node", "hub", "linked").distinct(), "open")
+    left = written(family.join(open_hubs, "hub", "left_semi").select("node", "hub", "linked", "component").distinct(), "open")
     wanted = left.select(F.col("node").alias("doc_id")).union(left.select("hub")).distinct()
     texts = _texts(docs, wanted, "open-texts")
     differing = written(
         left.join(texts.toDF("node", "text"), "node").join(texts.toDF("hub", "hub_text"), "hub")
-        .select("node", "hub", "linked", "text", "hub_text")
-        .mapInPandas(_differences, "key long, node long, part boolean"), "differences",
+        .select("node", "hub", "linked", "component", "text", "hub_text")
+        .mapInPandas(_differences, "key long, node long, component long, part boolean"), "differences",
     )
     whole = differing.join(left.where("not linked").select("node").distinct(), "node", "left_semi")
     sizes = nodes.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    known = sizes.join(component, "node", "left").select(
-        "node", "low", "high", F.coalesce("component", "node").alias("component"))
     met = (
-        differing.where("part").select("key", F.col("node").alias("b"))
-        .join(whole.select("key", F.col("node").alias("a")), "key").where("a <> b")
+        differing.where("part").select("key", F.col("node").alias("b"), F.col("component").alias("b_component"))
+        .join(whole.select("key", F.col("node").alias("a"), F.col("component").alias("a_component")), "key")
+        .where("a_component <> b_component")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     pairs = (
-        met.join(known.toDF("a", "a_low", "a_high", "a_component"), "a")
-        .join(known.toDF("b", "b_low", "b_high", "b_component"), "b")
-        .where("a_component <> b_component")
+        met.join(sizes.toDF("a", "a_low", "a_high"), "a").join(sizes.toDF("b", "b_low", "b_high"), "b")
         .where(f"{DENOMINATOR} * least(a_high, b_high) >= {NUMERATOR} * greatest(a_low, b_low)").select("a", "b")
     )
     links = links.unionByName(_verified(pairs, nodes, docs, miss, "rest").toDF("u", "v"))
