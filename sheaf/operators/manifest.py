@@ -38,8 +38,19 @@ def entry_columns(path: Column, content: Column, length: Column, newline_text: b
     }
 
 
-def number_files(files: DataFrame) -> DataFrame:
-    """``entry_idx`` by source, then path components. Best done on a listing without contents."""
+def number_files(files: DataFrame, duplicates: str = "fail") -> DataFrame:
+    """``entry_idx`` by source, then path components. Best done on a listing without contents.
+
+    A path that a bundle has twice makes a bundle that cannot be read back, so it stops the job;
+    ``duplicates="keep"`` leaves the rows for :func:`duplicate_report` and its like.
+    """
+    if duplicates == "fail":
+        places = Window.partitionBy("bundle_id", "path")
+        message = F.concat(F.lit("Duplicate file path in bundle '"), F.col("bundle_id"), F.lit("': "), F.col("path"))
+        files = (
+            files.withColumn("__same", F.count(F.lit(1)).over(places))
+            .filter(guard(F.col("__same") > 1, message)).drop("__same")
+        )
     order = [order_key(F.col("path"))]
     if "source_ord" in files.columns:
         order.insert(0, F.col("source_ord"))
@@ -315,10 +326,12 @@ def listing(entries: DataFrame) -> DataFrame:
     ).orderBy("bundle_id", "entry_idx")
 
 
-def preview(entries: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Per bundle: files, size, and characters of the formatted text."""
+def preview(entries: DataFrame, bundles: DataFrame, separator: str = "") -> DataFrame:
+    """Per bundle: files, size, and characters of the formatted text. ``separator`` is the format's,
+    which stands between the parts of a bundle that comes in several."""
     stats = manifest_stats(entries).select("bundle_id", "file_count", "total_size_bytes")
-    chars = bundles.groupBy("bundle_id").agg(F.sum(F.length("text")).alias("char_count"))
+    between = len(separator) * (F.count(F.lit(1)) - 1)
+    chars = bundles.groupBy("bundle_id").agg((F.sum(F.length("text")) + between).alias("char_count"))
     return stats.join(chars, "bundle_id").select(
         "bundle_id", "file_count", "total_size_bytes",
         human_size(F.col("total_size_bytes")).alias("size_label"), "char_count",

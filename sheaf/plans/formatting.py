@@ -9,7 +9,6 @@ from sheaf.plans.parsing import _chooser, parse_bundles
 from sheaf.profiles import Profile, ProfileRegistry, default_registry
 
 MAX_TEXT_BYTES = 256 * 1024 * 1024
-MIN_BROADCAST_LIMIT = 64 * 1024 * 1024
 _USED = ("path", "content", "encoding", "is_binary", "eol_style")
 
 
@@ -60,10 +59,8 @@ def assemble(blocks: DataFrame, separator: Column | str, max_bytes: int = MAX_TE
     blocks: its part number is the entry position divided by as many entries as always fit, so no
     group collects more than ``max_bytes``.
 
-    Sizes are summed with a map-side combine, and only bundles over the limit are kept. These are
-    at most the total size divided by ``max_bytes``: 400,000 short rows, some 20 MB, for 100 TB at
-    the default. With a limit of that order they are broadcast, so the blocks are shuffled once;
-    with a small limit the bound is weak and the join is left to Spark.
+    Sizes are summed with a map-side combine, and only bundles over the limit are kept; whether
+    these few rows are broadcast is left to Spark, which has measured them by then.
     """
     size = F.octet_length("block") + 2
     oversized = (
@@ -75,8 +72,6 @@ def assemble(blocks: DataFrame, separator: Column | str, max_bytes: int = MAX_TE
             F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.col("largest"))).alias("per_part"),
         )
     )
-    if max_bytes >= MIN_BROADCAST_LIMIT:
-        oversized = F.broadcast(oversized)
     sized = blocks.join(oversized, "bundle_id", "left")
 
     part = F.coalesce(F.floor(F.col("entry_idx") / F.col("per_part")), F.lit(0)).cast("bigint")

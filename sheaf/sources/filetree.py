@@ -58,7 +58,7 @@ class FileTreeReader(DataSourceReader):
                 yield _batch(rows[:65536])
                 rows = rows[65536:]
         for top in partition.deep:
-            for folder, _, _ in os.walk(top):
+            for folder, _, _ in os.walk(top, onerror=_unreadable):
                 rows += _files(folder)
                 while len(rows) >= 65536:
                     yield _batch(rows[:65536])
@@ -66,6 +66,11 @@ class FileTreeReader(DataSourceReader):
         yield _batch(rows)
 
 
+def _unreadable(error: OSError) -> None:
+    """A folder that cannot be read stops the job, on whatever level it is met."""
+    raise error
+
+
 def _subfolders(folder: str) -> list[str]:
     with os.scandir(folder) as found:
         return sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
@@ -79,7 +84,7 @@ def _files(path: str) -> list[tuple[str, int]]:
         for e in found:
             try:
                 info = e.stat()
-            except OSError:
+            except FileNotFoundError:  # gone meanwhile, or a link to nothing
                 continue
             if stat.S_ISREG(info.st_mode):
                 out.append((e.path, info.st_size))
@@ -129,7 +134,6 @@ def discover_files(spark: SparkSession, sources: str | Sequence[str], base: str
         rel = relative_to(F.col("abs_path"), below)
         listings.append(
             list_files(spark, root)
-            .dropDuplicates(["abs_path"])
             .withColumn("path", rel)
             .filter(F.col("path").isNotNull() & globs.includes(F.col("path")))
         )

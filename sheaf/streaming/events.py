@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sheaf import schemas
+from sheaf.functions.content import decode_ignore
 
 # Event names.
 OPERATION_START = "operation_start"
@@ -117,10 +118,8 @@ def stream_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.LOG).json(path)
 
 
-def stream_event_counts(log: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Running counts. Without a watermark the state holds one row per session and event name."""
-    if watermark:
-        log = log.withWatermark("timestamp", watermark)
+def stream_event_counts(log: DataFrame) -> DataFrame:
+    """Running counts of all time. The state holds one row per session and event name, for good."""
     return event_counts(log)
 
 
@@ -151,12 +150,17 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def stream_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """Bundle files as they arrive, one row each."""
-    return spark.readStream.text(path, wholetext=True).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("bundle_id"),
-        F.col("value").alias("text"),
-    )
+    """Bundle files as they arrive, one row each, named and decoded as by ``read_bundles_text``: by
+    the path below ``path``, with undecodable bytes dropped."""
+    files = spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", True).load(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    return files.select(below.alias("bundle_id"), decode_ignore(F.col("content")).alias("text"))
 
 
 def validate_stream(bundles: DataFrame, out: str, checkpoint: str,

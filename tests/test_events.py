@@ -40,7 +40,7 @@ def test_stream_equals_batch(spark, tmp_path):
         assert sorted(map(tuple, E.latest_counts(spark, out + "_u").collect())) == sorted(map(tuple, want))
     summary = {r.sessionId: r for r in E.session_summary(read_log(spark, log)).collect()}
     assert summary["s0"].totalEvents == 14 and summary["s0"].eventCounts == {"error": 7, "custom": 7}
-    assert E.stream_event_counts(E.stream_log(spark, log), "1 hour").isStreaming
+    assert E.stream_event_counts(E.stream_log(spark, log)).isStreaming
 
 
 def test_bundles_as_they_arrive(spark, tmp_path):

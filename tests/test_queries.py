@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from workload import QUERIES
 from workload.check import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF).toPandas()
     if name in entry.oracle_sql():

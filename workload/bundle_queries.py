@@ -287,7 +287,7 @@ WHEN total_size_bytes < 1048576 THEN printf('%.1f KB', total_size_bytes / 1024.0
 CAST(char_count AS BIGINT) AS char_count FROM s""")
 def preview(spark, sf):
     entries = I.turn_entries(spark, sf)
-    return M.preview(entries, W.format_bundles(entries, "plain_marker"))
+    return M.preview(entries, W.format_bundles(entries, "plain_marker", max_bytes=2000))
 
 
 @query("convert_profile", f"""
