@@ -43,16 +43,13 @@ def pairing_key(file: Column, mode: str) -> Column:
 
 def pair_files(old: DataFrame, new: DataFrame, mode: str = "path") -> DataFrame:
     """``file_old, file_new, key`` for files on both sides with one key; of several files with a
-    key the last in catalog order counts. The rank filter trims before the shuffle."""
+    key the last in catalog order counts, combined before the shuffle."""
 
     def last_by_key(files: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("key").orderBy(F.desc("ord"))
         return (
             files.filter(F.coalesce("file", F.lit("")) != "")
-            .withColumn("key", pairing_key(F.col("file"), mode))
-            .withColumn("rank", F.row_number().over(w))
-            .filter("rank = 1")
-            .select("key", F.col("file").alias(name))
+            .groupBy(pairing_key(F.col("file"), mode).alias("key"))
+            .agg(F.max_by("file", "ord").alias(name))
         )
 
     return last_by_key(old, "file_old").join(last_by_key(new, "file_new"), "key").select(

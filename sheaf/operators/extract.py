@@ -230,6 +230,12 @@ def place(targets: DataFrame, existing: DataFrame, policy: object = "prompt") ->
     """``bundle_id, entry_idx, target, status, renamed_from`` for the entries with a safe path."""
     policy = policy_name(policy)
     none = F.lit(None).cast("string")
+    if policy == "overwrite":  # nothing that is there matters
+        return targets.filter(F.col("error").isNull()).select(
+            "bundle_id", "entry_idx", "target",
+            F.when(F.col("broken"), F.lit("error")).otherwise("processed").alias("status"),
+            none.alias("renamed_from"),
+        )
     claims = _claims(targets, existing)
     if policy == "rename":
         sound = rename_targets(claims.filter(~F.col("broken")), existing).select(
