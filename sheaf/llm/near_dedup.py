@@ -17,8 +17,10 @@ places in buckets, which in a group of near copies tends to be their origin:
    h in the same shingles. With Dx the symmetric difference of x and h, a similarity of 3/4 means
    |Dx| + |Dy| - 2 |Dx & Dy| <= (|x| + |y|) / 7, while |Dx| > (|x| + |h|) / 7, so Dx and Dy share more
    than b = (7 |Dy| + |h| - |y|) / 14 shingles, and any |Dy| - floor(b) shingles of Dy hold one of
-   them. Each y gives so many of its Dy, those that h lacks first, as these are rarely shared; each
-   x gives all of Dx. Pairs that meet in a shingle and lie in different components are compared.
+   them. Each y gives so many of its Dy and ``EXTRA`` more, those rare among its neighbours first;
+   each x gives all of its Dx. Pairs that meet in a shingle have their meetings counted, and a pair
+   in different components is compared if, with all the shingles that y did not give, it could
+   share as many as the first inequality demands.
 
 So every pair that shares a bucket is compared, lies in one component, or is proven not to be a
 link, and the number of comparisons does not grow with the square of a bucket.
@@ -50,6 +52,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-6
+#: Shingles that a member gives beyond those it must.
+EXTRA = 8
 #: Similarity limit as a fraction, so that the exact test is in integers.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -242,8 +246,9 @@ def _rare_first(parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _differences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles in which a member and its hub differ, keyed with the hub; ``part`` marks those
-    given for the role of y. Members that are linked to their hub give no others.
+    """Shingles in which a member and its hub differ, keyed with the hub, with set size ``n``, number
+    of differences ``d``, and how many of them are ``given`` for the role of y (0 on the others).
+    Members that are linked to their hub give no others; ``whole`` marks those that are not.
 
     Which shingles are given is free, only their number is not, so rarity need not be exact: it is
     counted over the members of a hub that a frame holds, of a few hundred at a time.
@@ -256,14 +261,16 @@ def _differences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 some = family.iloc[at:at + 500]
                 sets = [shingle_hashes(b" ".join(words_of(t))) for t in some["text"]]
                 differ = _rare_first([np.setxor1d(s, hub_set, assume_unique=True) for s in sets])
-                given = [len(d) - (7 * len(d) + len(hub_set) - len(s)) // 14 for d, s in zip(differ, sets)]
-                differ = [d[:g] if linked else d for d, g, linked in zip(differ, given, some["linked"])]
-                sizes = [len(d) for d in differ]
+                bounds = [(7 * len(d) + len(hub_set) - len(s)) // 14 for d, s in zip(differ, sets)]
+                given = [len(d) - max(0, b - EXTRA) for d, b in zip(differ, bounds)]
+                sizes = [g if linked else len(d) for d, g, linked in zip(differ, given, some["linked"])]
+                spread = lambda values: np.repeat(np.asarray(values, dtype=np.int64), sizes)  # noqa: B023, E731
+                first = np.concatenate([np.arange(n) < g for n, g in zip(sizes, given)])
                 yield pd.DataFrame({
-                    "key": _mix(np.concatenate(differ) ^ mark).view(np.int64),
-                    "node": np.repeat(some["node"].to_numpy(dtype=np.int64), sizes),
-                    "component": np.repeat(some["component"].to_numpy(dtype=np.int64), sizes),
-                    "part": np.concatenate([np.arange(n) < g for n, g in zip(sizes, given)]),
+                    "key": _mix(np.concatenate([d[:n] for d, n in zip(differ, sizes)]) ^ mark).view(np.int64),
+                    "node": spread(some["node"]), "component": spread(some["component"]),
+                    "n": spread([len(s) for s in sets]), "d": spread([len(d) for d in differ]),
+                    "given": np.where(first, spread(given), 0), "whole": spread(~some["linked"].to_numpy(dtype=bool)) > 0,
                 })
 
 
@@ -311,19 +318,16 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     differing = written(
         left.join(texts.toDF("node", "text"), "node").join(texts.toDF("hub", "hub_text"), "hub")
         .select("node", "hub", "linked", "component", "text", "hub_text")
-        .mapInPandas(_differences, "key long, node long, component long, part boolean"), "differences",
-    )
-    whole = differing.join(left.where("not linked").select("node").distinct(), "node", "left_semi")
-    sizes = nodes.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = (
-        differing.where("part").select("key", F.col("node").alias("b"), F.col("component").alias("b_component"))
-        .join(whole.select("key", F.col("node").alias("a"), F.col("component").alias("a_component")), "key")
-        .where("a_component <> b_component")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .mapInPandas(_differences, "key long, node long, component long, n long, d long, given long, whole boolean"), "differences",
     )
+    y = differing.where("given > 0").select("key", F.col("node").alias("y"), F.col("component").alias("own"), "n", "d", "given")
+    x = differing.where("whole").select("key", F.col("node").alias("x"), F.col("component").alias("other"),
+                                        F.col("n").alias("other_n"), F.col("d").alias("other_d"))
     pairs = (
-        met.join(sizes.toDF("a", "a_low", "a_high"), "a").join(sizes.toDF("b", "b_low", "b_high"), "b")
-        .where(f"{DENOMINATOR} * least(a_high, b_high) >= {NUMERATOR} * greatest(a_low, b_low)").select("a", "b")
+        y.join(x, "key").where("own <> other").where(_possible("n", "other_n"))
+        .groupBy("x", "y", "n", "other_n", "d", "other_d", "given").agg(F.count("*").alias("met"))
+        .where("14 * (met + d - given) >= 7 * (d + other_d) - n - other_n")
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
     links = links.unionByName(_verified(pairs, nodes, docs, miss, "rest").toDF("u", "v"))
 
