@@ -69,10 +69,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
 BROADCAST_IDS = 4_000_000
 
 
-def small_side(ids: DataFrame) -> DataFrame:
-    """A written table of one id a row, marked for broadcast if its size, counted first, is within
-    the bound. A filter by few ids then does not shuffle the texts it is put to."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def small_side(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A written table, marked for broadcast if its rows, counted first, are within the bound. A join
+    with few rows then does not shuffle the texts on its other side."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def n_words(text: Column) -> Column:

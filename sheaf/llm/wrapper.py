@@ -13,8 +13,8 @@ Extraction aligns a page's whole tree with its host's template in the same way.
 constant there, and nodes that match a dropped region, go; what lies below the root stays, as blocks
 in page order. A page whose tree has no match for the root is read by the rules alone.
 
-A host's template comes from a bounded sample and is small; pages meet it by a join on the host, and
-no task holds a host. Constants need three sample pages, and are given up where they would take
+A host's template comes from a bounded sample and is small; pages meet it by a join on the host, by
+broadcast while there are few templates, and no task holds a host. Constants need three sample pages, and are given up where they would take
 most of a node's text, as with near copies. Defined results: a null or empty page has an empty
 text; a null url is a host of its own; repeated rows give equal results; an unfinished tag at the
 end is dropped; an empty table gives no rows; other columns are ignored.
@@ -31,9 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import query, slices, table
+from sheaf.llm.common import query, slices, small_side, table, written
 
 SAMPLE = 8
+#: Up to so many drawn pages and templates (some kilobytes each) are broadcast.
+BROADCAST_DRAWN, BROADCAST_WRAPPERS = 500_000, 10_000
 LEAST_SAMPLE = 3
 #: A descent to a child keeps at least this share of the varying text.
 MOST = 0.7
@@ -376,6 +378,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     known = pages.where("length(html) > 0").select(_host().alias("host"), F.xxhash64("url", "page_id").alias("mark"), "html")
     place = F.pmod("mark", F.lit(SAMPLE)).alias("place")
     drawn = known.select("host", "mark", place).groupBy("host", "place").agg(F.min("mark").alias("mark"))
+    drawn = small_side(written(drawn, "drawn"), BROADCAST_DRAWN)
     # One row for each place: repeated rows share a mark.
     sample = known.join(drawn, ["host", "mark"]).groupBy("host", "place").agg(F.max("html").alias("html"))
     return sample.groupBy("host").applyInPandas(
@@ -399,7 +402,8 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_pages(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """(page_id, url, host, text, n_chars) for every page."""
-    wrappers = induce_wrappers(pages) if wrappers is None else wrappers
+    wrappers = written(induce_wrappers(pages), "wrappers") if wrappers is None else wrappers
+    wrappers = small_side(wrappers, BROADCAST_WRAPPERS)
     named = pages.select(F.col("page_id").cast("string"), "url", _host().alias("host"), "html")
     return named.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper").mapInPandas(
         _extract, "page_id string, url string, host string, text string, n_chars long",
