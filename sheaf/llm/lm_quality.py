@@ -2,10 +2,11 @@
 
 The model is over characters (UTF-16 units), of order four: a text is three start marks, its units,
 and an end mark. Character models need no vocabulary, judge any language and any length, and see
-odd spelling, symbols and capitals. Four units are one 64-bit number, so all tables hold longs.
+odd spelling, symbols and capitals. All digits are one symbol, as numbers say nothing of quality.
+Four units are one 64-bit number, so all tables hold longs.
 
-*Training* counts the four-grams of every trusted document (a label with ``quality`` 1 and
-``toxic`` 0) in one pass that also notes the four-grams of all other documents. Lower orders count
+*Training* counts the four-grams of four in five trusted documents (a label with ``quality`` 1 and
+``toxic`` 0; every fifth, by a hash of its id, is held out) in one pass that also notes the four-grams of all other documents. Lower orders count
 distinct left neighbours. Each order has three discounts from its counts of counts, and each
 context a weight for the next lower order; the lowest is mixed with a uniform distribution.
 
@@ -14,11 +15,12 @@ each block asks once for each of its distinct four-grams, and the requests are j
 sharded table of probabilities; the answers meet their block again, which sums up its documents.
 What is asked for grows with the number of blocks, so with the input.
 
-*Thresholds* are an upper and a lower quantile of the perplexity of trusted documents, by language
+*Thresholds* are an upper and a lower quantile of the perplexity of held-out documents, by language
 and length class (powers of four of the number of units, as short texts vary more). Above lies text
 unlike the trusted one, below lies text that is too predictable, such as repetition. A language or
-class with fewer than ``MIN_TRUSTED`` trusted documents takes the quantiles of all languages in
-that class, then of all trusted documents; without any, nothing is rejected.
+class with fewer than ``MIN_TRUSTED`` held-out documents takes the quantiles of all languages in
+that class, then of all held-out documents, then of all trusted ones; without any, nothing is
+rejected.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null lang is a language
 of its own; repeated rows are scored alike; an empty table gives no rows; without trusted text all
@@ -38,9 +40,11 @@ from sheaf.llm.common import query, slices, small_side, table, written
 
 ORDER = 4
 LOWER_QUANTILE, UPPER_QUANTILE = 0.001, 0.999
-#: Room outside the quantiles, in nats per unit.
-MARGIN = 0.03
-MIN_TRUSTED = 200
+#: Room outside the quantiles, in nats per unit, and what short texts get on top, by the root of
+#: their length.
+MARGIN, SLACK = 0.02, 1.0
+MIN_TRUSTED = 100
+HELD_OUT = 5
 BLOCK_CHARS = 24_000_000
 
 _START, _END = "\x02" * (ORDER - 1), "\x03"
@@ -51,6 +55,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     coded = [(_START + t + _END).encode("utf-16-le", "surrogatepass") for t in texts]
     sizes = np.array([len(c) // 2 - (ORDER - 1) for c in coded], dtype=np.int64)
     units = np.frombuffer(b"".join(coded), dtype="<u2").astype(np.uint64)
+    units[(units >= 48) & (units <= 57)] = 48
     keys = units[3:] | (units[2:-1] << np.uint64(16)) | (units[1:-2] << np.uint64(32)) | (units[:-3] << np.uint64(48))
     # The three windows before each text but the first end in a start mark.
     keep = np.ones(len(keys), dtype=bool)
@@ -200,7 +205,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.groupBy(F.col("doc_id").cast("long")).agg(
         F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
     ).where("good and doc_id is not null").select("doc_id")
-    probs = log_probabilities(written(gram_counts(named, trusted), "grams"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
+    probs = log_probabilities(written(gram_counts(named, trusted.where(~held)), "grams"))
     empty = named.where("coalesce(length(text), 0) = 0").select(
         "doc_id", "mark", "lang", F.lit(0).cast("long").alias("n_units"), F.lit(None).cast("double").alias("loss"))
     if probs is None:
@@ -217,17 +223,19 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .unionByName(empty), "scored",
         )
     scored = scored.withColumn("class", _length_class("n_units"))
-    good = scored.where("loss is not null").join(trusted, "doc_id", "left_semi")
+    known = scored.where("loss is not null").join(trusted, "doc_id", "left_semi")
+    good = known.where(held)
     quantiles = F.percentile_approx("loss", [LOWER_QUANTILE, UPPER_QUANTILE], 100_000)
     own = good.groupBy("lang", "class").agg(quantiles.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
     mixed = good.groupBy("class").agg(quantiles.alias("mixed"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    total = good.agg(quantiles).first()[0]
+    total = good.agg(quantiles).first()[0] or known.agg(quantiles).first()[0]
     joined = scored.join(
         own.select(F.col("lang").alias("own_lang"), F.col("class").alias("own_class"), "own"),
         F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("class") == F.col("own_class")), "left",
     ).join(mixed.select(F.col("class").alias("mixed_class"), "mixed"), F.col("class") == F.col("mixed_class"), "left")
     limits = F.coalesce("own", "mixed", F.array(*map(F.lit, total)) if total else F.lit(None).cast("array<double>"))
-    low, high = limits[0] - MARGIN, limits[1] + MARGIN
+    room = MARGIN + SLACK / F.sqrt(F.col("n_units").cast("double"))
+    low, high = limits[0] - room, limits[1] + room
     kept = (F.col("n_units") > 0) & F.coalesce(F.col("loss").between(low, high), F.lit(True))
     return joined.select("doc_id", "mark", "lang", "n_units", F.exp("loss").alias("perplexity"), F.exp(low).alias("least"),
                          F.exp(high).alias("most"), kept.alias("kept"))
