@@ -234,7 +234,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("class") == F.col("own_class")), "left",
     ).join(mixed.select(F.col("class").alias("mixed_class"), "mixed"), F.col("class") == F.col("mixed_class"), "left")
     limits = F.coalesce("own", "mixed", F.array(*map(F.lit, total)) if total else F.lit(None).cast("array<double>"))
-    room = MARGIN + SLACK / F.sqrt(F.col("n_units").cast("double"))
+    room = MARGIN + SLACK / F.sqrt(F.greatest("n_units", F.lit(1)).cast("double"))
     low, high = limits[0] - room, limits[1] + room
     kept = (F.col("n_units") > 0) & F.coalesce(F.col("loss").between(low, high), F.lit(True))
     return joined.select("doc_id", "mark", "lang", "n_units", F.exp("loss").alias("perplexity"), F.exp(low).alias("least"),
