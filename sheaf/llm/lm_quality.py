@@ -19,8 +19,8 @@ What is asked for grows with the number of blocks, so with the input.
 and length class (powers of four of the number of units, as short texts vary more). Above lies text
 unlike the trusted one, below lies text that is too predictable, such as repetition. A language or
 class with fewer than ``MIN_TRUSTED`` held-out documents takes the quantiles of all languages in
-that class, then of all held-out documents, then of all trusted ones; without any, nothing is
-rejected.
+that class, then of all held-out documents, and where these are too few, of all trusted ones;
+without any, nothing is rejected.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null lang is a language
 of its own; repeated rows are scored alike; an empty table gives no rows; without trusted text all
@@ -228,7 +228,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     quantiles = F.percentile_approx("loss", [LOWER_QUANTILE, UPPER_QUANTILE], 100_000)
     own = good.groupBy("lang", "class").agg(quantiles.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
     mixed = good.groupBy("class").agg(quantiles.alias("mixed"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    total = good.agg(quantiles).first()[0] or known.agg(quantiles).first()[0]
+    total, n = good.agg(quantiles, F.count("*")).first()
+    if n < MIN_TRUSTED:
+        total = known.agg(quantiles).first()[0]
     joined = scored.join(
         own.select(F.col("lang").alias("own_lang"), F.col("class").alias("own_class"), "own"),
         F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("class") == F.col("own_class")), "left",
