@@ -18,9 +18,10 @@ places in buckets, which in a group of near copies tends to be their origin:
    |Dx| + |Dy| - 2 |Dx & Dy| <= (|x| + |y|) / 7, while |Dx| > (|x| + |h|) / 7, so Dx and Dy share more
    than b = (7 |Dy| + |h| - |y|) / 14 shingles, and any |Dy| - floor(b) shingles of Dy hold one of
    them. Each y gives so many of its Dy and ``EXTRA`` more, those rare among its neighbours first;
-   each x gives all of its Dx. Pairs that meet in a shingle have their meetings counted, and a pair
-   in different components is compared if, with all the shingles that y did not give, it could
-   share as many as the first inequality demands.
+   each x gives all of its Dx. Pairs in different components that meet in a shingle have their
+   meetings counted, unless their sizes, or ||Dx| - |Dy|| > (|x| + |y|) / 7, rule them out. A pair
+   is compared if, with all the shingles that y did not give, it could share as many as the first
+   inequality demands.
 
 So every pair that shares a bucket is compared, lies in one component, or is proven not to be a
 link, and the number of comparisons does not grow with the square of a bucket.
@@ -52,8 +53,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-6
-#: Shingles that a member gives beyond those it must.
-EXTRA = 8
+#: Shingles that a member gives beyond those it must; more of them make more pairs meet.
+EXTRA = 0
 #: Similarity limit as a fraction, so that the exact test is in integers.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -325,6 +326,7 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
                                         F.col("n").alias("other_n"), F.col("d").alias("other_d"))
     pairs = (
         y.join(x, "key").where("own <> other").where(_possible("n", "other_n"))
+        .where("7 * abs(d - other_d) <= n + other_n")
         .groupBy("x", "y", "n", "other_n", "d", "other_d", "given").agg(F.count("*").alias("met"))
         .where("14 * (met + d - given) >= 7 * (d + other_d) - n - other_n")
         .select(F.col("x").alias("a"), F.col("y").alias("b"))
