@@ -15,6 +15,15 @@ each block asks once for each of its distinct four-grams, and the requests are j
 sharded table of probabilities; the answers meet their block again, which sums up its documents.
 What is asked for grows with the number of blocks, so with the input.
 
+*Toxic documents* are good text with a few bad words, which hardly move a mean loss. Documents
+labelled ``toxic`` 1 (four in five, likewise) are counted in the same pass and give a second model
+over the same four-grams. A document's *excess* is the mean of log(((1 - t) p + t q) / p) over its
+units, with p of the trusted, q of the toxic model and t = ``TOXIC_SHARE``: how much better the text
+is explained as one with toxic parts. It is rejected above a quantile of held-out trusted documents,
+of (excess - median of the language) * sqrt(units), by language, or over all languages where a
+language has fewer than ``MIN_TRUSTED`` of them. What no labelled toxic document has is not found;
+without such labels the excess is 0 and nothing is rejected for it.
+
 *Thresholds* are an upper and a lower quantile of the perplexity of held-out documents, by language
 and length class (powers of four of the number of units, as short texts vary more). Above lies text
 unlike the trusted one, below lies text that is too predictable, such as repetition. A language or
@@ -44,9 +53,16 @@ LOWER_QUANTILE, UPPER_QUANTILE = 0.001, 0.999
 #: their length.
 MARGIN, SLACK = 0.02, 1.0
 MIN_TRUSTED = 100
+#: Languages with fewer held-out documents are centred at the median of all languages.
+MIN_CENTRE = 10
 HELD_OUT = 5
+#: Share of toxic units in a toxic document, and the quantile of trusted ones above which one is rejected.
+TOXIC_SHARE, TOXIC_QUANTILE = 0.1, 0.99
 BLOCK_CHARS = 24_000_000
 
+#: An excess this far above its limit is not told from one at it.
+ROUNDING = 1e-9
+TRUSTED, TOXIC = 1, 2
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 
 
@@ -66,35 +82,42 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct four-grams of a task with their trusted occurrences."""
-    held: list[pd.Series] = []
+    """Distinct four-grams of a task with their trusted and their toxic occurrences."""
+    held: list[pd.DataFrame] = []
     rows = 0
     for frame in slices(frames):
         frame = frame[frame["text"].str.len() > 0]
         if not len(frame):
             continue
         keys, sizes = _grams(frame["text"].tolist())
-        weight = np.repeat(frame["trusted"].to_numpy(dtype=np.int64), sizes)
+        kind = np.repeat(frame["kind"].to_numpy(dtype=np.int64), sizes)
         codes, distinct = pd.factorize(keys)
-        held.append(pd.Series(np.bincount(codes, weights=weight).astype(np.int64), index=distinct))
+        held.append(pd.DataFrame({
+            n: np.bincount(codes[kind == k], minlength=len(distinct)) for n, k in (("n", TRUSTED), ("n_toxic", TOXIC))
+        }, index=distinct))
         rows += len(distinct)
         if rows > 2_000_000:
             held = [pd.concat(held).groupby(level=0).sum()]
             rows = len(held[0])
             if rows > 1_000_000:
-                yield pd.DataFrame({"key": held[0].index, "n": held[0].values})
+                yield held[0].rename_axis("key").reset_index()
                 held, rows = [], 0
     if held:
         done = pd.concat(held).groupby(level=0).sum()
-        yield pd.DataFrame({"key": done.index, "n": done.values})
+        yield done.rename_axis("key").reset_index()
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(key, n): every four-gram of ``docs``, and how often trusted ids (doc_id) have it."""
-    ids = small_side(written(trusted.select(F.col("doc_id").cast("long"), F.lit(1).alias("trusted")).distinct(), "trusted"))
+def gram_counts(docs: DataFrame, trusted: DataFrame, toxic: DataFrame | None = None) -> DataFrame:
+    """(key, n, n_toxic): every four-gram of ``docs``, and how often trusted and toxic ids (doc_id),
+    which have no id in common, have it."""
+    known = trusted.select(F.col("doc_id").cast("long"), F.lit(TRUSTED).alias("kind"))
+    if toxic is not None:
+        known = known.union(toxic.select(F.col("doc_id").cast("long"), F.lit(TOXIC)))
+    ids = small_side(written(known.distinct(), "trusted"))
     flagged = docs.select(F.col("doc_id").cast("long"), "text").where("length(text) > 0").join(
-        ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    return flagged.mapInPandas(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        ids, "doc_id", "left").select("text", F.coalesce("kind", F.lit(0)).alias("kind"))
+    return flagged.mapInPandas(_count, "key long, n long, n_toxic long").groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -150,6 +173,15 @@ def log_probabilities(counts: DataFrame) -> DataFrame | None:
     return out.select("key", F.log("p").alias("logp"))
 
 
+def with_excess(probs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``probs`` (key, logp) with the ``excess`` of each key under the toxic counts; 0 without any."""
+    toxic = log_probabilities(counts.select("key", F.col("n_toxic").alias("n")))
+    if toxic is None:
+        return probs.withColumn("excess", F.lit(0.0))
+    mixed = F.log(1 - TOXIC_SHARE + TOXIC_SHARE * F.exp(F.col("toxic_logp") - F.col("logp")))
+    return probs.join(toxic.withColumnRenamed("logp", "toxic_logp"), "key").select("key", "logp", mixed.alias("excess"))
+
+
 def _ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct four-grams of each block; a task holds whole blocks."""
     asked: dict[int, np.ndarray] = {}
@@ -163,20 +195,21 @@ def _ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _answer(key, docs: pd.DataFrame, probs: pd.DataFrame) -> pd.DataFrame:
     index = pd.Index(probs["key"].to_numpy())
-    logp = probs["logp"].to_numpy(dtype=np.float64)
+    logp, excess = (probs[c].to_numpy(dtype=np.float64) for c in ("logp", "excess"))
     out = []
     for frame in slices(iter([docs])):
         keys, sizes = _grams(frame["text"].tolist())
         codes, distinct = pd.factorize(keys)
-        each = logp[index.get_indexer(distinct)][codes]
-        sums = np.add.reduceat(each, np.concatenate(([0], np.cumsum(sizes)[:-1])))
-        out.append(pd.DataFrame({"row": frame["row"].values, "n_units": sizes, "loss": -sums / sizes}))
-    return pd.concat(out) if out else pd.DataFrame({"row": [], "n_units": [], "loss": []})
+        at, starts = index.get_indexer(distinct), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        loss, more = (np.add.reduceat(x[at][codes], starts) / sizes for x in (-logp, excess))
+        out.append(pd.DataFrame({"row": frame["row"].values, "n_units": sizes, "loss": loss, "excess": more}))
+    return pd.concat(out) if out else pd.DataFrame({"row": [], "n_units": [], "loss": [], "excess": []})
 
 
 def perplexities(docs: DataFrame, probs: DataFrame) -> DataFrame:
-    """(row, n_units, loss) of the documents (row, text): units with the end mark, and the mean of
-    -log p over them. ``row`` is a string that the caller makes."""
+    """(row, n_units, loss, excess) of the documents (row, text): units with the end mark, and the means
+    of -log p and of the excess, 0 if ``probs`` has none, over them. ``row`` is a string that the caller
+    makes."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // BLOCK_CHARS))
     dealt = (
@@ -185,41 +218,67 @@ def perplexities(docs: DataFrame, probs: DataFrame) -> DataFrame:
         .repartition(n, "block")
     )
     answers = dealt.mapInPandas(_ask, "block long, key long").join(probs, "key").select(
-        "block", "key", F.col("logp").cast("float"))
+        "block", "key", F.col("logp").cast("float"),
+        (F.col("excess") if "excess" in probs.columns else F.lit(0)).cast("float").alias("excess"))
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _answer, "row string, n_units long, loss double")
+        _answer, "row string, n_units long, loss double, excess double")
 
 
 def _length_class(units: str) -> Column:
     return F.floor(F.log(4.0, F.col(units))).cast("int")
 
 
+def spread_limits(scored: DataFrame, good: DataFrame, value: str, quantiles: tuple[float, ...]) -> tuple[DataFrame, list[Column]]:
+    """``scored`` joined with what its rows' languages have, and the columns of the limits on ``value``
+    there: quantiles of (value - median of the language) * sqrt(n_units) over ``good``, put back to the
+    row's own length. Without good rows the limits are null."""
+    middle = F.percentile_approx(value, 0.5, 100_000)
+    centres = good.groupBy("lang").agg(middle.alias("centre"), F.count("*").alias("n")).where(F.col("n") >= MIN_CENTRE)
+    whole = good.agg(middle).first()[0]
+    centres = centres.select(F.col("lang").alias("centre_lang"), "centre")
+    centre = F.coalesce("centre", F.lit(whole).cast("double"))
+    root = F.sqrt(F.greatest("n_units", F.lit(1)).cast("double"))
+    spread = F.percentile_approx((F.col(value) - centre) * root, list(quantiles), 100_000)
+    at_centre = good.join(centres, F.col("lang").eqNullSafe(F.col("centre_lang")), "left")
+    total = at_centre.agg(spread).first()[0]
+    own = at_centre.groupBy("lang").agg(F.first("centre").alias(f"{value}_centre"), spread.alias("own"), F.count("*").alias("n")).select(
+        F.col("lang").alias(f"{value}_lang"), f"{value}_centre", F.when(F.col("n") >= MIN_TRUSTED, F.col("own")).alias(f"{value}_spread"))
+    joined = scored.join(own, F.col("lang").eqNullSafe(F.col(f"{value}_lang")), "left")
+    spread = F.coalesce(f"{value}_spread", F.array(*map(F.lit, total)) if total else F.lit(None).cast("array<double>"))
+    centre = F.coalesce(f"{value}_centre", F.lit(whole).cast("double"))
+    return joined, [centre + spread[i] / root for i in range(len(quantiles))]
+
+
 def text_mark(text: str) -> Column:
     return F.xxhash64(text)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, mark, lang, n_units, perplexity, least, most, kept) for every document; ``mark`` is
-    ``text_mark`` of its text and tells rows with one doc_id apart."""
+    """(doc_id, mark, lang, n_units, perplexity, least, most, excess, most_excess, kept) for every
+    document; ``mark`` is ``text_mark`` of its text and tells rows with one doc_id apart."""
     named = docs.select(F.col("doc_id").cast("long"), "text", "lang", text_mark("text").alias("mark"))
     trusted = labels.groupBy(F.col("doc_id").cast("long")).agg(
         F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
     ).where("good and doc_id is not null").select("doc_id")
+    toxic = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
-    probs = log_probabilities(written(gram_counts(named, trusted.where(~held)), "grams"))
+    counts = written(gram_counts(named, trusted.where(~held), toxic.where(~held)), "grams")
+    probs = log_probabilities(counts)
+    none = [F.lit(None).cast("double").alias(c) for c in ("loss", "excess")]
     empty = named.where("coalesce(length(text), 0) = 0").select(
-        "doc_id", "mark", "lang", F.lit(0).cast("long").alias("n_units"), F.lit(None).cast("double").alias("loss"))
+        "doc_id", "mark", "lang", F.lit(0).cast("long").alias("n_units"), *none)
     if probs is None:
         full = named.where("length(text) > 0").select(
-            "doc_id", "mark", "lang", (F.length("text") + 1).cast("long").alias("n_units"), F.lit(None).cast("double").alias("loss"))
+            "doc_id", "mark", "lang", (F.length("text") + 1).cast("long").alias("n_units"), *none)
         scored = full.unionByName(empty)
     else:
         # What identifies a row goes along as one string, so that null ids and languages survive.
         row = F.to_json(F.struct("doc_id", "mark", "lang"))
-        found = perplexities(named.select(row.alias("row"), "text"), written(probs, "probs"))
+        found = perplexities(named.select(row.alias("row"), "text"), written(with_excess(probs, counts), "probs"))
         parsed = F.from_json("row", "doc_id long, mark long, lang string")
         scored = written(
-            found.select(parsed.alias("r"), "n_units", "loss").select("r.doc_id", "r.mark", "r.lang", "n_units", "loss")
+            found.select(parsed.alias("r"), "n_units", "loss", "excess")
+            .select("r.doc_id", "r.mark", "r.lang", "n_units", "loss", "excess")
             .unionByName(empty), "scored",
         )
     scored = scored.withColumn("class", _length_class("n_units"))
@@ -238,9 +297,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     limits = F.coalesce("own", "mixed", F.array(*map(F.lit, total)) if total else F.lit(None).cast("array<double>"))
     room = MARGIN + SLACK / F.sqrt(F.greatest("n_units", F.lit(1)).cast("double"))
     low, high = limits[0] - room, limits[1] + room
-    kept = (F.col("n_units") > 0) & F.coalesce(F.col("loss").between(low, high), F.lit(True))
+    joined, (most_excess,) = spread_limits(joined, good if n >= MIN_TRUSTED else known, "excess", (TOXIC_QUANTILE,))
+    kept = (F.col("n_units") > 0) & F.coalesce(F.col("loss").between(low, high), F.lit(True)) & F.coalesce(
+        F.col("excess") <= most_excess + ROUNDING, F.lit(True))
     return joined.select("doc_id", "mark", "lang", "n_units", F.exp("loss").alias("perplexity"), F.exp(low).alias("least"),
-                         F.exp(high).alias("most"), kept.alias("kept"))
+                         F.exp(high).alias("most"), "excess", most_excess.alias("most_excess"), kept.alias("kept"))
 
 
 @query("op7_kneser_ney_quality")

@@ -133,6 +133,17 @@ def test_quality_keeps_trusted_kinds(spark):
     assert kept[1] > 0.99 and kept[0] < 0.2
 
 
+def test_quality_rejects_toxic_documents(spark):
+    """Most toxic documents of good quality go, also of those held out, and clean ones stay."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(lm_quality.HELD_OUT)) == 0
+    got = lm_quality.judge(docs, labels).join(labels, "doc_id").where("quality = 1").withColumn("held", held).toPandas()
+    kept = got.groupby("toxic")["kept"].mean()
+    assert kept[0] > 0.985 and kept[1] < 0.1
+    assert got[got["held"]].groupby("toxic")["kept"].mean()[1] < 0.3
+
+
 def test_rules_counts(spark, docs):
     got = QUERIES["op3_distribution_divergence"](spark, SF).toPandas().set_index("doc_id")
     for d, t in zip(docs["doc_id"], docs["text"]):
