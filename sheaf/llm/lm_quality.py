@@ -19,17 +19,17 @@ What is asked for grows with the number of blocks, so with the input.
 labelled ``toxic`` 1 (four in five, likewise) are counted in the same pass and give a second model
 over the same four-grams. A document's *excess* is the mean of log(((1 - t) p + t q) / p) over its
 units, with p of the trusted, q of the toxic model and t = ``TOXIC_SHARE``: how much better the text
-is explained as one with toxic parts. It is rejected above a quantile of held-out trusted documents,
-of (excess - median of the language) * sqrt(units), by language, or over all languages where a
-language has fewer than ``MIN_TRUSTED`` of them. What no labelled toxic document has is not found;
-without such labels the excess is 0 and nothing is rejected for it.
-
-*Thresholds* are an upper and a lower quantile of the perplexity of held-out documents, by language
-and length class (powers of four of the number of units, as short texts vary more). Above lies text
-unlike the trusted one, below lies text that is too predictable, such as repetition. A language or
-class with fewer than ``MIN_TRUSTED`` held-out documents takes the quantiles of all languages in
-that class, then of all held-out documents, and where these are too few, of all trusted ones;
-without any, nothing is rejected.
+is explained as one with toxic parts. It is rejected above a limit that is found like those of the
+loss. What no labelled toxic document has is not found; without such labels the excess is 0 and
+nothing is rejected for it.
+
+*Thresholds* on perplexity are an upper and a lower quantile of held-out documents, of (loss - median
+of the language) * sqrt(units), as a mean over more units varies less: on held-out documents of
+``sf0.1`` that spread is the same from 256 to 16,383 units. So every length has limits of its own
+without classes, and long texts are not judged by the spread of short ones. Above lies text unlike the
+trusted one, below lies text that is too predictable, such as repetition. A language with fewer than
+``MIN_TRUSTED`` held-out documents takes the spread of all languages, and where held-out documents are
+too few, limits come from all trusted ones; without any, nothing is rejected.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null lang is a language
 of its own; repeated rows are scored alike; an empty table gives no rows; without trusted text all
@@ -224,10 +224,6 @@ def perplexities(docs: DataFrame, probs: DataFrame) -> DataFrame:
         _answer, "row string, n_units long, loss double, excess double")
 
 
-def _length_class(units: str) -> Column:
-    return F.floor(F.log(4.0, F.col(units))).cast("int")
-
-
 def spread_limits(scored: DataFrame, good: DataFrame, value: str, quantiles: tuple[float, ...]) -> tuple[DataFrame, list[Column]]:
     """``scored`` joined with what its rows' languages have, and the columns of the limits on ``value``
     there: quantiles of (value - median of the language) * sqrt(n_units) over ``good``, put back to the
@@ -281,23 +277,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .select("r.doc_id", "r.mark", "r.lang", "n_units", "loss", "excess")
             .unionByName(empty), "scored",
         )
-    scored = scored.withColumn("class", _length_class("n_units"))
     known = scored.where("loss is not null").join(trusted, "doc_id", "left_semi")
     good = known.where(held)
-    quantiles = F.percentile_approx("loss", [LOWER_QUANTILE, UPPER_QUANTILE], 100_000)
-    own = good.groupBy("lang", "class").agg(quantiles.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    mixed = good.groupBy("class").agg(quantiles.alias("mixed"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    total, n = good.agg(quantiles, F.count("*")).first()
-    if n < MIN_TRUSTED:
-        total = known.agg(quantiles).first()[0]
-    joined = scored.join(
-        own.select(F.col("lang").alias("own_lang"), F.col("class").alias("own_class"), "own"),
-        F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("class") == F.col("own_class")), "left",
-    ).join(mixed.select(F.col("class").alias("mixed_class"), "mixed"), F.col("class") == F.col("mixed_class"), "left")
-    limits = F.coalesce("own", "mixed", F.array(*map(F.lit, total)) if total else F.lit(None).cast("array<double>"))
+    base = good if good.count() >= MIN_TRUSTED else known
+    joined, (least, most) = spread_limits(scored, base, "loss", (LOWER_QUANTILE, UPPER_QUANTILE))
+    joined, (most_excess,) = spread_limits(joined, base, "excess", (TOXIC_QUANTILE,))
     room = MARGIN + SLACK / F.sqrt(F.greatest("n_units", F.lit(1)).cast("double"))
-    low, high = limits[0] - room, limits[1] + room
-    joined, (most_excess,) = spread_limits(joined, good if n >= MIN_TRUSTED else known, "excess", (TOXIC_QUANTILE,))
+    low, high = least - room, most + room
     kept = (F.col("n_units") > 0) & F.coalesce(F.col("loss").between(low, high), F.lit(True)) & F.coalesce(
         F.col("excess") <= most_excess + ROUNDING, F.lit(True))
     return joined.select("doc_id", "mark", "lang", "n_units", F.exp("loss").alias("perplexity"), F.exp(low).alias("least"),

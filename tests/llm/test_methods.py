@@ -144,6 +144,15 @@ def test_quality_rejects_toxic_documents(spark):
     assert got[got["held"]].groupby("toxic")["kept"].mean()[1] < 0.3
 
 
+def test_quality_limits_of_long_documents(spark):
+    """Few held-out documents are as long; perplexity alone tells the poor ones all the same."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    got = lm_quality.judge(docs, labels).join(labels, "doc_id").where("n_units >= 4096 and toxic = 0").toPandas()
+    inside = got["perplexity"].between(got["least"], got["most"]).groupby(got["quality"]).mean()
+    assert inside[0] < 0.1 and inside[1] > 0.99
+
+
 def test_rules_counts(spark, docs):
     got = QUERIES["op3_distribution_divergence"](spark, SF).toPandas().set_index("doc_id")
     for d, t in zip(docs["doc_id"], docs["text"]):
