@@ -46,6 +46,9 @@ EPOCHS = 6
 MIN_GAIN = 2.0
 #: Longer stretches are decoded in overlapping windows of so many tokens.
 MAX_STRETCH = 400
+#: A stretch starts so many tokens before the first that can be part of an entity, if they are within
+#: so many characters.
+BEFORE, BEFORE_CHARS = 2, 80
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,28 +98,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"\S+")
-_PLAIN = re.compile(r"[0-9@]")
-_WORDED = re.compile(r"[0-9@]|\bat(?=\s+[A-Za-z0-9-]+\s+dot\b)|\bdot\b|[\[(](?:at|dot)[\])]")
+_HOT = re.compile(r"[0-9@]|\bat(?=\s+[A-Za-z0-9-]+\s+dot\b)|\bdot\b|[\[(](?:at|dot)[\])]")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _TRAIL = ".,;:!?\"'>]}"
 
 
-def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans around everything that could be part of an entity."""
-    sign = _WORDED if " dot " in text or "[at]" in text or "(at)" in text else _PLAIN
-    hot = sign.search(text)
+def _start(text: str, at: int) -> int:
+    """Where the token at ``at`` starts, or one of the up to BEFORE tokens before it that lie within
+    BEFORE_CHARS characters."""
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    least, back = max(0, start - BEFORE_CHARS), start
+    for _ in range(BEFORE):
+        while back > least and text[back - 1].isspace():
+            back -= 1
+        while back > least and not text[back - 1].isspace():
+            back -= 1
+        if back and not text[back - 1].isspace():
+            break
+        start = back
+    return start
+
+
+def _windows(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
+    """Stretches, and whether the last MAX_SPAN - 1 tokens are looked at again by a later one."""
+    hot = _HOT.search(text)
     while hot:
-        start = text.rfind(" ", 0, hot.start())
-        start = text.rfind(" ", max(0, start - 80), start) + 1 if start > 0 else 0
-        tokens, quiet, end = [], 0, len(text)
-        for m in _TOKEN.finditer(text, start):
+        tokens, quiet, end, near = [], 0, len(text), hot
+        for m in _TOKEN.finditer(text, _start(text, hot.start())):
             tokens.append(m.span())
-            quiet = 0 if sign.search(m[0]) else quiet + (m.start() >= hot.start())
+            if near and near.start() < m.start():
+                near = _HOT.search(text, m.start())
+            quiet = 0 if near and near.start() < m.end() else quiet + (m.start() >= hot.start())
             if quiet == 3 or len(tokens) == MAX_STRETCH:
                 end = m.end() if quiet == 3 else tokens[-MAX_SPAN][1]
                 break
-        yield tokens
-        hot = sign.search(text, max(end, hot.end()))
+        yield tokens, quiet < 3 and len(tokens) == MAX_STRETCH
+        hot = near if near and near.start() >= end else _HOT.search(text, end)
+
+
+def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Token spans around everything that could be part of an entity."""
+    return (tokens for tokens, _ in _windows(text))
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -318,10 +342,12 @@ def spans_of(text: str | None, weights: Weights) -> tuple[list, list]:
     if not weights:
         return base, base
     found, taken, upto = list(base), [(s, e) for s, _, e in base], 0
-    for tokens in stretches(text):
+    for tokens, again in _windows(text):
         ends = segments(text, tokens)
         if any(ends):
             for i, j, k, score in decode(ends, weights):
+                if again and i > len(tokens) - MAX_SPAN:
+                    break
                 s, e = _trim(text, tokens[i][0], tokens[j - 1][1])
                 if score >= MIN_GAIN and s >= upto and not any(a < e and s < b for a, b in taken):
                     found.append((s, k, e))

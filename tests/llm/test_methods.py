@@ -210,6 +210,23 @@ def test_random_field(docs):
         assert set(base) <= set(found)
 
 
+def test_stretches_reach_every_token(docs):
+    """Whatever the white space, however long what stands before, and across the cut of a window."""
+    weights = personal_data.train(docs["text"].tolist() * 3)
+    phone = "(555) 123-4567"
+    for sep in "\n\t ":
+        for text in [sep.join([*(["word"] * 1000), "call", phone, "now"]), sep.join([*map(str, range(1000)), "call", phone, "now"])]:
+            at = text.index(phone)
+            assert (at, 3, at + len(phone)) in personal_data.spans_of(text, weights)[1]
+    for before in ("-" * 100 + "\n", "http://x.org/" + "a" * 100 + " ", "word\n" * 1000 + "-" * 90 + "\n"):
+        text = before + "call " + phone + " now"
+        assert (len(before) + 5, 3, len(text) - 4) in personal_data.spans_of(text, weights)[1]
+    for shift in range(20):
+        text = " ".join([*(["7"] * (380 + shift)), "call", phone, "now"])
+        at = text.index(phone)
+        assert (at, 3, at + len(phone)) in personal_data.spans_of(text, weights)[1]
+
+
 def test_field_is_exact():
     """Decoding and the gradient against all segmentations of a short stretch."""
     rng = np.random.default_rng(3)
