@@ -4,8 +4,8 @@ Base patterns for e-mail addresses, IP addresses, card and phone numbers are exa
 The random field adds spans of the same four kinds that the patterns miss, such as phone numbers
 without a plus sign or addresses written with words for their signs.
 
-A text is first cut into *stretches*: tokens that can be part of an entity (they hold a digit or a
-sign such as ``@``, or stand between such tokens) with a few tokens around them. Outside of
+A text is first cut into *stretches*: tokens that can be part of an entity (they hold a digit, a
+sign such as ``@``, or words for signs in any case, or stand between such tokens) with a few tokens around them. Outside of
 stretches only the label "other" is possible, so decoding stretch by stretch gives the best
 segmentation of the whole text. In a stretch every run of up to ``MAX_SPAN`` tokens is a candidate
 segment for each kind. A segment's score is the sum of weights of features of the whole span: its
@@ -14,12 +14,12 @@ programming over segment ends finds the best sequence of segments and kinds (Vit
 training, the partition function for the gradient of the likelihood.
 
 Training is in the driver on at most ``TRAIN_STRETCHES`` stretches, drawn by hash from the table and
-labelled by the base patterns (distant supervision); copies in other notations (without plus sign,
+from texts with a base match and others, labelled by the base patterns (distant supervision); copies in other notations (without plus sign,
 with words for signs, with brackets) are made of them, so that the field learns what the patterns
 cannot see. Weights are a few hundred numbers and travel with the tasks.
 
 Defined results: a null or empty text has no spans; repeated rows give equal results; without any
-base match in the sample nothing is added; an empty table gives no rows; a null doc_id is kept.
+base match in the table nothing is added; an empty table gives no rows; a null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import query, table
+from sheaf.llm.common import query, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_SPAN = 8
 TRAIN_STRETCHES = 1_500
 #: Documents drawn for training, by hash.
 TRAIN_DOCS = 1_500
+TRAIN_CHARS = 20_000
 EPOCHS = 6
 #: A segment is added when its score is above "other" by this much (natural log).
 MIN_GAIN = 2.0
@@ -98,7 +99,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"\S+")
-_HOT = re.compile(r"[0-9@]|\bat(?=\s+[A-Za-z0-9-]+\s+dot\b)|\bdot\b|[\[(](?:at|dot)[\])]")
+#: Whatever else may stand for signs in _MAIL_WORDS: a bare "at" needs a host with a point or "dot"
+#: behind it, so that "at noon. Then" is none.
+_HOT = re.compile(
+    r"[0-9@]|[\[(](?:at|dot)\b|\b(?:at|dot)[\])]|\bdot\b"
+    r"|\bat(?=\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]|\s+\.\s*[A-Za-z0-9-]|\.\s+(?-i:[a-z])|\s*[\[(]?dot\b))", re.IGNORECASE)
 _EDGE = ".,;:!?\"'()[]{}<>"
 _TRAIL = ".,;:!?\"'>]}"
 
@@ -152,6 +157,8 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 _MAIL_WORDS = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s*[\[(]?(?:@|\bat\b)[\])]?\s*)[A-Za-z0-9-]+(?:\s*[\[(]?(?:\.|\bdot\b)[\])]?\s*[A-Za-z0-9-]+)+\Z", re.IGNORECASE)
+_MORE = re.compile(r"[\[(]?(?:\.|dot\b)", re.IGNORECASE)
+_SENTENCE = re.compile(r"\.\s+[A-Z]")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]\Z")
 _IPV4 = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}\Z")
 _CUES = {"email": 0, "mail": 0, "e-mail": 0, "contact": 0, "ip": 1, "address": 1, "host": 1, "server": 1, "card": 2, "visa": 2,
@@ -171,7 +178,8 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     before = text[tokens[i - 1][0]:tokens[i - 1][1]].strip(_EDGE).lower() if i else ""
     out = ["bias", f"tokens={min(j - i, 5)}"]
     if mail:
-        out += ["mail", f"sign={'@' in span}", f"dots={span.count('.') > 0}"]
+        out += ["mail", f"sign={'@' in span}", f"dots={span.count('.') > 0}", f"sentence={bool(_SENTENCE.search(span))}",
+                f"more={j < len(tokens) and bool(_MORE.match(text, tokens[j][0]))}"]
     if number:
         groups = [len(g) for g in re.findall("[0-9]+", span)]
         out += ["number", f"digits={min(len(digits), 20)}", f"groups={min(len(groups), 6)}", f"plus={span[0] == '+'}",
@@ -382,12 +390,32 @@ def find_personal_data(docs: DataFrame, weights: Weights | None = None) -> DataF
         "doc_id", F.col("doc_id").cast("long"))
 
 
+def _piece(text: str) -> str:
+    """Up to TRAIN_CHARS characters of the text, around its first base match."""
+    found = base_spans(text) if len(text) > TRAIN_CHARS else []
+    start = max(0, found[0][0] - TRAIN_CHARS // 2) if found and found[0][2] > TRAIN_CHARS else 0
+    return text[start:start + TRAIN_CHARS]
+
+
 def fit(docs: DataFrame) -> Weights:
-    """Weights from at most TRAIN_DOCS texts with digits or signs, drawn by hash, each up to 20,000
-    characters long; a bound of the sample, not of what is searched."""
-    some = docs.where("length(text) <= 20000 and text rlike '[0-9@]'").select(
-        F.xxhash64("text").alias("h"), "text").distinct().orderBy("h", "text").limit(TRAIN_DOCS)
-    return train([r["text"] for r in some.select("text").toLocalIterator()])
+    """Weights from at most TRAIN_DOCS texts with digits or signs, drawn by hash: half of them, and
+    more if others are few, from those with a base match. Of a long text a piece around its first base
+    match is learned from. These bound the sample, not what is searched."""
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"h": frame["h"], "matched": [bool(base_spans(t)) for t in frame["text"]]})
+
+    hashed = docs.where("text rlike '[0-9@]'").select(F.xxhash64("text").alias("h"), "text")
+    marks = written(hashed.mapInPandas(mark, "h long, matched boolean").distinct(), "marks")
+    drawn = {m: [r["h"] for r in marks.where(F.col("matched") == m).orderBy("h").limit(TRAIN_DOCS).select("h").collect()] for m in (True, False)}
+    n = max(TRAIN_DOCS // 2, TRAIN_DOCS - len(drawn[False]))
+    chosen = drawn[True][:n]
+    chosen += drawn[False][:TRAIN_DOCS - len(chosen)]
+    ids = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
+    piece = F.udf(_piece, "string")
+    some = hashed.join(F.broadcast(ids), "h", "left_semi").select("h", piece("text").alias("text")).distinct()
+    # By hash again, so that texts with and without a match are mixed.
+    return train([r["text"] for r in some.orderBy("h", "text").toLocalIterator()])
 
 
 @query("op10_semi_markov_pii")

@@ -227,6 +227,17 @@ def test_stretches_reach_every_token(docs):
         assert (at, 3, at + len(phone)) in personal_data.spans_of(text, weights)[1]
 
 
+def test_worded_addresses_are_decoded(spark, docs):
+    """Without digits and signs in the text, in any case; and the field is on while matches are rare."""
+    weights = personal_data.train(docs["text"].tolist() * 3)
+    for mail in ("john at example.com", "john [AT] example [DOT] com", "jane AT mail DOT org", "jane (at) mail dot org"):
+        text = f"please contact {mail} for more"
+        assert (15, 0, 15 + len(mail)) in personal_data.spans_of(text, weights)[1], mail
+    assert not personal_data.spans_of("We met at noon. Then we left.", weights)[1]
+    rows = [(i, f"chapter {i} of many") for i in range(4000)] + [(5000, "x " * 15000 + "write to ann@example.org or +1 555 123 4567 today")]
+    assert personal_data.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_field_is_exact():
     """Decoding and the gradient against all segmentations of a short stretch."""
     rng = np.random.default_rng(3)
