@@ -85,13 +85,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(starts, F.lit(0)).cast("long")
 
 
-def slices(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
+def slices(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
     """The same rows in frames of bounded text; a longer text is a frame of its own."""
     for frame in frames:
         if not len(frame):
             continue
         sizes = pd.Series([len(t) if t else 0 for t in frame[column]], dtype="int64")
-        part = sizes.cumsum() // SLICE_CHARS
+        part = sizes.cumsum() // chars
         if part.iloc[-1] == 0:
             yield frame
         else:

@@ -59,6 +59,8 @@ HELD_OUT = 5
 #: Share of toxic units in a toxic document, and the quantile of trusted ones above which one is rejected.
 TOXIC_SHARE, TOXIC_QUANTILE = 0.1, 0.99
 BLOCK_CHARS = 24_000_000
+#: What a task works on at once, and the counts that it keeps before it hands them on.
+COUNTED_CHARS, COUNTED_KEYS = 500_000, 200_000
 
 #: An excess this far above its limit is not told from one at it.
 ROUNDING = 1e-9
@@ -81,30 +83,29 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep].view(np.int64), sizes
 
 
+def _added_up(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns (key, n, n_toxic) of several counts as one with distinct, sorted keys."""
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.argsort(rows[0])]
+    firsts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+    return np.vstack((rows[0, firsts], np.add.reduceat(rows[1:], firsts, axis=1)))
+
+
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct four-grams of a task with their trusted and their toxic occurrences."""
-    held: list[pd.DataFrame] = []
-    rows = 0
-    for frame in slices(frames):
+    """Distinct four-grams with their trusted and their toxic occurrences, of as much of a task's text
+    as has ``COUNTED_KEYS`` of them."""
+    held: list[np.ndarray] = []
+    for frame in slices(frames, chars=COUNTED_CHARS):
         frame = frame[frame["text"].str.len() > 0]
         if not len(frame):
             continue
         keys, sizes = _grams(frame["text"].tolist())
         kind = np.repeat(frame["kind"].to_numpy(dtype=np.int64), sizes)
-        codes, distinct = pd.factorize(keys)
-        held.append(pd.DataFrame({
-            n: np.bincount(codes[kind == k], minlength=len(distinct)) for n, k in (("n", TRUSTED), ("n_toxic", TOXIC))
-        }, index=distinct))
-        rows += len(distinct)
-        if rows > 2_000_000:
-            held = [pd.concat(held).groupby(level=0).sum()]
-            rows = len(held[0])
-            if rows > 1_000_000:
-                yield held[0].rename_axis("key").reset_index()
-                held, rows = [], 0
+        held = [_added_up([*held, np.vstack((keys, kind == TRUSTED, kind == TOXIC))])]
+        if held[0].shape[1] > COUNTED_KEYS:
+            yield pd.DataFrame(held.pop().T, columns=["key", "n", "n_toxic"])
     if held:
-        done = pd.concat(held).groupby(level=0).sum()
-        yield done.rename_axis("key").reset_index()
+        yield pd.DataFrame(held.pop().T, columns=["key", "n", "n_toxic"])
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, toxic: DataFrame | None = None) -> DataFrame:
@@ -185,7 +186,7 @@ def with_excess(probs: DataFrame, counts: DataFrame) -> DataFrame:
 def _ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct four-grams of each block; a task holds whole blocks."""
     asked: dict[int, np.ndarray] = {}
-    for frame in slices(frames):
+    for frame in slices(frames, chars=COUNTED_CHARS):
         for block, own in frame.groupby("block"):
             keys = pd.unique(_grams(own["text"].tolist())[0])
             asked[block] = keys if block not in asked else pd.unique(np.concatenate((asked[block], keys)))
@@ -197,7 +198,7 @@ def _answer(key, docs: pd.DataFrame, probs: pd.DataFrame) -> pd.DataFrame:
     index = pd.Index(probs["key"].to_numpy())
     logp, excess = (probs[c].to_numpy(dtype=np.float64) for c in ("logp", "excess"))
     out = []
-    for frame in slices(iter([docs])):
+    for frame in slices(iter([docs]), chars=COUNTED_CHARS):
         keys, sizes = _grams(frame["text"].tolist())
         codes, distinct = pd.factorize(keys)
         at, starts = index.get_indexer(distinct), np.concatenate(([0], np.cumsum(sizes)[:-1]))
