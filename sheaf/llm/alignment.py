@@ -24,8 +24,10 @@ are documents of their own and count as such; null ids stay; an empty table give
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,7 @@ A_FILE, B_FILE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piec
 BATCH_CHARS, BLOCK_CHARS = 1_000_000, 16_000_000
 #: Tokens of A between the cuts where a long document is divided, and how many ends are tried for one.
 LANE_TOKENS, LANE_TRIES = 512, 32
+LONG_SPACE = re.compile(r"\s{5000}")
 #: Groups with more links than this are linked by distinct ids and their numbers.
 WIDE = 4096
 
@@ -53,20 +56,31 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE, with the bytes of each of its tokens."""
+    """A byte-level BPE, with the bytes of each of its tokens.
+
+    Its ids are in the order of its merges, so they serve as the ranks of a faster encoder of the same
+    merges. That one gives up on very long white space; such texts go to the slower encoder.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True
         byte_of = _byte_of_char()
-        self.bytes = [b""] * self.model.get_vocab_size()
-        for token, i in self.model.get_vocab().items():
+        self.bytes = [b""] * self.slow.get_vocab_size()
+        for token, i in self.slow.get_vocab().items():
             self.bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        special = {i for i, t in self.slow.get_added_tokens_decoder().items() if t.special}
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in special}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [
+            self.slow.encode(" " + t, add_special_tokens=False).ids if LONG_SPACE.search(t) else self.fast.encode_ordinary(" " + t)
+            for t in texts
+        ]
 
 
 class Pieces:
@@ -96,7 +110,7 @@ class Tokens:
     where each document's tokens start."""
 
     def __init__(self, docs: list[list[int]], sizes: np.ndarray):
-        self.ids = np.fromiter((i for d in docs for i in d), dtype=np.int64, count=sum(map(len, docs)))
+        self.ids = np.fromiter(chain.from_iterable(docs), dtype=np.int64, count=sum(map(len, docs)))
         self.ends = np.cumsum(sizes[self.ids])
         self.starts = np.concatenate(([0], np.cumsum([len(d) for d in docs], dtype=np.int64)))
 
@@ -159,6 +173,11 @@ def links(groups: np.ndarray, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+@lru_cache(maxsize=3)
+def _names_before(sign: str) -> np.ndarray:
+    return np.array([f"{i}{sign}" for i in range(65536)], dtype=object)
+
+
 def _written_out(groups: np.ndarray, a: Tokens, b: Tokens, doc_of_group: np.ndarray, n_docs: int) -> list[str]:
     """Each document's groups as text, `a1,a2|b1;a3|b2,b3`."""
     n_a, n_b = groups[:, 1] - groups[:, 0], groups[:, 3] - groups[:, 2]
@@ -167,9 +186,8 @@ def _written_out(groups: np.ndarray, a: Tokens, b: Tokens, doc_of_group: np.ndar
     place_a = np.arange(len(a.ids)) + np.repeat(groups[:, 2], n_a)
     place_b = np.arange(len(b.ids)) + np.repeat(groups[:, 1], n_b)
     for place, ids, last, sign in ((place_a, a.ids, groups[:, 1] - 1, "|"), (place_b, b.ids, groups[:, 3] - 1, ";")):
-        names = np.array([str(i) for i in range(65536)], dtype=object)
-        parts[place] = (names + ",")[ids]
-        parts[place[last]] = (names + sign)[ids[last]]
+        parts[place] = _names_before(",")[ids]
+        parts[place[last]] = _names_before(sign)[ids[last]]
     ends = np.zeros(n_docs, dtype=np.int64)
     np.maximum.at(ends, doc_of_group, groups[:, 1] + groups[:, 3])
     ends = np.maximum.accumulate(ends)
