@@ -3,8 +3,9 @@
 A bundle is one row, and everything its format needs to know is inside that row. So parsing is a
 projection: the text is split into blocks, the blocks become structs, duplicates and errors are
 settled within the array, and the entries are exploded. Nothing is shuffled, and no bundle can
-become a hot key. A bundle too large for one cell comes in parts (or as the block rows of
-``sources.blocks``); its entries meet in shuffles keyed by path, never by bundle.
+become a hot key. A bundle too large for one cell comes in parts (as from ``sources.blocks``), cut
+at any line; what a part needs of the parts before it is found by an ordered pass over a few
+numbers of each part, and its entries meet in shuffles keyed by path, never by bundle.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from sheaf.functions.content import verify_checksum
 from sheaf.functions.text import last_field
 from sheaf.operators.once import once
 from sheaf.profiles import Profile, ProfileRegistry, default_registry
-from sheaf.profiles.base import entry_problem
+from sheaf.profiles.base import DETECT_CHARS, entry_problem
 
 _ENTRY_FIELDS = ("path", "content", "encoding", "is_binary", "eol_style")
-_PART_SHIFT = 32
+#: Bits of a place for the block in its part; those above hold the part's number.
+_PART_SHIFT = 20
 
 
 def _chooser(profiles: list[Profile], name: Column | None):
@@ -187,8 +189,7 @@ def parse_bundles(bundles: DataFrame, profile: str | None = None, auto_detect: b
                   registry: ProfileRegistry | None = None) -> DataFrame:
     """Entries of every readable bundle. Unreadable ones are listed by :func:`parse_errors`."""
     if "in_parts" in bundles.columns:
-        whole = bundles.filter(~F.col("in_parts")).drop("part_no", "in_parts")
-        cut = bundles.filter(F.col("in_parts"))
+        whole, cut = _by_parts(bundles)
         return parse_bundles(whole, profile, auto_detect, registry).unionByName(
             parse_parts(cut, profile, registry)
         )
@@ -206,60 +207,147 @@ def parse_bundles(bundles: DataFrame, profile: str | None = None, auto_detect: b
 
 def parse_errors(bundles: DataFrame, profile: str | None = None, auto_detect: bool = True,
                  registry: ProfileRegistry | None = None) -> DataFrame:
+    if "in_parts" in bundles.columns:
+        whole, cut = _by_parts(bundles)
+        registry = registry or default_registry()
+        report = _report_of_parts(_with_profile(cut, profile, registry), registry)
+        return parse_errors(whole, profile, auto_detect, registry).unionByName(
+            report.filter(F.col("problem").isNotNull()).select("bundle_id", "profile", "problem"))
     read = read_bundles(bundles, profile, auto_detect, registry, with_content=False)
     return read.filter(F.col("problem").isNotNull()).select("bundle_id", "profile", "problem")
 
 
-def parse_parts(parts: DataFrame, profile: str | None = None,
-                registry: ProfileRegistry | None = None) -> DataFrame:
-    """Bundles whose text is spread over several rows: ``bundle_id, profile, part_no, text``."""
-    registry = registry or default_registry()
+def _by_parts(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bundles in one row, and the parts of the others."""
+    return bundles.filter(~F.col("in_parts")).drop("part_no", "in_parts"), bundles.filter(F.col("in_parts")).drop("in_parts")
+
+
+def _with_profile(parts: DataFrame, profile: str | None, registry: ProfileRegistry) -> DataFrame:
+    """Every part with its bundle's format: the given one, the one of its column, or the one that the
+    head of the first part shows, null if none."""
     if profile is not None:
-        parts = parts.withColumn("profile", F.lit(profile))
-    pick = _chooser(registry.all(), F.col("profile"))
-    blocks = parts.select(
-        "bundle_id", "profile", "part_no",
-        F.posexplode(pick(lambda p: p.split(F.col("text")))).alias("pos", "block"),
-    ).select(
-        "bundle_id", "profile",
-        (F.shiftleft(F.col("part_no").cast("bigint"), _PART_SHIFT) + F.col("pos")).alias("entry_idx"),
-        "block",
+        return parts.withColumn("profile", F.lit(registry.get(profile).name))
+    if "profile" in parts.columns:
+        return parts
+    heads = parts.groupBy("bundle_id").agg(F.min_by(F.substring("text", 1, DETECT_CHARS), "part_no").alias("head"))
+    named = heads.select(F.col("bundle_id").alias("of_bundle"), registry.detect(F.col("head")).alias("profile"))
+    return parts.join(named, F.col("bundle_id").eqNullSafe(F.col("of_bundle"))).drop("of_bundle")
+
+
+def _numbered_in(part: Column, at: Column) -> Column:
+    """Place of a block: its part's number above that of the block in the part."""
+    full = F.raise_error(F.lit(f"a part has more than {1 << _PART_SHIFT} blocks")).cast("bigint")
+    return F.when(at < (1 << _PART_SHIFT), F.shiftleft(part.cast("bigint"), _PART_SHIFT) + at).otherwise(full)
+
+
+def _states_before(parts: DataFrame, pick) -> DataFrame:
+    """``bundle_id, part_no, entry_idx, inside``: the block that is open where a part starts, null
+    before the first, and whether that place is inside of a fence.
+
+    Each part is a function on the two states. One with a header ends in a state of its own, and so
+    does one in which a fence with a language opens; any other keeps the state or changes it. So a
+    state is that of the last part of the first kind, changed as often as parts of the second kind
+    follow. The rows that are ordered here hold a few numbers for each part.
+    """
+    last = F.element_at("pieces", -1)
+    found = once(
+        once(parts, "bundle_id", "profile", "part_no", pick(lambda p: p.pieces(F.col("text"))).alias("pieces")),
+        "bundle_id", "part_no", (F.size("pieces") - 1).alias("headers"), pick(lambda p: p.moves(last)).alias("moves"),
     )
-    return parse_blocks(blocks, registry)
+    sure = F.when((F.col("headers") > 0) | (F.col("moves.outside") == F.col("moves.inside")), F.col("moves.outside"))
+    light = found.select(
+        "bundle_id", "part_no", sure.alias("sure"),
+        F.when(sure.isNull(), F.col("moves.outside")).otherwise(0).alias("change"),
+        F.when(F.col("headers") > 0, _numbered_in(F.col("part_no"), F.col("headers"))).alias("opened"),
+    )
+    so_far = Window.partitionBy("bundle_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("bundle_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    counted = light.withColumn("changes", F.sum("change").over(so_far)).withColumn(
+        "base", F.when(F.col("sure").isNotNull(), F.col("sure") + F.col("changes")))
+    state = F.coalesce(F.last("base", True).over(before), F.lit(0)) + F.coalesce(F.last("changes").over(before), F.lit(0))
+    return counted.select(
+        "bundle_id", "part_no", F.last("opened", True).over(before).alias("entry_idx"), (state % 2 == 1).alias("inside"))
 
 
-def parse_blocks(blocks: DataFrame, registry: ProfileRegistry | None = None) -> DataFrame:
-    """Block rows ``bundle_id, profile, entry_idx, block`` to entries.
+def _blocks_of_parts(parts: DataFrame, registry: ProfileRegistry, with_content: bool) -> DataFrame:
+    """``bundle_id, profile, entry_idx, path, meta, body`` of every block, whole again where parts cut it.
 
-    Repeats are settled by ``(bundle, path)``: for the last-wins format the rank filter already
-    drops the losers before the shuffle, for the other the repeated paths are counted with a
-    map-side combine. A bundle that fails is removed through the list of failed bundle ids.
+    Only the last block of a part and what continues one in the next parts are shuffled, by block.
     """
-    registry = registry or default_registry()
-    profiles = registry.all()
-    pick = _chooser(profiles, F.col("profile"))
-    located = blocks.select(
-        "bundle_id", "profile", "entry_idx",
-        pick(lambda p: p.path(F.col("block"))).alias("path"),
-        pick(lambda p: p.meta(F.col("block"))).alias("meta"),
-        pick(lambda p: p.body(F.col("block"))).alias("body"),
-    ).filter(pick(lambda p: p.usable(F.col("path"))))
-    fielded = located.select(
+    pick = _chooser(registry.all(), F.col("profile"))
+    none, piece = F.lit(""), F.col("piece")
+    pieces = once(parts, "bundle_id", "profile", "part_no", pick(lambda p: p.pieces(F.col("text"))).alias("pieces")).select(
+        "bundle_id", "profile", "part_no", (F.size("pieces") - 1).alias("last"), F.posexplode("pieces").alias("at", "piece"))
+    blocks = pieces.filter("at > 0").select(
+        "bundle_id", "profile", _numbered_in(F.col("part_no"), F.col("at")).alias("entry_idx"), "part_no",
+        (F.col("at") == F.col("last")).alias("open"), pick(lambda p: p.path(piece)).alias("path"),
+        pick(lambda p: p.meta(piece)).alias("meta"), (pick(lambda p: p.body(piece)) if with_content else none).alias("body"))
+    later = pieces.filter("at = 0 AND piece <> ''").join(
+        _states_before(parts, pick).filter("entry_idx IS NOT NULL"), ["bundle_id", "part_no"]
+    ).select(
+        "bundle_id", "profile", "entry_idx", "part_no", F.lit(None).cast("string").alias("path"),
+        pick(lambda p: p.later_meta(piece)).alias("meta"),
+        (pick(lambda p: p.later_body(piece, F.col("inside"))) if with_content else none).alias("body"))
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "meta", "body")))
+    joined = blocks.filter("open").drop("open").unionByName(later).groupBy("bundle_id", "profile", "entry_idx").agg(
+        F.max("path").alias("path"), ordered.alias("cut"))
+    text = lambda field, sep: F.array_join(F.transform("cut", lambda x: x[field]), sep)
+    return blocks.filter(~F.col("open")).drop("open", "part_no").unionByName(
+        joined.select("bundle_id", "profile", "entry_idx", "path", text("meta", ";").alias("meta"), text("body", "").alias("body")))
+
+
+def _entries_of_parts(parts: DataFrame, registry: ProfileRegistry, with_content: bool = True) -> DataFrame:
+    pick = _chooser(registry.all(), F.col("profile"))
+    fielded = _blocks_of_parts(parts, registry, with_content).filter(pick(lambda p: p.usable(F.col("path")))).select(
         "bundle_id", "profile", "entry_idx",
         F.struct(
             "path", "body", pick(lambda p: _field_arrays(p, F.col("meta"))).alias("fields")
         ).alias("s"),
     )
-    entries = fielded.select(
+    return fielded.select(
         "bundle_id", "profile", "entry_idx", _finished(F.col("s"), pick).alias("e")
     ).select("bundle_id", "profile", "entry_idx", "e.*")
 
-    last_wins = [p.name for p in profiles if p.duplicate_paths == "last"]
-    strict = ~F.col("profile").isin(*last_wins)
-    bad = entries.filter(entry_problem(F.col("path"), F.col("eol_style")).isNotNull())
-    repeated = entries.filter(strict).groupBy("bundle_id", "path").count().filter("count > 1")
-    failed = bad.select("bundle_id").union(repeated.select("bundle_id")).distinct()
 
+def _report_of_parts(named: DataFrame, registry: ProfileRegistry) -> DataFrame:
+    """``bundle_id, profile, file_count, problem``, one row per bundle in parts.
+
+    States of its paths are merged, those of a path first: how often it occurs, and the first block
+    that is no entry. A message names all repeated paths, as it does for a whole text.
+    """
+    last_wins = [p.name for p in registry.all() if p.duplicate_paths == "last"]
+    light = _entries_of_parts(named, registry, with_content=False)
+    message = entry_problem(F.col("path"), F.col("eol_style"))
+    by_path = light.groupBy("bundle_id", "profile", "path").agg(
+        F.count(F.lit(1)).alias("times"),
+        F.min(F.when(message.isNotNull(), F.struct("entry_idx", message.alias("message")))).alias("bad"))
+    repeated = F.when((F.col("times") > 1) & ~F.col("profile").isin(*last_wins), F.col("path"))
+    found = by_path.groupBy("bundle_id").agg(
+        F.count(F.lit(1)).alias("paths"), F.min("bad")["message"].alias("bad"), F.array_sort(F.collect_list(repeated)).alias("clash"))
+    problem = (
+        F.when(F.col("profile").isNull(), F.lit(f"Profile detection failed: {registry.detection_error()}"))
+        .when(F.col("paths").isNull(), F.lit("Parse error: No files found in bundle"))
+        .when(F.col("bad").isNotNull(), F.concat(F.lit("Unexpected error: "), F.col("bad")))
+        .when(F.size("clash") > 0, F.concat(F.lit("Unexpected error: "), duplicate_message(F.col("clash"))))
+    )
+    bundles = named.groupBy("bundle_id").agg(F.max("profile").alias("profile"))
+    return once(bundles.join(found, "bundle_id", "left"), "bundle_id", "profile", F.col("paths").alias("file_count"), problem.alias("problem")).select(
+        "bundle_id", "profile", F.when(F.col("problem").isNull(), F.col("file_count")).otherwise(0).alias("file_count"), "problem")
+
+
+def parse_parts(parts: DataFrame, profile: str | None = None,
+                registry: ProfileRegistry | None = None) -> DataFrame:
+    """Bundles whose text is spread over several rows, ``bundle_id, part_no, text`` and perhaps
+    ``profile``, cut at any line.
+
+    Repeats are settled by ``(bundle, path)``: for the last-wins format the rank filter already
+    drops the losers before the shuffle. A bundle that fails is removed through the list of failed
+    bundle ids; :func:`parse_errors` names it.
+    """
+    registry = registry or default_registry()
+    named = _with_profile(parts, profile, registry)
+    entries = _entries_of_parts(named, registry)
+    failed = _report_of_parts(named, registry).filter("problem IS NOT NULL").select("bundle_id")
     newest = Window.partitionBy("bundle_id", "path").orderBy(F.desc("entry_idx"))
     kept = (
         entries.withColumn("__rank", F.row_number().over(newest))
@@ -273,7 +361,8 @@ def parse_blocks(blocks: DataFrame, registry: ProfileRegistry | None = None) ->
 def validate_bundles(bundles: DataFrame, profile: str | None = None,
                      registry: ProfileRegistry | None = None,
                      checksums: DataFrame | None = None) -> DataFrame:
-    """``bundle_id, valid, profile, file_count, errors, warnings``, one row per bundle.
+    """``bundle_id, valid, profile, file_count, errors, warnings``, one row per bundle,
+    also of bundles in parts.
 
     Failures are data. ``checksums(bundle_id, path, checksum)`` adds a check of the parsed
     contents against recorded digests; the paths named in its message all come out of the one
@@ -290,13 +379,16 @@ def validate_bundles(bundles: DataFrame, profile: str | None = None,
                 F.array(F.lit(f"Unexpected error: {e}")).alias("errors"),
                 F.array().cast("array<string>").alias("warnings"),
             )
-    read = read_bundles(bundles, profile, registry=registry, with_content=False)
+    whole, cut = _by_parts(bundles) if "in_parts" in bundles.columns else (bundles, None)
+    read = read_bundles(whole, profile, registry=registry, with_content=False)
     ok = F.col("problem").isNull()
     report = read.select(
         "bundle_id", "profile",
         F.when(ok, F.size("entries")).otherwise(0).cast("bigint").alias("file_count"),
         "problem",
     )
+    if cut is not None:
+        report = report.unionByName(_report_of_parts(_with_profile(cut, profile, registry), registry))
     mismatch = F.lit(None).cast("string")
     if checksums is not None:
         failed = (

@@ -52,6 +52,24 @@ class Profile:
         """Blocks of the text; whatever comes before the first is dropped."""
         raise NotImplementedError
 
+    # -- reading a bundle in slices that are cut at any line
+    def pieces(self, text: Column) -> Column:
+        """What continues the block of an earlier slice, often nothing, and then the slice's own blocks."""
+        raise NotImplementedError
+
+    def moves(self, piece: Column) -> Column:
+        """``outside, inside``: whether a body's end is inside (1) or outside (0) of a fence after the
+        piece, if it was outside or inside before it. A format without fences leaves all as it is."""
+        return F.struct(F.lit(0).alias("outside"), F.lit(1).alias("inside"))
+
+    def later_body(self, piece: Column, inside: Column) -> Column:
+        """Body in what continues a block, ``inside`` of a fence or not."""
+        raise NotImplementedError
+
+    def later_meta(self, piece: Column) -> Column:
+        """Metadata in what continues a block."""
+        return F.lit("")
+
     def path(self, block: Column) -> Column:
         raise NotImplementedError
 

@@ -36,6 +36,7 @@ _SPLIT = rf"{LINE_START}(?={_HEADER})"
 _BARE = rf"{_S}```{_S}{EOL_OR_END}"
 # Whole lines up to a bare fence. Possessive, so that long contents need no stack.
 _INSIDE = rf"((?:(?!{_BARE}){ANY_LINE}{EOL})*+(?:(?!{_BARE})[^{LINE_END}]++)?)"
+_FENCE_LINE = rf"{LINE_START}{_S}(```[{WORD}]*){_S}{EOL_OR_END}"
 _FENCED = rf"{LINE_START}{_S}```[{WORD}]*{_S}{EOL_OR_END}{_INSIDE}(?:{_BARE})?"
 
 # Detection splits at line feeds only, so other terminators count as blanks there.
@@ -61,6 +62,23 @@ class FenceProfile(Profile):
         starts = F.rlike(text, F.lit(rf"\A{_HEADER}"))
         return F.when(starts, pieces).otherwise(F.slice(pieces, F.lit(2), F.size(pieces) - 1))
 
+    def pieces(self, text: Column) -> Column:
+        pieces = F.split(text, _SPLIT, -1)
+        return F.when(F.rlike(text, F.lit(rf"\A{_HEADER}")), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+
+    def moves(self, piece: Column) -> Column:
+        """A bare fence opens and closes, one with a language only opens."""
+        fences = F.regexp_extract_all(piece, F.lit(_FENCE_LINE), F.lit(1))
+        start = F.struct(F.lit(0).alias("outside"), F.lit(1).alias("inside"))
+        return F.aggregate(fences, start, lambda at, fence: F.struct(
+            F.when(fence == "```", 1 - at["outside"]).otherwise(1).alias("outside"),
+            F.when(fence == "```", 1 - at["inside"]).otherwise(1).alias("inside"),
+        ))
+
+    def later_body(self, piece: Column, inside: Column) -> Column:
+        opened = F.when(inside, F.concat(F.lit("```\n"), piece)).otherwise(piece)
+        return F.array_join(F.regexp_extract_all(opened, F.lit(_FENCED), F.lit(1)), "")
+
     def path(self, block: Column) -> Column:
         return strip(F.regexp_extract(block, rf"\A{_HEADER}", 1))
 

@@ -49,6 +49,16 @@ class PlainProfile(Profile):
         starts = F.rlike(text, F.lit(rf"\A{_FILE}[^\n]"))
         return F.when(starts, pieces).otherwise(F.slice(pieces, F.lit(2), F.size(pieces) - 1))
 
+    def pieces(self, text: Column) -> Column:
+        pieces = F.split(text, _SPLIT, -1)
+        return F.when(F.rlike(text, F.lit(rf"\A{_FILE}[^\n]")), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+
+    def later_body(self, piece: Column, inside: Column) -> Column:
+        return F.regexp_replace(piece, _NOT_BODY, "")
+
+    def later_meta(self, piece: Column) -> Column:
+        return self.meta(piece)
+
     def path(self, block: Column) -> Column:
         return strip(F.regexp_extract(block, rf"\A{_FILE}([^{LINE_END}]*)", 1))
 

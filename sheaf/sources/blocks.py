@@ -1,146 +1,82 @@
-"""Bundle files as block rows, one file over many tasks.
+"""Bundle files as rows: whole, or in slices of lines, one file over many tasks.
 
-A bundle file is cut into byte ranges. The task of a range starts at the first block header that
-begins inside it and reads on until the block that is open at the end of the range is complete.
-The byte offset of a block orders it within its bundle.
+Slices come from Spark's own text source, which divides a file into splits and gives each line to
+one of them. A slice is ordered by the byte at which its split starts and by the lines of the split
+before it, so the slices of a file are the parts of a bundle for ``plans.parsing``.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sheaf.functions.content import decode_ignore
 from sheaf.functions.paths import base_name, relative_to
 from sheaf.functions.text import universal_newlines
-from sheaf.profiles import default_registry
 from sheaf.sources.filetree import list_files, read_contents
 
-RANGE_BYTES = 64 * 1024 * 1024
-# Ranges grow beyond this many tasks.
-MAX_RANGES = 100_000
-_CHUNK = 4 * 1024 * 1024
-
-# A header line of either format, with the line feed before it.
-_HEADERS = {
-    "plain_marker": re.compile(rb"(?:\A|(?<=\n))[ \t]*#[ \t]*FILE[ \t]*:[^\n]", re.I),
-    "md_fence": re.compile(rb"(?:\A|(?<=\n))[ \t]*<!--[ \t]*FILE:[^;\n]+;[^\n]+-->[ \t\r]*(?=\n|\Z)", re.I),
-}
-_LONGEST_HEADER = 64 * 1024
-
-
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
-
-
-class BlockReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
-        self.profile = options.get("profile", "plain_marker")
-        self.step = int(options.get("rangeBytes", str(RANGE_BYTES)))
-
-    def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.root):
-            files = sorted(e.path for e in os.scandir(self.root) if e.is_file())
-        else:
-            files = [self.root]
-        sizes = [(f, os.path.getsize(f)) for f in files]
-        step = max(self.step, sum(n for _, n in sizes) // MAX_RANGES)
-        return [
-            _Range(f, at, min(at + step, size))
-            for f, size in sizes
-            for at in range(0, size, step)
-        ]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        for offset, block in self._blocks(part):
-            yield pa.RecordBatch.from_pydict({
-                "bundle_id": pa.array([os.path.basename(part.path)], pa.string()),
-                "profile": pa.array([self.profile], pa.string()),
-                "entry_idx": pa.array([offset], pa.int64()),
-                "block": pa.array([block.decode("utf-8", "ignore")], pa.string()),
-            })
-
-    def _blocks(self, part: _Range) -> Iterator[tuple[int, bytes]]:
-        header = _HEADERS[self.profile]
-        with open(part.path, "rb") as f:
-            # One byte before the range tells whether its first line starts in it.
-            base = max(part.start - 1, 0)
-            f.seek(base)
-            buffer, scanned, last = b"", min(part.start, 1), False
-            # The head of the file counts as a block, so that nothing in it goes unseen.
-            opened = 0 if part.start == 0 else None
-            while not last:
-                more = f.read(_CHUNK)
-                last = not more
-                buffer += more
-                # A header may be cut at the end of the buffer; leave that much for later.
-                safe = len(buffer) if last else len(buffer) - _LONGEST_HEADER
-                done = False
-                for m in header.finditer(buffer, scanned):
-                    if m.start() >= safe:
-                        break
-                    if opened is not None and m.start() > opened:
-                        yield base + opened, buffer[opened:m.start()]
-                    if base + m.start() >= part.end:
-                        opened, done = None, True
-                        break
-                    opened, scanned = m.start(), m.end()
-                if done:
-                    return
-                if opened is None and base + safe >= part.end:
-                    return
-                if safe > scanned:
-                    scanned = safe
-                if opened is None:
-                    # Nothing is open: keep only the byte before the scan position.
-                    cut = max(scanned - 1, 0)
-                    buffer, base, scanned = buffer[cut:], base + cut, scanned - cut
-                elif opened > 0:
-                    cut = opened - 1
-                    buffer, base = buffer[cut:], base + cut
-                    opened, scanned = 1, scanned - cut
-            if opened is not None:
-                yield base + opened, buffer[opened:]
-
-
-class BlockSource(DataSource):
-    """``spark.read.format("bundleblocks").option("profile", ...).load(path)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bundleblocks"
-
-    def schema(self) -> str:
-        return "bundle_id string, profile string, entry_idx bigint, block string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return BlockReader(dict(self.options))
-
-
-def read_blocks(spark: SparkSession, path: str, profile: str,
-                range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Block rows for :func:`sheaf.plans.parsing.parse_blocks`.
-
-    The byte scan knows the usual spelling of a header line. Each record is split once more by
-    the format's own rule, which also drops what comes before the first header.
+SLICE_BYTES = 1 << 20
+
+
+def _below(spark: SparkSession, root: str) -> tuple[str, Column]:
+    """The root's full name, and the path below it of ``file_path``; the name of a single file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    plain = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+    # A local path can be written with one or with three slashes after its scheme.
+    one = F.regexp_replace(plain, "^file:/+", "file:/")
+    root_one = full.replace("file:///", "file:/")
+    return full, F.when(one == root_one, F.substring_index(one, "/", -1)).otherwise(F.substring(one, len(root_one) + 2, 1 << 30))
+
+
+def read_slices(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``bundle_id, part_no, text``: the files below a path of any Hadoop file system, in slices of whole
+    lines of about ``slice_bytes``; a longer line is a slice of its own, an empty file is an empty slice.
+    Undecodable bytes are dropped.
+
+    ``part_no`` rises with the place in the file. A split starts behind its first byte, with the first
+    line that begins there, so one more than its first byte is no larger than the place of any line.
     """
-    spark.dataSource.register(BlockSource)
-    records = (
-        spark.read.format("bundleblocks")
-        .option("profile", profile).option("rangeBytes", range_bytes).load(path)
-    )
-    pieces = default_registry().get(profile).split(F.col("block"))
-    return records.select(
-        "bundle_id", "profile", "entry_idx", F.posexplode(pieces).alias("pos", "block")
-    ).select("bundle_id", "profile", (F.col("entry_idx") + F.col("pos")).alias("entry_idx"), "block")
+
+    def sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, lines, size, at = None, [], 0, 0
+
+        def done() -> pd.DataFrame:
+            text = b"\n".join(lines) + b"\n"
+            return pd.DataFrame({
+                "file_path": [file[0]], "part_no": [file[1] + at + (file[1] > 0)], "n_bytes": [size], "file_size": [file[2]],
+                "text": [text.decode("utf-8", "ignore")]})
+
+        for frame in frames:
+            for *key, value in zip(frame["file_path"], frame["start"], frame["file_size"], frame["line"]):
+                if lines and (key != file or size >= slice_bytes):
+                    yield done()
+                    at, lines, size = at + size, [], 0
+                if key != file:
+                    file, at = key, 0
+                lines.append(bytes(value))
+                size += len(value) + 1
+        if lines:
+            yield done()
+
+    full, below = _below(spark, path)
+    files = spark.read.option("recursiveFileLookup", "true")
+    lines = files.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_size").alias("file_size"), F.col("value").cast("binary").alias("line"))
+    slices = lines.mapInPandas(sliced, "file_path string, part_no bigint, n_bytes bigint, file_size bigint, text string")
+    # The source does not tell whether the last line ends in a line feed; the size does.
+    ends = slices.groupBy("file_path").agg(F.max("part_no").alias("last"), F.sum("n_bytes").alias("sum"))
+    open_end = (F.col("part_no") == F.col("last")) & (F.col("sum") > F.col("file_size"))
+    text = F.when(open_end, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    empty = files.format("binaryFile").load(path).where("length = 0").select(
+        F.col("path").alias("file_path"), F.lit(0).cast("bigint").alias("part_no"), F.lit("").alias("text"))
+    return slices.join(ends, "file_path").select("file_path", "part_no", text.alias("text")).unionByName(empty).select(
+        below.alias("bundle_id"), "part_no", "text")
 
 
 def read_bundles_text(spark: SparkSession, path: str, newline_text: bool = False) -> DataFrame:

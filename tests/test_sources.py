@@ -7,9 +7,9 @@ from sheaf.functions.globs import DEFAULT_DENY
 from sheaf.operators.manifest import create_manifest, number_files, oversized_files
 from sheaf.operators.ordinal import ranged_ordinal, with_ordinal
 from sheaf.plans.formatting import format_blocks, format_bundles
-from sheaf.plans.parsing import parse_blocks, parse_bundles
+from sheaf.plans.parsing import parse_bundles, parse_parts, validate_bundles
 from sheaf.sources import sinks
-from sheaf.sources.blocks import read_blocks, read_bundles_text
+from sheaf.sources.blocks import read_bundles_text, read_slices
 from sheaf.sources.filetree import discover_files, in_discovery_order, list_files, python_files, read_contents
 
 import pytest
@@ -75,14 +75,14 @@ def test_blocks_of_one_file_over_many_tasks(spark, tmp_path, profile, step):
     text = "junk\n" + format_bundles(entries, profile).first().text
     text = text.replace("# FILE: d9/", "\t#file :d9/").replace("<!-- FILE: d9/", " <!--file: d9/").replace("line 7\n", "line 7\r\n")
     (tmp_path / "one.txt").write_bytes(text.encode())
-    got = parse_blocks(read_blocks(spark, str(tmp_path / "one.txt"), profile, step)).orderBy("entry_idx").collect()
+    got = parse_parts(read_slices(spark, str(tmp_path / "one.txt"), step), profile).orderBy("entry_idx").collect()
     want = parse_bundles(spark.createDataFrame([("b", text)], "bundle_id string, text string"), profile).orderBy("entry_idx").collect()
     assert [(r.path, r.content) for r in got] == [(r.path, r.content) for r in want] and len(want) >= 40
 
 
 def test_carriage_return_bundle_is_not_lost(spark, tmp_path):
     (tmp_path / "cr.txt").write_bytes(b"# FILE: a\rx\r# FILE: b\ry\r")
-    got = parse_blocks(read_blocks(spark, str(tmp_path), "plain_marker", 5)).orderBy("entry_idx").collect()
+    got = parse_parts(read_slices(spark, str(tmp_path), 5), "plain_marker").orderBy("entry_idx").collect()
     assert [(r.path, r.content) for r in got] == [("a", "x\r"), ("b", "y\r")]
 
 
