@@ -57,39 +57,31 @@ def pair_files(old: DataFrame, new: DataFrame, mode: str = "path") -> DataFrame:
     )
 
 
-def map_files(old: DataFrame, new: DataFrame, maps: Sequence[str]) -> DataFrame:
-    """Explicit pairs ``old|new`` by path suffix, first match in catalog order.
+def map_files(old: DataFrame, new: DataFrame, maps: Sequence[str] | DataFrame) -> DataFrame:
+    """Explicit pairs by path suffix, first match in catalog order. ``maps`` is a list of ``old|new``
+    or, for many, a table ``m, old, new`` with a number for each mapping.
 
-    The mappings are a literal array on each file row, so no join of files with mappings arises.
+    The suffixes of a path that are as long as some mapping's are joined with the mappings, so a file
+    meets only mappings that fit.
     """
-    wanted = [tuple(s.strip() for s in m.split("|", 1)) for m in maps if "|" in m]
-
-    def first_match(files: DataFrame, side: int, name: str) -> DataFrame:
-        norm = F.lower(F.translate("file", "\\", "/"))
-        suffixes = F.array(*[
-            F.struct(F.lit(i).alias("m"), F.lit(w[side].replace("\\", "/").lower()).alias("suffix"))
-            for i, w in enumerate(wanted)
-        ])
-        hits = F.filter(suffixes, lambda s: F.endswith(norm, s["suffix"]))
-        return (
-            files.select("file", "ord", F.explode(hits).alias("hit"))
-            .groupBy("hit.m")
-            .agg(F.min_by("file", "ord").alias(name))
-        )
-
-    if not wanted:
-        return first_pair_schema(old)
-    labels = F.array(*[F.lit(f"{a} | {b}") for a, b in wanted])
-    return first_match(old, 0, "file_old").join(first_match(new, 1, "file_new"), "m").select(
-        *PAIR, F.element_at(labels, F.col("m") + 1).alias("key")
-    )
-
-
-def first_pair_schema(files: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return files.select(
-        none.alias("file_old"), none.alias("file_new"), none.alias("key")
-    ).filter(F.lit(False))
+    spark = old.sparkSession
+    if not isinstance(maps, DataFrame):
+        wanted = [tuple(s.strip() for s in m.split("|", 1)) for m in maps if "|" in m]
+        maps = spark.createDataFrame([(i, *w) for i, w in enumerate(wanted)], "m bigint, old string, new string")
+
+    def first_match(files: DataFrame, side: str, name: str) -> DataFrame:
+        norm = lambda c: F.lower(F.translate(c, "\\", "/"))
+        suffixes = maps.select("m", norm(side).alias("suffix"))
+        # One row, a bounded number of lengths: paths are short.
+        lengths = suffixes.agg(F.collect_set(F.length("suffix")).alias("lengths"))
+        path = norm("file")
+        cut = files.crossJoin(F.broadcast(lengths)).select("file", "ord", F.explode(F.transform(
+            F.filter("lengths", lambda n: n <= F.length(path)),
+            lambda n: F.substring(path, F.length(path) - n + 1, n))).alias("suffix"))
+        return cut.join(suffixes, "suffix").groupBy("m").agg(F.min_by("file", "ord").alias(name))
+
+    pairs = first_match(old, "old", "file_old").join(first_match(new, "new", "file_new"), "m")
+    return pairs.join(maps, "m").select(*PAIR, F.concat_ws(" | ", "old", "new").alias("key"))
 
 
 def without_docstrings(commands: DataFrame) -> DataFrame:
@@ -238,7 +230,7 @@ def changelog(changes: DataFrame, pairing_mode: str) -> DataFrame:
 
 
 def compare_catalogs(old: DataFrame, new: DataFrame, mode: str = "path",
-                     maps: Sequence[str] | None = None,
+                     maps: Sequence[str] | DataFrame | None = None,
                      suppress_docstrings: bool = False) -> dict[str, DataFrame]:
     """The whole comparison of two catalog tables: ``pairs, stability, changes, changelog``.
 
@@ -248,8 +240,9 @@ def compare_catalogs(old: DataFrame, new: DataFrame, mode: str = "path",
     def files(c):
         return c.select("file", F.col("ord" if "ord" in c.columns else "file").alias("ord"))
 
+    mapped = isinstance(maps, DataFrame) or bool(maps)
     pairs = checkpoint(
-        map_files(files(old), files(new), maps) if maps else pair_files(files(old), files(new), mode)
+        map_files(files(old), files(new), maps) if mapped else pair_files(files(old), files(new), mode)
     )
     (oc, of), (nc, nf) = explode_catalog(old), explode_catalog(new)
     by_function = stability(of, nf, pairs, ("scope", "name"), "function_stability")
@@ -259,5 +252,5 @@ def compare_catalogs(old: DataFrame, new: DataFrame, mode: str = "path",
         "pairs": pairs,
         "stability": by_function.join(by_command, list(PAIR)),
         "changes": changes,
-        "changelog": changelog(changes, "mapped" if maps else mode),
+        "changelog": changelog(changes, "mapped" if mapped else mode),
     }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import content as C
 from sheaf.functions.paths import path_problem, resolve
 from sheaf.operators.manifest import guard
-from sheaf.operators.ordinal import with_ordinal
+from sheaf.operators.ordinal import running_sums
 from sheaf.session import checkpoint
 
 POLICIES = ("prompt", "skip", "overwrite", "rename")
@@ -153,9 +153,9 @@ def rename_targets(claims: DataFrame, existing: DataFrame) -> DataFrame:
     lowest N free at that moment, entries being placed in order.
 
     Placing one name touches another only if the other is the first with numbers appended. Where
-    no such neighbour takes part, the j-th latecomer of a name gets N = j, counted natively. Names
-    that do depend on each other are replayed in order, one component at a time, on rows that
-    carry no content.
+    no such neighbour is claimed, the j-th latecomer of a name gets the j-th number that is not on
+    disk, by running counts of latecomers and of numbers on disk. Names whose claims do depend on
+    each other are replayed in order, one component at a time, on rows that carry no content.
     """
     claims = checkpoint(claims.select("bundle_id", "entry_idx", "target", "taken"))
     demand = claims.groupBy("bundle_id", "target").agg(F.max("taken").alias("contested"))
@@ -166,8 +166,8 @@ def rename_targets(claims: DataFrame, existing: DataFrame) -> DataFrame:
         p = _split_target(F.col("target"))
         return df.withColumns({k: p[k] for k in family[1:]})
 
-    # Families in which some contested name has a numbered form that is claimed or on disk.
-    below = names.select("bundle_id", _numbered_parent(F.col("target")).alias("target")).filter(
+    # Families in which some contested name has a numbered form that is claimed.
+    below = demand.select("bundle_id", _numbered_parent(F.col("target")).alias("target")).filter(
         F.col("target").isNotNull()
     )
     tangled = with_family(
@@ -183,12 +183,10 @@ def rename_targets(claims: DataFrame, existing: DataFrame) -> DataFrame:
         "bundle_id", "entry_idx", "target", F.col("target").alias("final")
     )
     p = _split_target(F.col("target"))
-    numbered = with_ordinal(
-        clear.filter("taken"), ["bundle_id", "target"], [F.col("entry_idx")], "nth"
-    ).select(
+    numbered = _free_numbers(clear.filter("taken"), existing).select(
         "bundle_id", "entry_idx", "target",
         F.concat(
-            p["folder"], p["stem"], F.lit("_"), (F.col("nth") + 1).cast("string"), p["suffix"]
+            p["folder"], p["stem"], F.lit("_"), F.col("number").cast("string"), p["suffix"]
         ).alias("final"),
     )
     on_disk = existing.select(
@@ -207,6 +205,30 @@ def rename_targets(claims: DataFrame, existing: DataFrame) -> DataFrame:
     return settled.unionByName(numbered).unionByName(replayed)
 
 
+def _free_numbers(late: DataFrame, existing: DataFrame) -> DataFrame:
+    """``bundle_id, entry_idx, target, number``: the j-th latecomer of a target gets the j-th number
+    whose numbered form does not exist.
+
+    Before the i-th number on disk, o, there are o - i free ones. So the j-th free number is j plus
+    how many numbers on disk have fewer than j free ones before them.
+    """
+    keys = ["bundle_id", "target"]
+    turns = running_sums(late.withColumn("one", F.lit(1)), keys, "entry_idx", ["one"]).select(
+        *keys, "entry_idx", (F.col("one_before") + 1).alias("turn"))
+    digits = F.regexp_extract(_split_target(F.col("target"))["stem"], r"_([1-9][0-9]*)\z", 1)
+    # Numbers of more digits are beyond any count of claims.
+    on_disk = existing.filter(F.length(digits).between(1, 17)).select(
+        "bundle_id", _numbered_parent(F.col("target")).alias("target"), digits.cast("bigint").alias("number")
+    ).distinct().join(late.select(*keys).distinct(), keys, "left_semi").withColumn("one", F.lit(1))
+    free_before = running_sums(on_disk, keys, "number", ["one"]).groupBy(
+        *keys, (F.col("number") - F.col("one_before") - 1).alias("free")).agg(F.count(F.lit(1)).alias("numbers"))
+    # A latecomer's turn lies before the numbers with as many free ones before them.
+    both = turns.select(*keys, "entry_idx", (2 * F.col("turn")).alias("at"), F.lit(0).cast("bigint").alias("numbers")).unionByName(
+        free_before.select(*keys, F.lit(None).cast("bigint").alias("entry_idx"), (2 * F.col("free") + 1).alias("at"), "numbers"))
+    return running_sums(both, keys, "at", ["numbers"]).filter("entry_idx IS NOT NULL").select(
+        *keys, "entry_idx", (F.col("at") / 2 + F.col("numbers_before")).cast("bigint").alias("number"))
+
+
 def _place_in_order(rows: pd.DataFrame) -> pd.DataFrame:
     suffix = rows["suffix"].iat[0] or ""
     taken = set(rows.loc[rows["entry_idx"] < 0, "target"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import content as C
 from sheaf.functions.paths import base_name, is_within, order_key, relative_to, to_posix
 from sheaf.functions.text import human_size, universal_newlines
-from sheaf.operators.ordinal import with_ordinal
+from sheaf.operators.ordinal import running_sums, with_ordinal
 from sheaf.profiles import ProfileRegistry, default_registry
 
 
@@ -266,7 +266,7 @@ def get_entry(entries: DataFrame, path: str) -> DataFrame:
 def add_entries(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(manifest, rejected)``: entries whose path is taken, or given twice, are rejected.
 
-    New entries are appended in their own order behind the last position of their bundle.
+    New entries are appended in their own order, without gaps, behind the last position of their bundle.
     """
     keys = ["bundle_id", "path"]
     new = new.withColumn("path", to_posix(F.col("path")))
@@ -279,10 +279,14 @@ def add_entries(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
     marked = new.join(fresh_rows, [*keys, "entry_idx"], "left")
     fresh = F.col("__fresh").isNotNull()
     last = entries.groupBy("bundle_id").agg((F.max("entry_idx") + 1).alias("__base"))
+    places = running_sums(
+        fresh_rows.select("bundle_id", F.col("entry_idx").alias("__at")).withColumn("one", F.lit(1)), ["bundle_id"], "__at", ["one"])
+    places = places.select("bundle_id", F.col("__at").alias("entry_idx"), F.col("one_before").alias("__place"))
     accepted = (
         marked.filter(fresh)
+        .join(places, ["bundle_id", "entry_idx"])
         .join(last, "bundle_id", "left")
-        .withColumn("entry_idx", F.coalesce("__base", F.lit(0)) + F.col("entry_idx"))
+        .withColumn("entry_idx", F.coalesce("__base", F.lit(0)) + F.col("__place"))
         .select(*entries.columns)
     )
     rejected = marked.filter(~fresh).select(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sheaf.session import checkpoint
 
 HOT_GROUP_ROWS = 2_000_000
+#: Values of a position that running sums take together.
+CHUNK = 1 << 16
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str,
@@ -57,3 +59,22 @@ def ranged_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         .withColumn(out, F.col("__offset") + F.col("__at") - F.col("__first"))
         .drop("__slice", "__at", "__first", "__offset")
     )
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[str],
+                 chunk: int = CHUNK) -> DataFrame:
+    """``<value>_before`` for each of ``values``: its sum over the rows of the group with a smaller
+    ``position``, an integer that is unique within the group.
+
+    Positions are taken in chunks. Sums of chunks are added up along the group, which has few of
+    them, and rows within their chunk, so no task meets more of a group than one chunk.
+    """
+    chunked = df.withColumn("__chunk", F.floor(F.col(position) / F.lit(chunk)))
+    own = [*keys, "__chunk"]
+    sums = chunked.groupBy(*own).agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*own, *[F.coalesce(F.sum(f"__{v}").over(chunks), F.lit(0)).alias(f"__{v}") for v in values])
+    rows = Window.partitionBy(*own).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    return chunked.join(offsets, own).withColumns(
+        {f"{v}_before": F.col(f"__{v}") + F.coalesce(F.sum(v).over(rows), F.lit(0)) for v in values}
+    ).drop("__chunk", *[f"__{v}" for v in values])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators.ordinal import running_sums
 from sheaf.plans.parsing import _chooser, parse_bundles
 from sheaf.profiles import Profile, ProfileRegistry, default_registry
 
@@ -55,33 +56,44 @@ def assemble(blocks: DataFrame, separator: Column | str, max_bytes: int = MAX_TE
              keep: tuple[str, ...] = ()) -> DataFrame:
     """``bundle_id, part_no, in_parts, text``: blocks joined in entry order.
 
-    A bundle up to ``max_bytes`` is one row with ``part_no`` 0. A larger one is cut between
-    blocks: its part number is the entry position divided by as many entries as always fit, so no
-    group collects more than ``max_bytes``.
+    A bundle up to ``max_bytes`` is one row with ``part_no`` 0. A larger one is cut between blocks, by
+    running sums of bytes: a new part starts where the sum passes a multiple of half the limit, and a
+    block above half the limit is a part of its own. So no part exceeds the limit but a single block
+    that does. Part numbers start at 0 and rise, with gaps where blocks above half the limit meet.
 
-    Sizes are summed with a map-side combine, and only bundles over the limit are kept; whether
-    these few rows are broadcast is left to Spark, which has measured them by then.
+    Sizes are summed with a map-side combine. Only blocks of bundles over the limit get a part from
+    rows without text, joined back by position; whether these rows are broadcast is left to Spark,
+    which has measured them by then.
     """
-    size = F.octet_length("block") + 2
+    half = max(max_bytes // 2, 1)
+    sizes = blocks.select("bundle_id", "entry_idx", (F.octet_length("block") + 2).cast("bigint").alias("bytes"))
     oversized = (
-        blocks.groupBy("bundle_id")
-        .agg(F.sum(size).alias("bytes"), F.max(size).alias("largest"))
-        .filter(F.col("bytes") > max_bytes)
-        .select(
-            "bundle_id",
-            F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.col("largest"))).alias("per_part"),
-        )
+        sizes.groupBy("bundle_id")
+        .agg(F.sum("bytes").alias("sum"), F.min_by("bytes", "entry_idx").alias("first"))
+        .filter(F.col("sum") > max_bytes)
+        .select("bundle_id", (F.col("first") > half).cast("bigint").alias("shift"))
+    )
+    large = F.col("bytes") > half
+    running = running_sums(
+        sizes.join(oversized, "bundle_id").withColumns({
+            "large": large.cast("bigint"), "small": F.when(large, 0).otherwise(F.col("bytes"))}),
+        ["bundle_id"], "entry_idx", ["large", "small"],
+    )
+    cut = running.select(
+        "bundle_id", "entry_idx",
+        (2 * F.col("large_before") + F.col("large") + F.floor(F.col("small_before") / F.lit(half)) - F.col("shift"))
+        .cast("bigint").alias("cut_no"),
     )
-    sized = blocks.join(oversized, "bundle_id", "left")
+    sized = blocks.join(cut, ["bundle_id", "entry_idx"], "left")
 
-    part = F.coalesce(F.floor(F.col("entry_idx") / F.col("per_part")), F.lit(0)).cast("bigint")
+    part = F.coalesce("cut_no", F.lit(0)).cast("bigint")
     sep = F.lit(separator) if isinstance(separator, str) else separator
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct("entry_idx", "block"))), lambda x: x["block"]
     )
     return (
         sized.withColumn("part_no", part)
-        .withColumn("in_parts", F.col("per_part").isNotNull())
+        .withColumn("in_parts", F.col("cut_no").isNotNull())
         .withColumn("__sep", sep)
         .groupBy("bundle_id", *keep, "part_no", "in_parts")
         .agg(ordered.alias("__blocks"), F.first("__sep").alias("__sep"))

@@ -22,20 +22,20 @@ from sheaf.sources.filetree import list_files, read_contents
 SLICE_BYTES = 1 << 20
 
 
-def _below(spark: SparkSession, root: str) -> tuple[str, Column]:
-    """The root's full name, and the path below it of ``file_path``; the name of a single file."""
+def _below(spark: SparkSession, root: str) -> Column:
+    """The path of ``file_path`` below the root; the name of a single file."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     plain = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
     # A local path can be written with one or with three slashes after its scheme.
     one = F.regexp_replace(plain, "^file:/+", "file:/")
     root_one = full.replace("file:///", "file:/")
-    return full, F.when(one == root_one, F.substring_index(one, "/", -1)).otherwise(F.substring(one, len(root_one) + 2, 1 << 30))
+    return F.when(one == root_one, F.substring_index(one, "/", -1)).otherwise(F.substring(one, len(root_one) + 2, 1 << 30))
 
 
 def read_slices(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``bundle_id, part_no, text``: the files below a path of any Hadoop file system, in slices of whole
-    lines of about ``slice_bytes``; a longer line is a slice of its own, an empty file is an empty slice.
+    lines of about ``slice_bytes``; a longer line is a slice of its own, an empty file has none.
     Undecodable bytes are dropped.
 
     ``part_no`` rises with the place in the file. A split starts behind its first byte, with the first
@@ -63,9 +63,9 @@ def read_slices(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES)
         if lines:
             yield done()
 
-    full, below = _below(spark, path)
-    files = spark.read.option("recursiveFileLookup", "true")
-    lines = files.option("lineSep", "\n").text(path).select(
+    below = _below(spark, path)
+    files = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    lines = files.text(path).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_size").alias("file_size"), F.col("value").cast("binary").alias("line"))
     slices = lines.mapInPandas(sliced, "file_path string, part_no bigint, n_bytes bigint, file_size bigint, text string")
@@ -73,10 +73,7 @@ def read_slices(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES)
     ends = slices.groupBy("file_path").agg(F.max("part_no").alias("last"), F.sum("n_bytes").alias("sum"))
     open_end = (F.col("part_no") == F.col("last")) & (F.col("sum") > F.col("file_size"))
     text = F.when(open_end, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
-    empty = files.format("binaryFile").load(path).where("length = 0").select(
-        F.col("path").alias("file_path"), F.lit(0).cast("bigint").alias("part_no"), F.lit("").alias("text"))
-    return slices.join(ends, "file_path").select("file_path", "part_no", text.alias("text")).unionByName(empty).select(
-        below.alias("bundle_id"), "part_no", "text")
+    return slices.join(ends, "file_path").select(below.alias("bundle_id"), "part_no", text.alias("text"))
 
 
 def read_bundles_text(spark: SparkSession, path: str, newline_text: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import content as C
@@ -10,10 +11,12 @@ from sheaf.operators import manifest as M
 from sheaf.plans import formatting as W
 from sheaf.plans import parsing as R
 from sheaf.session import checkpoint
-from sheaf.sources import tables
+from sheaf.sources import sinks, tables
+from sheaf.sources.blocks import read_slices
 from workload import inputs as I
 from workload.files_queries import FILES, manifest
-from workload.registry import query
+from workload.log_queries import _work_folder
+from workload.registry import CHECKS, query
 
 _PLAIN, _FENCE = I.check_sql(I.PLAIN_BLOCK), I.check_sql(I.FENCE_BLOCK)
 
@@ -130,6 +133,40 @@ def parse_parts(spark, sf):
     return _shown(R.parse_parts(parts)).drop("entry_idx")
 
 
+def _cut(spark, sf, block, every):
+    """Bundles cut behind every so many lines, wherever that is, as parts without a named format."""
+    lines = F.split("text", "\n", -1)
+    cut = I.load(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("bundle_id"), "turn", F.expr(block).alias("text"),
+    ).groupBy("bundle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "").alias("text"))
+    numbered = cut.select("bundle_id", F.size(lines).alias("n"), F.posexplode(lines).alias("at", "line"))
+    whole = F.when(F.col("at") < F.col("n") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
+    return numbered.select("bundle_id", F.floor(F.col("at") / every).alias("part_no"), "at", whole.alias("line")).groupBy("bundle_id", "part_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("text"))
+
+
+@query("parse_fence_lines", f"{FENCE_PARSE} SELECT bundle_id, path, encoding, is_binary, eol_style, sha256(content) AS content_sum FROM entries")
+def parse_fence_lines(spark, sf):
+    """Every line a part of its own: fences open in one part and close in another."""
+    return _shown(R.parse_parts(_cut(spark, sf, I.FENCE_BLOCK, 1), "md_fence")).drop("entry_idx")
+
+
+@query("parse_plain_lines", f"{PLAIN_PARSE} SELECT bundle_id, path, encoding, is_binary, eol_style, sha256(content) AS content_sum FROM entries")
+def parse_plain_lines(spark, sf):
+    """Three lines a part: metadata and contents go on in later parts."""
+    return _shown(R.parse_parts(_cut(spark, sf, I.PLAIN_BLOCK, 3), "plain_marker")).drop("entry_idx")
+
+
+@query("parse_slices", f"{FENCE_PARSE} SELECT bundle_id, path, encoding, is_binary, eol_style, sha256(content) AS content_sum FROM entries")
+def parse_slices(spark, sf):
+    """Bundles written as files and read back in slices of lines by Spark's text source."""
+    root = _work_folder(spark).removeprefix("file://")
+    bundles = I.fence_bundles(spark, sf).withColumns({"part_no": F.lit(0).cast("bigint"), "in_parts": F.lit(False)})
+    sinks.write_bundles(spark, bundles, root)
+    slices = read_slices(spark, root, slice_bytes=300).withColumn("bundle_id", F.regexp_replace("bundle_id", r"\.txt\z", ""))
+    return _shown(R.parse_parts(slices, "md_fence")).drop("entry_idx")
+
+
 @query("last_wins", f"""
 {PLAIN_PARSE}, n AS (SELECT bundle_id, path, count(*) AS blocks, max(b) AS last_b FROM parsed GROUP BY 1, 2)
 SELECT e.bundle_id, e.path, n.blocks, sha256(e.content) AS content_sum FROM entries e JOIN n USING (bundle_id, path) WHERE n.blocks > 1""")
@@ -187,6 +224,23 @@ def validate_fence(spark, sf):
     )
 
 
+def _report(report):
+    return report.select("bundle_id", "valid", "file_count", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("validate_parts", CHECKS["validate_fence"])
+def validate_parts(spark, sf):
+    """One report for each bundle in parts: repeated paths and bad entries in different parts."""
+    return _report(R.validate_bundles(_cut(spark, sf, I.FENCE_BLOCK, 2).withColumn("in_parts", F.lit(True)), "md_fence"))
+
+
+@query("validate_parts_detected", CHECKS["validate_report"])
+def validate_parts_detected(spark, sf):
+    """The same with formats found from the head of the first part, here of twenty lines."""
+    report = R.validate_bundles(_cut(spark, sf, I.PLAIN_BLOCK, 20).withColumn("in_parts", F.lit(True)))
+    return _report(report).join(report.select("bundle_id", "profile"), "bundle_id")
+
+
 @query("validate_checksums", f"""
 {PLAIN_PARSE}, c AS (SELECT bundle_id, path, entry_idx % 4 = 1 AS wrong FROM entries WHERE entry_idx % 2 = 1),
 w AS (SELECT bundle_id, string_agg(path, ', ' ORDER BY path) AS paths FROM c WHERE wrong GROUP BY 1)
@@ -270,6 +324,17 @@ def format_parts(spark, sf):
     return whole.select("bundle_id", C.text_checksum(F.col("text")).alias("text_sum"))
 
 
+@query("convert_parts", f"""
+WITH {_ENTRY_SQL} SELECT bundle_id, turn AS entry_idx, path, sha256(content) AS content_sum FROM e""")
+def convert_parts(spark, sf):
+    """Written in parts in one format, and again in the other: the same contents in the same order."""
+    parts = checkpoint(W.format_bundles(I.turn_entries(spark, sf), "md_fence", max_bytes=1500))
+    again = checkpoint(W.format_bundles(checkpoint(R.parse_bundles(parts)), "md_fence", max_bytes=900))
+    entries = R.parse_bundles(again)
+    place = F.row_number().over(Window.partitionBy("bundle_id").orderBy("entry_idx")) - 1
+    return entries.select("bundle_id", place.alias("entry_idx"), "path", C.text_checksum(F.col("content")).alias("content_sum"))
+
+
 @query("format_diagnostics", f"""
 WITH {_ENTRY_SQL} SELECT bundle_id, turn AS entry_idx, path, is_binary, encoding,
 CASE WHEN is_binary THEN 'n/a' WHEN eol IN ('LF', 'CRLF') THEN eol ELSE 'LF' END AS eol_style, CAST(length(content) AS INTEGER) AS content_length,

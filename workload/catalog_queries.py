@@ -93,6 +93,23 @@ def catalog_pairing_mapped(spark, sf):
     return D.map_files(old, new, ["Doc_1.py|DOC_12.py", "2.py | 3.py", "no bar", "2.py|none.py"])
 
 
+_MANY = f"""f AS (SELECT doc_id, {_FILE} AS file FROM documents), maps AS (SELECT doc_id AS m, '_' || doc_id || '.PY' AS old,
+lang || '/Doc_' || (doc_id * 7 + 3) % 4000 || '.py' AS new FROM documents)"""
+
+
+@query("catalog_pairing_many_maps", f"""
+WITH {_MANY}, o AS (SELECT m, arg_min(file, f.doc_id) AS file_old FROM maps JOIN f ON ends_with(lower(file), lower(old)) GROUP BY 1),
+n AS (SELECT m, arg_min(file, f.doc_id) AS file_new FROM maps JOIN f ON ends_with(lower(file), lower(new)) AND f.doc_id % 10 <> 9 GROUP BY 1)
+SELECT file_old, file_new, old || ' | ' || new AS key FROM o JOIN n USING (m) JOIN maps USING (m)""")
+def catalog_pairing_many_maps(spark, sf):
+    """As many mappings as documents."""
+    maps = I.load(spark, sf, "documents").select(
+        F.col("doc_id").alias("m"), F.expr("concat('_', doc_id, '.PY')").alias("old"),
+        F.expr("concat(lang, '/Doc_', (doc_id * 7 + 3) % 4000, '.py')").alias("new"))
+    old = I.catalog_files(spark, sf, "old")
+    return D.map_files(old, old.filter("ord % 10 <> 9"), maps)
+
+
 @query("diff_changes", f"""
 WITH {CHANGES} SELECT file_old, file_new, scope, change_type, {_BLANK}, kind_old, kind_new,
 md5(text_old) AS text_old, md5(text_new) AS text_new FROM changes""")

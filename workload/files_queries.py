@@ -512,7 +512,7 @@ m AS (SELECT bundle_id, max(turn) + 1 AS base FROM c GROUP BY 1)"""
 
 @query("manifest_add", f"""
 WITH {_BASE} SELECT bundle_id, turn AS entry_idx, path FROM c UNION ALL
-SELECT bundle_id, base + (SELECT min(turn) FROM c c2 WHERE c2.bundle_id = m.bundle_id AND turn BETWEEN 1 AND 2), 'new/file.md' FROM m
+SELECT bundle_id, base, 'new/file.md' FROM m
 WHERE EXISTS (SELECT 1 FROM c c3 WHERE c3.bundle_id = m.bundle_id AND turn BETWEEN 1 AND 2)""")
 def manifest_add(spark, sf):
     return _added(spark, sf)[0].select("bundle_id", "entry_idx", "path")
