@@ -10,6 +10,7 @@ from sheaf.operators import extract as X
 from sheaf.operators import manifest as M
 from sheaf.plans import formatting as W
 from sheaf.plans import parsing as R
+from sheaf.plans.jobs import bundle_files
 from sheaf.session import checkpoint
 from sheaf.sources import sinks, tables
 from sheaf.sources.blocks import read_slices
@@ -384,6 +385,19 @@ def bundle_job(spark, sf):
     )
 
 
+@query("bundle_job_report", f"""
+WITH {FILES}, k AS (SELECT bundle_id, path, content, eol_style, encoding, is_binary FROM entries WHERE regexp_matches(path, '(^|/)(build|fr)/.*_[0-9]*[05]\\.') AND path NOT LIKE '%.log')
+SELECT bundle_id, coalesce(n, 0) AS files, coalesce(chars, 0) AS chars, CASE WHEN n IS NULL THEN 'No files left to bundle' END AS problem
+FROM (SELECT DISTINCT bundle_id FROM entries) LEFT JOIN (SELECT bundle_id, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM k GROUP BY 1) USING (bundle_id)""")
+def bundle_job_report(spark, sf):
+    """The library's job with a filter that leaves some bundles nothing; contents read back."""
+    made = checkpoint(bundle_files(I.files(spark, sf), "md_fence", ["build/*_*[05].*", "fr/*_*[05].*"], ["*.log"]))
+    back = R.parse_bundles(made.filter("problem IS NULL").select("bundle_id", "text", "part_no", "in_parts"), "md_fence")
+    chars = back.groupBy("bundle_id").agg(F.sum(F.length("content")).alias("chars"))
+    return made.groupBy("bundle_id").agg(F.max("files").alias("files"), F.max("problem").alias("problem")).join(
+        chars, "bundle_id", "left").select("bundle_id", "files", F.coalesce("chars", F.lit(0)).alias("chars"), "problem")
+
+
 @query("round_trip", f"""
 WITH {FILES} SELECT bundle_id, count(*) AS files, count(*) FILTER (is_binary) AS binaries,
 count(*) FILTER (NOT is_binary AND eol_style = 'CR') AS cr_files, true AS exact FROM entries GROUP BY 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.operators import catalog as K
@@ -119,6 +120,44 @@ def diff_changes(spark, sf):
     )
 
 
+def _side_catalog(spark, sf, side):
+    """The statements of a side as a catalog: a row per file with nested commands and functions."""
+    command = F.struct("seq", "scope", "kind", "text", "line", "pos_index")
+    rows = I.commands(spark, sf, side).groupBy("file").agg(
+        F.array_sort(F.collect_list(command)).alias("commands"),
+        F.array_sort(F.collect_set(F.struct("scope", F.concat(F.lit("f"), F.length("text").cast("string")).alias("name")))).alias("functions"))
+    return rows.join(I.catalog_files(spark, sf, side), "file")
+
+
+@query("compare_catalogs", f"""
+WITH {CHANGES}, f AS (SELECT DISTINCT doc_id, scope, length(text) AS name, 1 AS s FROM o UNION ALL SELECT DISTINCT doc_id, scope, length(text), 2 FROM n),
+c AS (SELECT DISTINCT doc_id, scope, kind, text, 1 AS s FROM o UNION ALL SELECT DISTINCT doc_id, scope, kind, text, 2 FROM n),
+fs AS (SELECT doc_id, printf('%.4f', count(*) FILTER (t = 3) / count(*))::DOUBLE AS function_stability FROM (SELECT doc_id, scope, name, sum(s) AS t FROM f GROUP BY 1, 2, 3) GROUP BY 1),
+cs AS (SELECT doc_id, printf('%.4f', count(*) FILTER (t = 3) / count(*))::DOUBLE AS command_stability FROM (SELECT doc_id, scope, kind, text, sum(s) AS t FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1),
+ch AS (SELECT file_old, file_new, count(*) AS changes, count(*) FILTER (change_type = 'moved') AS moves FROM changes GROUP BY 1, 2)
+SELECT file_old, file_new, function_stability, command_stability, coalesce(changes, 0) AS changes, coalesce(moves, 0) AS moves
+FROM names JOIN fs USING (doc_id) JOIN cs USING (doc_id) LEFT JOIN ch USING (file_old, file_new)""")
+def compare_catalogs(spark, sf):
+    """The whole comparison of two catalogs, summed up per pair of files."""
+    done = D.compare_catalogs(_side_catalog(spark, sf, "old"), _side_catalog(spark, sf, "new"))
+    changes = done["changelog"].groupBy("file_old", "file_new").agg(
+        F.count("*").alias("changes"), F.count_if(F.col("change_type") == "moved").alias("moves"))
+    return done["pairs"].select("file_old", "file_new").join(done["stability"], ["file_old", "file_new"]).join(
+        changes, ["file_old", "file_new"], "left").select(
+        "file_old", "file_new", "function_stability", "command_stability",
+        F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("moves", F.lit(0)).alias("moves"))
+
+
+@query("report_order", f"""
+WITH {CHANGES} SELECT file_old, change_type, scope, {_BLANK}, row_number() OVER (PARTITION BY file_old, file_new ORDER BY change_type, scope,
+coalesce(line_old, line_new), coalesce(pos_old, pos_new)) AS place FROM changes""")
+def report_order(spark, sf):
+    """Changes in the order of the report, numbered within their pair as they come."""
+    ordered = D.in_report_order(_changes(spark, sf)).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file_old", "file_new").orderBy("at"))
+    return _blank(ordered.withColumn("place", place)).select("file_old", "change_type", "scope", *_PLACES, "place")
+
+
 @query("diff_moved", f"""
 WITH {CHANGES} SELECT file_old, scope, line_old::INT AS line_old, pos_old::INT AS pos_old, line_new::INT AS line_new, pos_new::INT AS pos_new,
 kind_old AS kind FROM moves""")
