@@ -13,6 +13,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from sheaf import schemas
 from sheaf.operators.manifest import guard
+from sheaf.session import deal_out
+from sheaf.sources.filetree import list_names
+
+
+#: In a staging folder, the names of the task folders that count.
+COUNTED = "_counted"
 
 
 @dataclass
@@ -25,14 +31,13 @@ class FileTreeWriter(DataSourceArrowWriter):
     """One file per target, written in two steps.
 
     A task writes below a folder of its own in the job's staging folder; neighbouring rows with one
-    target are one file. The job's commit moves the files of the tasks that counted into place, each
-    by one rename, and drops the rest; its abort drops everything. Nothing of a failed job is left,
-    and a task that ran twice counts once. The root is on a file system that all executors mount.
+    target are one file. The job's commit names the folders of the tasks that counted, so that a task
+    that ran twice counts once; its abort drops everything. A second job then renames file by file,
+    each task those dealt to it. The root is on a file system that all executors mount.
     """
 
-    def __init__(self, root: str):
-        self.root = os.path.abspath(root)
-        self.staging = os.path.join(self.root, f".staging-{uuid.uuid4().hex}")
+    def __init__(self, staging: str):
+        self.staging = staging
 
     def write(self, iterator) -> _Written:
         folder = os.path.join(self.staging, uuid.uuid4().hex)
@@ -55,16 +60,10 @@ class FileTreeWriter(DataSourceArrowWriter):
         return _Written(folder, n)
 
     def commit(self, messages) -> None:
-        for m in messages:
-            if m is None or not m.files:
-                continue
-            for folder, _, names in os.walk(m.folder):
-                own = os.path.join(self.root, os.path.relpath(folder, m.folder))
-                if names:
-                    os.makedirs(own, exist_ok=True)
-                for name in names:
-                    os.replace(os.path.join(folder, name), os.path.join(own, name))
-        shutil.rmtree(self.staging, ignore_errors=True)
+        """Name the folders that count; :func:`write_files` has their files moved by tasks."""
+        os.makedirs(self.staging, exist_ok=True)
+        with open(os.path.join(self.staging, COUNTED), "w", encoding="utf-8") as f:
+            f.writelines(f"{os.path.basename(m.folder)}\n" for m in messages if m is not None and m.files)
 
     def abort(self, messages) -> None:
         shutil.rmtree(self.staging, ignore_errors=True)
@@ -86,7 +85,42 @@ def write_files(spark: SparkSession, files: DataFrame, root: str) -> None:
     """``files(target, payload)`` below ``root``. Parents are created; bytes are written as is. A
     target outside of the root fails the job before any file appears."""
     spark.dataSource.register(FileTreeSink)
-    files.select("target", "payload").write.format("filetree_sink").mode("append").save(root)
+    staging = os.path.join(os.path.abspath(root), f".staging-{uuid.uuid4().hex}")
+    files.select("target", "payload").write.format("filetree_sink").mode("append").save(staging)
+    _publish(spark, staging, os.path.abspath(root))
+    shutil.rmtree(staging, ignore_errors=True)
+
+
+def _publish(spark: SparkSession, staging: str, root: str) -> None:
+    """Move the files of the folders that count into place. A task that is run again finds the files
+    it has moved already at their places."""
+    with open(os.path.join(staging, COUNTED), encoding="utf-8") as f:
+        counted = f.read().split()
+    if not counted:
+        return
+
+    def move(batches):
+        for batch in batches:
+            for path in batch.column("abs_path").to_pylist():
+                folder, _, target = path[len(staging) + 1:].partition("/")
+                if not target:
+                    continue
+                own = os.path.join(root, target)
+                os.makedirs(os.path.dirname(own), exist_ok=True)
+                try:
+                    os.replace(path, own)
+                except FileNotFoundError:
+                    if not os.path.exists(own):
+                        raise
+            yield batch.slice(0, 0)
+
+    folders = spark.createDataFrame([(c,) for c in counted], "folder string")
+    names = list_names(spark, staging)
+    folder = F.split_part(F.substring("abs_path", len(staging) + 2, 2**31 - 1), F.lit("/"), F.lit(1))
+    moved = names.withColumn("folder", folder).join(F.broadcast(folders), "folder", "left_semi")
+    # Both files of a target that two tasks have written go to one task, in the order of their names.
+    dealt = deal_out(moved.withColumn("place", F.expr(f"substring(abs_path, {len(staging) + 2} + length(folder))")), "place")
+    dealt.sortWithinPartitions("place", "abs_path").select("abs_path").mapInArrow(move, "abs_path string").write.format("noop").mode("append").save()
 
 
 def folder_of(bundle_id: str) -> Column:

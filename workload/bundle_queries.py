@@ -466,7 +466,10 @@ _PAYLOAD = "sha256(CASE WHEN entry_idx % 6 = 2 THEN unhex('EFBBBF') ELSE ''::BLO
 
 
 def _actions(spark, sf, policy):
-    actions = X.plan_extraction(_to_extract(spark, sf), _existing(spark, sf), policy, add_headers=False)
+    return _shown(X.plan_extraction(_to_extract(spark, sf), _existing(spark, sf), policy, add_headers=False))
+
+
+def _shown(actions):
     return actions.select(
         "bundle_id", "entry_idx", "path",
         F.when(F.col("error").isNull() | F.col("error").contains("decode"), F.col("target")).alias("target"),
@@ -491,11 +494,14 @@ def extract_plan_overwrite(spark, sf):
     return _actions(spark, sf, "overwrite")
 
 
-@query("extract_plan_rename", f"""
+_RENAME_SQL = f"""
 WITH {_CLAIMS}, s AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, target ORDER BY entry_idx) AS nth FROM t WHERE taken AND NOT unsafe AND NOT broken)
 SELECT t.bundle_id, t.entry_idx, CASE WHEN t.unsafe THEN NULL WHEN s.nth IS NOT NULL THEN regexp_replace(t.target, '\\.md$', '_' || s.nth || '.md') ELSE t.target END AS target,
 CASE WHEN s.nth IS NOT NULL THEN t.target END AS renamed_from, CASE WHEN t.unsafe OR t.broken THEN 'error' ELSE 'processed' END AS status,
-CASE WHEN t.unsafe THEN 'Unsafe' WHEN t.broken THEN 'Binary' END AS error FROM t LEFT JOIN s USING (bundle_id, entry_idx)""")
+CASE WHEN t.unsafe THEN 'Unsafe' WHEN t.broken THEN 'Binary' END AS error FROM t LEFT JOIN s USING (bundle_id, entry_idx)"""
+
+
+@query("extract_plan_rename", _RENAME_SQL)
 def extract_plan_rename(spark, sf):
     return _actions(spark, sf, "rename").drop("path", "payload")
 

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from sheaf.streaming import events as E
+from sheaf.streaming import sessions as S
 from workload import inputs as I
 from workload.registry import query
 
@@ -138,3 +139,28 @@ def stream_validate(spark, sf):
     )
     E.validate_stream(stream, f"{work}/out", f"{work}/state").awaitTermination()
     return spark.read.parquet(f"{work}/out").select("bundle_id", "valid", "file_count")
+
+
+_GAP, _LATE = 43_200, 3_600
+
+
+@query("stream_ended_sessions", f"""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL {_GAP} SECOND THEN 0 ELSE 1 END AS opens FROM events),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g),
+c AS (SELECT user_id, run, event_type, count(*) AS n FROM n GROUP BY ALL),
+s AS (SELECT user_id, run, min(ts) AS a, max(ts) AS b, count(*) AS n FROM n GROUP BY ALL)
+SELECT CAST(s.user_id AS VARCHAR) AS session_id, strftime(s.a, '%Y-%m-%d %H:%M:%S.%f') AS start_time, strftime(s.b, '%Y-%m-%d %H:%M:%S.%f') AS end_time,
+s.n AS total_events, (SELECT string_agg(event_type || '=' || c.n, ',' ORDER BY event_type) FROM c WHERE c.user_id = s.user_id AND c.run = s.run) AS event_counts
+FROM s WHERE b + INTERVAL {_GAP + _LATE} SECOND <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
+def stream_ended_sessions(spark, sf):
+    """Half a day without an event ends a user's session; the table is drained as a stream, and every
+    session that its watermark has ended is summed up once."""
+    work = _work_folder(spark)
+    events = I.load(spark, sf, "events")
+    stream = (
+        spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        .select(F.col("user_id").cast("string").alias("sessionId"), F.col("ts").cast("timestamp").alias("timestamp"),
+                F.col("event_type").alias("event"))
+    )
+    S.run_sessions(S.ended_sessions(stream, _GAP, f"{_LATE} seconds"), f"{work}/out", f"{work}/state").awaitTermination()
+    return _flat(spark.read.parquet(f"{work}/out"))

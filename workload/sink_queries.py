@@ -11,8 +11,10 @@ from sheaf.operators import extract as X
 from sheaf.plans import formatting as W
 from sheaf.sources import filetree, sinks
 from sheaf.sources.blocks import read_bundles_text
+from sheaf.streaming import extraction as T
 from workload import bundle_queries as B
 from workload import catalog_queries as Q
+from workload import files_queries as L
 from workload import inputs as I
 from workload.log_queries import _work_folder
 from workload.registry import query
@@ -94,3 +96,41 @@ def changelog_csv(spark, sf):
     back = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("line_old", "line_new")]
     return back.select("file_old", "change_type", "scope", *shown)
+
+
+@query("folder_digests", f"""
+SELECT 'doc_' || doc_id AS path, sha256({I.check_sql(I.FILE_BYTES)}) AS sha256, octet_length({I.check_sql(I.FILE_BYTES)}) AS length FROM documents""")
+def folder_digests(spark, sf):
+    """Every document a file of one folder; names, sizes and checksums of what lies there."""
+    root = _stored(spark, sf)
+    found = filetree.digest_files(filetree.discover_files(spark, root, deny=[]))
+    return found.select("path", "sha256", F.when(F.col("n_read") == F.col("length"), F.col("length")).alias("length"))
+
+
+@query("sniff_stored", f"""
+WITH {L.FILES} SELECT 'doc_' || doc_id AS path, is_binary FROM sniffed""")
+def sniff_stored(spark, sf):
+    """Files told apart by their heads, before any content is read."""
+    root = _stored(spark, sf)
+    return filetree.sniff_files(filetree.discover_files(spark, root, deny=[])).select("path", "is_binary")
+
+
+def _stored(spark, sf):
+    root = _local(_work_folder(spark))
+    docs = I.load(spark, sf, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("target"), F.expr(I.spark_sql(I.FILE_BYTES)).alias("payload"))
+    sinks.write_files(spark, docs, root)
+    return root
+
+
+@query("stream_extract_rename", B._RENAME_SQL)
+def stream_extract_rename(spark, sf):
+    """The entries of every bundle arrive in three deliveries; numbers go on where the last one stopped."""
+    work = _work_folder(spark)
+    entries = B._to_extract(spark, sf)
+    third = F.least(F.expr("entry_idx DIV 3"), F.lit(2))
+    for delivery in range(3):
+        entries.filter(third == delivery).write.mode("append").parquet(f"{work}/in")
+        arriving = spark.readStream.schema(entries.schema).parquet(f"{work}/in")
+        T.extract_stream(arriving, B._existing(spark, sf), f"{work}/out", f"{work}/state", add_headers=False).awaitTermination()
+    return B._shown(T.planned_actions(spark, f"{work}/out")).drop("path", "payload")
