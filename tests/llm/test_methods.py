@@ -368,19 +368,45 @@ def test_main_text(spark):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
-def test_wrapper_without_article():
-    """Menus, notices and comments go by name, constants by alignment, links by share."""
+def test_wrapper_without_article(spark):
+    """Menus, notices and comments go by name, constants by counts over all pages, links by share.
+    The rules alone leave the constants in."""
     def page(i):
         body = "".join(f"<p>Paragraph {j} of story {i} with enough words to be content.</p>" for j in range(3 + i % 2))
         links = "".join(f"<li><a href='/{i}{j}'>story {i} {j}</a></li>" for j in range(5))
+        other = "<div class=gallery><p>Pictures</p></div>" if i % 4 == 3 else ""
         return (f"<html><body><div id=top-menu><a href=/>home</a></div><div class=story><h2>Title {i}</h2>"
-                f"<p>Read our paper every day.</p>{body}<ul>{links}</ul><div class='comments'><p>I disagree {i}</p></div></div>"
+                f"<p>Read our paper every day.</p>{body}{other}<ul>{links}</ul><div class='comments'><p>I disagree {i}</p></div></div>"
                 f"<div class=right><p>Weather</p></div></body></html>")
 
-    import json
-    induced = json.loads(wrapper.induce([page(i) for i in range(6)]))
-    want = "\n".join(["Title 9", *(f"Paragraph {j} of story 9 with enough words to be content." for j in range(4))])
-    assert wrapper.extract(page(9), induced) == want
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(40)], "page_id long, url string, html string")
+    for r in wrapper.extract_pages(pages).collect():
+        i = r["page_id"]
+        lines = [f"Title {i}", *(f"Paragraph {j} of story {i} with enough words to be content." for j in range(3 + i % 2))]
+        assert r["text"].split("\n") == lines
+        assert "Read our paper every day." in wrapper.extract(page(i), None).split("\n")
+
+
+def test_wrapper_keeps_near_copies_and_references(spark):
+    """Copies are no template; lists of links and speaking names stay in an article; its adverts go."""
+    lines = [f"Line {j} of the only story here." for j in range(4)]
+    copies = [(i, "http://c/", "<body>" + "".join(f"<p>{x}</p>" for x in lines) + f"<p>{i}</p></body>") for i in range(5)]
+    links = "".join(f"<li><a href='/{j}'>Source number {j}</a></li>" for j in range(4))
+    article = (f"<article><h1>T</h1><p>One.</p><div class=legal-analysis><p>Two.</p></div><ul>{links}</ul><math>x</math>"
+               "<div class='ad-box'>Buy</div><div class=comments>No!</div></article><div class=legal-notes>Imprint</div>")
+    rows = [*copies, *((10 + i, "http://a/", article) for i in range(4))]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i].split("\n") == [*lines, str(i)]
+    assert got[10] == "\n".join(["T", "One.", "Two.", *(f"Source number {j}" for j in range(4)), "x"])
+
+
+def test_wrapper_deep_and_wide_pages(spark):
+    deep = "<div>" * 10_000 + "<p>bottom</p>" + "<div class=ad>no</div>" + "</div>" * 10_000 + "<p>end</p>"
+    wide = "".join(f"<div class=c{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}>{j}</div>" for j in range(400))
+    rows = [(i, f"http://{'dw'[i % 2]}/", [deep, wide][i % 2]) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "bottom\nend" and got[1] == "\n".join(map(str, range(400)))
 
 
 def test_archive_round_trip(spark, tmp_path):
