@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a private key block, or a run of at least ``MIN_LENGTH`` token characters with a digit
-in it (or a known key prefix). Its features are length, shares and transitions of character
+A candidate is a private key block; a value of at least ``MIN_VALUE`` characters of any kind behind a
+secret's name and a sign of assignment; the password in a URL; or a run of at least ``MIN_LENGTH``
+token characters with a digit in it (or a known key prefix). Its features are length, shares and transitions of character
 classes, alternation of vowels and consonants, distinct characters, coverage by a dictionary, signs
 of a path, and words next to it. The forest is trained on labelled findings and then written out as
 one SQL expression, so that scanning is a projection: no shuffle, no model in tasks.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import query, table, written
 
-MIN_LENGTH = 12
+MIN_LENGTH, MIN_VALUE = 12, 6
 LABELLED_ROWS = 20_000
 TREES, DEPTH = 20, 6
 CONTEXT = 60
@@ -39,14 +40,19 @@ _KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,
 _TOKEN = r"[A-Za-z0-9+/_-]"
 #: Prefixes of published key formats (fixed values).
 _PREFIX = r"AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|SG_|eyJ"
+_NAMES = "secret|token|passw|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|signature"
+_PUBLIC = "commit|revision|sha-?1|sha-?256|md5|checksum|etag|digest|uuid|guid|isbn|issn|doi|order|invoice|serial|version|build|example|sample|dummy|placeholder"
+#: A value ends before white space, quotes and what ends a phrase. The first test is the cheap one.
+_VALUE = rf"[^\s\"'`,;<>]{{{MIN_VALUE - 1},}}(?<=[^\s\"'`,;<>.:)\]}}!?])"
+_ASSIGNED = rf"(?<=[=:][\"'`\x20]?[\"'`]?)(?<=(?i:{_NAMES})[\w-]{{0,16}}[\"']?\x20{{0,2}}[=:]\x20?[\"'`]?)(?![=:\"'`\s]){_VALUE}"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,60}:)[^\s/@]{3,}(?=@)"
 CANDIDATE = (
-    rf"{_KEY_BLOCK}|(?<!{_TOKEN})(?={_PREFIX}|[A-Za-z+/_-]{{0,400}}[0-9]){_TOKEN}{{{MIN_LENGTH},}}+={{0,2}}"
+    rf"{_KEY_BLOCK}|{_IN_URL}|{_ASSIGNED}"
+    rf"|(?<!{_TOKEN})(?={_PREFIX}|[A-Za-z+/_-]{{0,400}}[0-9]){_TOKEN}{{{MIN_LENGTH},}}+={{0,2}}"
 )
 #: A text without any of these has no candidate.
-_HINT = rf"[0-9]|PRIVATE KEY|{_PREFIX}"
+_HINT = rf"[0-9]|PRIVATE KEY|{_PREFIX}|(?i:{_NAMES})[\w-]{{0,16}}[\"']?\x20{{0,2}}[=:]|://[^\s/:@]+:"
 
-_NAMES = "secret|token|passw|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|signature"
-_PUBLIC = "commit|revision|sha-?1|sha-?256|md5|checksum|etag|digest|uuid|guid|isbn|issn|doi|order|invoice|serial|version|build|example|sample|dummy|placeholder"
 DICTIONARY = (
     "about access admin after agent all and api app archive article asset auth base bin block blog body book build "
     "cache card cat category class client code com common config content core css data date day dev div doc docs "
@@ -61,7 +67,7 @@ DICTIONARY = (
 
 FEATURES = (
     "length digits uppers transitions alternation distinct hex dictionary slashes dashes in_path named assigned "
-    "quoted public known"
+    "quoted public known in_url"
 ).split()
 
 
@@ -100,10 +106,11 @@ def features(x: Column) -> Column:
         F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / n,
         share("/", c), share("[-_]", c),
         flag(b.rlike(r"[/\\][^ \n]*$") | a.rlike(r"^(/|\.[A-Za-z]{2,5}\b)")),
-        flag(before.rlike(rf"({_NAMES})[\w-]{{0,16}}[\"']?\s*(=|:|is|:=|=>)?\s*[\"']?$")),
-        flag(b.rlike(r"[=:]\s*[\"']?$")), flag(b.rlike(r"[\"'`]$") & a.rlike(r"^[\"'`]")),
+        flag(before.rlike(rf"({_NAMES})[\w-]{{0,16}}[\"']?\s*(=|:|is|:=|=>)?\s*[\"'`]?$")),
+        flag(b.rlike(r"[=:]\s*[\"'`]?$")), flag(b.rlike(r"[\"'`]$") & a.rlike(r"^[\"'`]")),
         flag(before.rlike(rf"\b({_PUBLIC})\W{{0,4}}$")),
         flag(c.rlike(rf"^({_PREFIX})|^-----BEGIN")),
+        flag(b.rlike(r"://[^\s/:@]+:$") & a.startswith("@")),
     )
     return F.struct(*(v.alias(name) for v, name in zip(values, FEATURES)))
 
@@ -114,6 +121,7 @@ def rule_label(f: Column) -> Column:
     return (
         F.when((f["known"] == 1) & (f["length"] >= 20) & (f["dictionary"] < 0.3), 1)
         .when((f["named"] == 1) & (f["assigned"] == 1) & mixed & (f["dictionary"] < 0.3), 1)
+        .when((f["in_url"] == 1) & (f["dictionary"] < 0.6), 1)
         .when(f["digits"] == 1, 0)
         .when((f["in_path"] == 1) | (f["public"] == 1) | (f["slashes"] > 0.1), 0)
         .when((f["dictionary"] > 0.4) | (f["digits"] < 0.1) & (f["uppers"] < 0.2), 0)
