@@ -44,29 +44,52 @@ def number_files(files: DataFrame, duplicates: str = "fail") -> DataFrame:
     A path that a bundle has twice makes a bundle that cannot be read back, so it stops the job;
     ``duplicates="keep"`` leaves the rows for :func:`duplicate_report` and its like.
     """
-    if duplicates == "fail":
-        places = Window.partitionBy("bundle_id", "path")
-        message = F.concat(F.lit("Duplicate file path in bundle '"), F.col("bundle_id"), F.lit("': "), F.col("path"))
-        files = (
-            files.withColumn("__same", F.count(F.lit(1)).over(places))
-            .filter(guard(F.col("__same") > 1, message)).drop("__same")
-        )
     order = [order_key(F.col("path"))]
     if "source_ord" in files.columns:
         order.insert(0, F.col("source_ord"))
-    return with_ordinal(files, ["bundle_id"], order, "entry_idx")
+    numbered = with_ordinal(files, ["bundle_id"], order, "entry_idx")
+    if duplicates != "fail":
+        return numbered
+    # After the numbering: rows of a bundle are together by then, and are not shuffled once more.
+    copies = F.count(F.lit(1)).over(Window.partitionBy("bundle_id", "path"))
+    numbered = numbered.withColumn("__same", copies).filter(
+        guard(F.col("__same") > 1, _twice(F.col("bundle_id"), F.col("path")))).drop("__same")
+    return numbered.withMetadata("entry_idx", {_SINGLE: True})
+
+
+#: Mark on ``entry_idx``: the paths of each bundle were found to differ. It stays with the column
+#: through joins and filters.
+_SINGLE = "paths_differ"
+
+
+def _twice(bundle: Column, path: Column) -> Column:
+    return F.concat(F.lit("Duplicate file path in bundle '"), bundle, F.lit("': "), path)
+
+
+def _refuse_duplicates(files: DataFrame) -> DataFrame:
+    """``files``, stopped at a path that a bundle has twice. Contents stay where they are: keys alone are
+    counted, and a single row of the outcome is read by the main plan."""
+    first = (
+        files.groupBy("bundle_id", "path").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+        .agg(F.min(F.struct("bundle_id", "path")).alias("twice")).scalar()
+    )
+    return files.filter(guard(first.isNotNull(), _twice(first["bundle_id"], first["path"])))
 
 
 def create_manifest(files: DataFrame, max_file_mb: float = 10.0, binary_as_base64: bool = True,
                     newline_text: bool = False, strict_sniff: bool = False,
-                    oversized: str = "fail") -> DataFrame:
+                    oversized: str = "fail", duplicates: str = "fail") -> DataFrame:
     """``files(bundle_id, path, length, content[, entry_idx])`` to entries.
 
+    A path that a bundle has twice stops the job, also where positions are given, unless they come
+    from :func:`number_files`, which has seen to it. ``duplicates="keep"`` lets such rows pass.
     ``oversized``: ``fail`` stops at the first file over the limit, ``drop`` leaves them out; they
     are then reported by :func:`oversized_files`.
     """
     if "entry_idx" not in files.columns:
-        files = number_files(files)
+        files = number_files(files, duplicates)
+    elif duplicates == "fail" and not files.schema["entry_idx"].metadata.get(_SINGLE):
+        files = _refuse_duplicates(files)
     over = C.over_limit_mb(F.col("length"), max_file_mb)
     if oversized == "fail":
         files = files.filter(guard(over, C.size_message(F.col("path"), F.col("length"), max_file_mb)))
@@ -330,12 +353,17 @@ def listing(entries: DataFrame) -> DataFrame:
     ).orderBy("bundle_id", "entry_idx")
 
 
-def preview(entries: DataFrame, bundles: DataFrame, separator: str = "") -> DataFrame:
-    """Per bundle: files, size, and characters of the formatted text. ``separator`` is the format's,
-    which stands between the parts of a bundle that comes in several."""
+def preview(entries: DataFrame, bundles: DataFrame, registry: ProfileRegistry | None = None) -> DataFrame:
+    """Per bundle: files, size, and characters of the formatted text.
+
+    ``bundles`` are those of ``format_bundles``. The separator of each bundle's own format stands
+    between the parts of one that comes in several, and counts.
+    """
     stats = manifest_stats(entries).select("bundle_id", "file_count", "total_size_bytes")
-    between = len(separator) * (F.count(F.lit(1)) - 1)
-    chars = bundles.groupBy("bundle_id").agg((F.sum(F.length("text")) + between).alias("char_count"))
+    profiles = (registry or default_registry()).all()
+    between = F.coalesce(*[F.when(F.col("profile") == p.name, len(p.separator)) for p in profiles], F.lit(0))
+    chars = bundles.groupBy("bundle_id").agg(
+        (F.sum(F.length("text") + between) - F.max(between)).cast("bigint").alias("char_count"))
     return stats.join(chars, "bundle_id").select(
         "bundle_id", "file_count", "total_size_bytes",
         human_size(F.col("total_size_bytes")).alias("size_label"), "char_count",

@@ -174,3 +174,42 @@ def test_changelog_csv(spark, tmp_path):
     lines = next((tmp_path / "csv").glob("part-*.csv")).read_text().splitlines()
     assert lines[0].split(",") == list(schemas.CHANGE_COLUMNS)
     assert lines[1] == ',path,o,n,module,added,,,3,1,,Expr,,"say ""hi"", then"'
+
+
+def test_given_positions_do_not_hide_duplicate_paths(spark):
+    rows = [("b", i, f"f{i % 3}.txt", 1, b"x") for i in range(4)]
+    files = spark.createDataFrame(rows, "bundle_id string, entry_idx long, path string, length long, content binary")
+    with pytest.raises(Exception, match="Duplicate file path in bundle 'b': f0.txt"):
+        create_manifest(files).collect()
+    assert create_manifest(files, duplicates="keep").count() == 4
+    assert create_manifest(files.filter("entry_idx < 3")).count() == 3
+    assert create_manifest(files.limit(0)).count() == 0
+
+
+def test_numbered_files_are_not_counted_again(spark):
+    files = spark.createDataFrame([("b", "f.txt", 1, b"x")], "bundle_id string, path string, length long, content binary")
+    placed = files.join(number_files(files.select("bundle_id", "path")), ["bundle_id", "path"])
+    assert placed.schema["entry_idx"].metadata == {"paths_differ": True}
+    plan = create_manifest(placed)._jdf.queryExecution().analyzed().toString()
+    assert "scalar-subquery" not in plan
+    with pytest.raises(Exception, match="Duplicate file path"):
+        number_files(files.union(files).select("bundle_id", "path")).collect()
+
+
+def test_numbering_and_its_check_share_one_shuffle(spark):
+    files = spark.range(50).selectExpr("concat('b', id % 3) AS bundle_id", "concat('d/', id) AS path")
+    plan = number_files(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_preview_counts_the_separators_of_parts(spark):
+    from sheaf.operators.manifest import preview
+    from sheaf.plans.formatting import format_bundles
+
+    rows = [(f"b{b}", i, f"f{i}.txt", 40, bytes([97 + i]) * 40) for b in range(2) for i in range(9)]
+    files = spark.createDataFrame(rows, "bundle_id string, entry_idx long, path string, length long, content binary")
+    entries = create_manifest(files)
+    for profile in ("plain_marker", "md_fence"):
+        whole, parts = (preview(entries, format_bundles(entries, profile, max_bytes=n)) for n in (1 << 20, 300))
+        assert format_bundles(entries, profile, max_bytes=300).count() > 2
+        assert sorted(whole.collect()) == sorted(parts.collect())

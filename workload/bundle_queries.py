@@ -344,18 +344,29 @@ def format_diagnostics(spark, sf):
     return W.format_diagnostics(I.turn_entries(spark, sf), "plain_marker")
 
 
-@query("preview", f"""
+def _preview_sql(block: str, between: str) -> str:
+    return f"""
 WITH {_ENTRY_SQL}, s AS (SELECT bundle_id, count(*) AS file_count, CAST(sum(octet_length(encode(raw))) AS BIGINT) AS total_size_bytes,
-sum(length(block)) AS char_count FROM (SELECT bundle_id, {_PLAIN_BLOCK} AS block,
+sum(length(block)) + {between} AS char_count FROM (SELECT bundle_id, {block} AS block,
 CASE WHEN is_binary THEN decode(from_base64(content)) ELSE content END AS raw FROM e) GROUP BY 1)
 SELECT bundle_id, file_count, total_size_bytes, CASE WHEN total_size_bytes < 1024 THEN total_size_bytes || ' B'
 WHEN total_size_bytes < 1048576 THEN printf('%.1f KB', total_size_bytes / 1024.0) ELSE printf('%.1f MB', total_size_bytes / 1048576.0) END AS size_label,
-CAST(char_count AS BIGINT) AS char_count FROM s""")
+CAST(char_count AS BIGINT) AS char_count FROM s"""
+
+
+@query("preview", _preview_sql(_PLAIN_BLOCK, "0"))
 def preview(spark, sf):
     entries = I.turn_entries(spark, sf)
     return M.preview(entries, W.format_bundles(entries, "plain_marker", max_bytes=2000))
 
 
+@query("preview_fence", _preview_sql(_FENCE_TEXT, "2 * (count(*) - 1)"))
+def preview_fence(spark, sf):
+    """In parts; blank lines stand between the blocks, and so between the parts."""
+    entries = I.turn_entries(spark, sf)
+    return M.preview(entries, W.format_bundles(entries, "md_fence", max_bytes=2000))
+
+
 @query("convert_profile", f"""
 {PLAIN_PARSE}, t AS (SELECT bundle_id, entry_idx, '<!-- FILE: ' || path || '; encoding=' || encoding || '; eol=' || eol_style || '; mode=' ||
 CASE WHEN is_binary THEN 'binary' ELSE 'text' END || ' -->' || chr(10) || '```' || CASE WHEN NOT is_binary AND path LIKE '%.py' THEN 'python' ELSE '' END

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import content as C
 from sheaf.functions import paths as P
-from sheaf.functions.globs import DEFAULT_DENY, GlobFilter
+from sheaf.functions.globs import DEFAULT_DENY, GlobFilter, pattern_problem
 from sheaf.functions.text import human_size, last_field, meta_fields
 from sheaf.operators import manifest as M
 from sheaf.profiles.fence import language_hint
@@ -108,6 +108,20 @@ def glob_filter_base(spark, sf):
     )
 
 
+@query("pattern_problems", f"""
+WITH {FILES}, p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '**/' || path WHEN 1 THEN '[' || path WHEN 2 THEN chr(9) || ' '
+WHEN 3 THEN path || '[!a-c]*' WHEN 4 THEN NULL ELSE text END AS pattern FROM files)
+SELECT doc_id, CASE WHEN pattern IS NULL OR trim(pattern, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'it is blank or no string'
+WHEN length(replace(pattern, '[', '')) <> length(replace(pattern, ']', '')) THEN 'its brackets do not pair up' END AS problem FROM p""")
+def pattern_problems(spark, sf):
+    """Patterns kept in a table: paths with and without brackets, blanks, nulls and whole texts."""
+    d = I.load(spark, sf, "documents").withColumn("path", F.expr(I.FILE_PATH)).withColumn("body", F.expr(I.FILE_TEXT))
+    pattern = F.expr(
+        "CASE doc_id % 6 WHEN 0 THEN '**/' || path WHEN 1 THEN '[' || path WHEN 2 THEN chr(9) || ' ' "
+        "WHEN 3 THEN path || '[!a-c]*' WHEN 4 THEN NULL ELSE body END")
+    return d.select("doc_id", pattern_problem(pattern).alias("problem"))
+
+
 # -- paths
 @query("path_safety", f"""
 WITH {PAGES} SELECT page_id, path, page_id % 9 NOT IN (0, 1, 2, 3, 6) AS safe,
@@ -388,6 +402,18 @@ def create_manifest(spark, sf):
     )
 
 
+@query("manifest_given_positions", f"""
+WITH {FILES} SELECT bundle_id, doc_id AS entry_idx, path, encoding, sha256(content) AS content_sum FROM entries""")
+def manifest_given_positions(spark, sf):
+    """Files that come with positions of their own, whose paths are checked all the same."""
+    d = I.load(spark, sf, "documents")
+    files = d.select(
+        F.col("source").alias("bundle_id"), F.expr(I.FILE_PATH).alias("path"), F.col("doc_id").alias("entry_idx"),
+        F.expr(I.spark_sql(I.FILE_BYTES)).alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
+    return M.create_manifest(files).select(
+        "bundle_id", "entry_idx", "path", "encoding", C.text_checksum(F.col("content")).alias("content_sum"))
+
+
 @query("text_only_manifest", f"""
 WITH {FILES} SELECT bundle_id, path, sha256(regexp_replace(content, chr(13) || chr(10) || '?', chr(10), 'g')) AS content_sum,
 'LF' AS eol_style
