@@ -340,6 +340,25 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-@query("op8_minhash_near_dedup")
+#: All pairs of word sequences that share a shingle, compared on their full sets.
+CHECK = r"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+named AS (SELECT doc_id, array_to_string(words, ' ') AS seq, words FROM split),
+classes AS (SELECT seq, min(doc_id) AS node, any_value(words) AS words FROM named WHERE seq <> '' GROUP BY seq),
+sets AS (SELECT seq, node, CASE WHEN len(words) < 5 THEN [seq] ELSE list_distinct(list_transform(range(1, len(words) - 3),
+lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM classes),
+places AS (SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (SELECT a.node AS u, b.node AS v FROM places a JOIN places b ON a.shingle = b.shingle AND a.node < b.node
+GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT node AS u, node AS v FROM sets UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
+groups AS (SELECT u AS node, min(v) AS component_id FROM reach GROUP BY u),
+told AS (SELECT named.doc_id, coalesce(len(sets.shingles), 0) AS n_shingles, coalesce(groups.component_id, named.doc_id) AS component_id
+FROM named LEFT JOIN sets ON named.seq = sets.seq LEFT JOIN groups ON sets.node = groups.node)
+SELECT *, doc_id = component_id AS kept FROM told"""
+
+
+@query("op8_minhash_near_dedup", CHECK)
 def op8(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

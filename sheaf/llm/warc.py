@@ -156,7 +156,19 @@ def follow_revisits(records: DataFrame) -> DataFrame:
         revisits.select(*columns, F.col("original_bytes").alias("payload_bytes")))
 
 
-@query("op9_warc_revisits")
+#: Payloads by themselves: digests of the given texts, the largest page of each, no archive.
+CHECK = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last, list_transform(range(0, 8),
+lambda i: CAST('0x' || hex[5 * i + 1:5 * i + 5] AS BIGINT)) AS groups FROM p)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(groups, lambda g: '{_BASE32}'[(g >> 15) % 32 + 1] || '{_BASE32}'[(g >> 10) % 32 + 1]
+|| '{_BASE32}'[(g >> 5) % 32 + 1] || '{_BASE32}'[g % 32 + 1]), '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> last THEN last END AS refers_to, regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g') AS url FROM d"""
+
+
+@query("op9_warc_revisits", CHECK)
 def op9(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(resolve_revisits(records_of(table(spark, sf_dir, "pages"))), path)
