@@ -120,7 +120,7 @@ def rule_label(f: Column) -> Column:
     mixed = (f["digits"] > 0.1) & (f["digits"] < 1)
     return (
         F.when((f["known"] == 1) & (f["length"] >= 20) & (f["dictionary"] < 0.3), 1)
-        .when((f["named"] == 1) & (f["assigned"] == 1) & mixed & (f["dictionary"] < 0.3), 1)
+        .when((f["named"] == 1) & (f["assigned"] == 1) & (mixed | (f["transitions"] > 0.4)) & (f["dictionary"] < 0.3), 1)
         .when((f["in_url"] == 1) & (f["dictionary"] < 0.6), 1)
         .when(f["digits"] == 1, 0)
         .when((f["in_path"] == 1) | (f["public"] == 1) | (f["slashes"] > 0.1), 0)
