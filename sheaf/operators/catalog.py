@@ -72,10 +72,11 @@ def _names(node: ast.stmt) -> list[dict]:
     return []
 
 
-def flatten(text: str) -> list[dict]:
+def flatten(text: str, with_text: bool = True) -> list[dict]:
     """Statements of a source in pre-order, each with the totals of its own subtree and its place
-    on the line, counted by column."""
-    comments, rows = _comments(text), []
+    on the line, counted by column. A statement's text holds all of its body, and is what takes most time
+    and room; without texts there are no comments either."""
+    comments, rows = _comments(text) if with_text else {}, []
 
     def visit(node: ast.AST, scopes: list[dict]) -> tuple[int, int]:
         branches = len(node.values) - 1 if isinstance(node, ast.BoolOp) else int(isinstance(node, _BRANCHES))
@@ -88,7 +89,7 @@ def flatten(text: str) -> list[dict]:
                 scopes = [*scopes, {"kind": kind, "name": node.name}]
             row = {
                 "kind": type(node).__name__, "line": node.lineno, "col": node.col_offset,
-                "text": " ".join(ast.unparse(node).split()), "comment": comments.get(node.lineno),
+                "text": " ".join(ast.unparse(node).split()) if with_text else None, "comment": comments.get(node.lineno),
                 "name": node.name if documented else None,
                 "doc": ast.get_docstring(node) if documented else None,
                 "names": _names(node), "scopes": scopes,
@@ -119,7 +120,7 @@ def _node_batch(paths: list, errors: list, trees: list) -> pa.RecordBatch:
     )
 
 
-def source_nodes(files: DataFrame) -> DataFrame:
+def source_nodes(files: DataFrame, with_text: bool = True) -> DataFrame:
     """``file, error, nodes``: one row per file ``(path, text)``.
 
     Building trees costs far more than moving texts, so the files are dealt out evenly first.
@@ -131,7 +132,7 @@ def source_nodes(files: DataFrame) -> DataFrame:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
                 nodes, error = [], None
                 try:
-                    nodes = flatten(text)
+                    nodes = flatten(text, with_text)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     error = f"{'SyntaxError' if isinstance(e, SyntaxError) else type(e).__name__}: {e}"
                 paths.append(path)
@@ -173,8 +174,9 @@ def _enclosing(n: Column) -> Column:
 
 def build_catalog(files: DataFrame, with_commands: bool = True,
                   with_metrics: bool = True) -> DataFrame:
-    """``files(path, text)`` to catalog rows. A file that does not parse becomes an error row."""
-    nodes = source_nodes(files)
+    """``files(path, text)`` to catalog rows. A file that does not parse becomes an error row. Without
+    commands no statement is written out as text."""
+    nodes = source_nodes(files, with_text=with_commands)
 
     def of(*kinds):
         return F.filter("nodes", lambda n: n["kind"].isin(*kinds))

@@ -135,3 +135,11 @@ def test_compare(spark):
 def test_stem_pairing(spark):
     keys = spark.createDataFrame([("a\\B.Py",), (".x",), ("d/c.tar.gz",)], "f string")
     assert [r[0] for r in keys.select(D.pairing_key(F.col("f"), "stem")).collect()] == ["b", ".x", "c.tar"]
+
+
+def test_without_commands_all_else_stays(spark):
+    source = "import a\nclass K:\n    'd'\n    def f(self):  # c\n        if a: x = 1; y = 2\nz, w = 1, 2\n"
+    df = spark.createDataFrame([("p.py", source), ("bad.py", "def ("), ("none.py", "")], "path string, text string")
+    full, light = (K.build_catalog(df, with_commands=c) for c in (True, False))
+    assert full.drop("commands").orderBy("file").collect() == light.drop("commands").orderBy("file").collect()
+    assert all(not n["text"] and not n["comment"] for r in K.source_nodes(df, with_text=False).collect() for n in r["nodes"])

@@ -246,8 +246,9 @@ _SOURCES = (
 )
 
 
-def _catalog(spark, sf):
-    return K.build_catalog(I.sources(spark, sf))
+def _catalog(spark, sf, with_commands=False):
+    """The catalog, with the statements only where a query shows them."""
+    return K.build_catalog(I.sources(spark, sf), with_commands)
 
 
 @query("source_catalog", f"""
@@ -294,7 +295,7 @@ UNION ALL SELECT file, CAST(line AS INTEGER), kind, 1, scope, NULL, text, CAST(c
 UNION ALL SELECT file, 5, 'ClassDef', 1, 'class:K', NULL, text, 0 FROM k""")
 def catalog_commands(spark, sf):
     """All statements, with their texts and places."""
-    full = _catalog(spark, sf).select("file", F.explode("commands").alias("c"))
+    full = _catalog(spark, sf, with_commands=True).select("file", F.explode("commands").alias("c"))
     return full.select("file", "c.line", "c.kind", "c.pos_index", "c.scope", "c.comment", "c.text", "c.col")
 
 
@@ -304,6 +305,34 @@ def complexity_summary(spark, sf):
     return K.complexity_summary(_catalog(spark, sf))
 
 
+# A function has a branch and two operators' ends more in each loop, and a list's loop; a `try` is two branches.
+_VARIED = """
+t AS (SELECT source || '/doc_' || doc_id || '.py' AS file, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT file, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM t),
+w AS (SELECT file, i, length(line) AS n, 2 * (n % 5) AS loops, CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END AS tries FROM u),
+v AS (SELECT *, 3 + loops + 2 * tries AS height, 1 + 2 * loops + 2 * tries AS complexity, 2 + loops + 3 * tries AS statements FROM w),
+p AS (SELECT *, 2 + sum(height) OVER (PARTITION BY file ORDER BY i) - height AS top FROM v),
+f AS (SELECT file, 'm' || i AS name, CAST(top + 1 AS INTEGER) AS line, CASE WHEN n % 2 = 1 THEN 'async' ELSE 'def' END AS kind,
+CASE n % 3 WHEN 1 THEN 'class:K' || i WHEN 2 THEN 'function:outer' || i ELSE 'module' END AS scope,
+CAST(complexity AS INTEGER) AS complexity, CAST(statements AS INTEGER) AS statement_count FROM p
+UNION ALL SELECT file, 'outer' || i, CAST(top AS INTEGER), 'def', 'module', CAST(complexity AS INTEGER), CAST(statements + 1 AS INTEGER)
+FROM p WHERE n % 3 = 2)"""
+
+
+@query("catalog_functions_varied", f"WITH {_VARIED} SELECT * FROM f")
+def catalog_functions_varied(spark, sf):
+    """Functions of many shapes, inside of classes, functions and conditions."""
+    c = K.build_catalog(I.varied_sources(spark, sf), with_commands=False)
+    return c.select("file", F.explode("functions").alias("f")).select(
+        "file", "f.name", "f.line", "f.kind", "f.scope", "f.complexity", "f.statement_count")
+
+
+@query("complexity_summary_varied", f"""
+WITH {_VARIED} SELECT file, count(*) AS functions, round(avg(complexity), 4) AS avg_complexity, max(complexity) AS max_complexity FROM f GROUP BY 1""")
+def complexity_summary_varied(spark, sf):
+    return K.complexity_summary(K.build_catalog(I.varied_sources(spark, sf), with_commands=False))
+
+
 @query("position_on_line", """
 SELECT doc_id, seq::INT AS seq, (row_number() OVER (PARTITION BY doc_id, seq // 3 ORDER BY (seq * 7) % 3, seq))::INT AS pos_index
 FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS seq FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")

@@ -237,3 +237,20 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select(
         F.expr("source || '/doc_' || CAST(doc_id AS STRING) || '.py'").alias("path"), text.alias("text")
     )
+
+
+def varied_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as Python modules of one function per line, whose length decides on its branches, its
+    kind, its place in a class or in another function, and its size."""
+    functions = F.expr(
+        "transform(split(text, chr(10), -1), (l, i) -> concat("
+        "CASE WHEN length(l) % 3 = 1 THEN 'class K' WHEN length(l) % 3 = 2 THEN 'def outer' ELSE 'if N' END,"
+        "CASE WHEN length(l) % 3 = 0 THEN '' ELSE CAST(i AS STRING) END,"
+        "CASE WHEN length(l) % 3 = 2 THEN '():' ELSE ':' END, chr(10),"
+        "CASE WHEN length(l) % 2 = 1 THEN ' async' ELSE '' END, ' def m', CAST(i AS STRING), '(x):', chr(10),"
+        "repeat(concat('  while x and (x or N):', chr(10), '   x = [v for v in x]', chr(10)), length(l) % 5),"
+        "CASE WHEN length(l) % 7 = 0 THEN concat('  try: pass', chr(10), '  except OSError: raise', chr(10)) ELSE '' END,"
+        "'  return x', chr(10)))")
+    text = F.concat(F.lit("N = 1\n"), F.array_join(functions, ""))
+    return load(spark, sf, "documents").select(
+        F.expr("source || '/doc_' || CAST(doc_id AS STRING) || '.py'").alias("path"), text.alias("text"))
