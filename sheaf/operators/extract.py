@@ -218,7 +218,7 @@ def _free_numbers(late: DataFrame, existing: DataFrame) -> DataFrame:
     digits = F.regexp_extract(_split_target(F.col("target"))["stem"], r"_([1-9][0-9]*)\z", 1)
     # Numbers of more digits are beyond any count of claims.
     on_disk = existing.filter(F.length(digits).between(1, 17)).select(
-        "bundle_id", _numbered_parent(F.col("target")).alias("target"), digits.cast("bigint").alias("number")
+        "bundle_id", _numbered_parent(F.col("target")).alias("target"), digits.try_cast("bigint").alias("number")
     ).distinct().join(late.select(*keys).distinct(), keys, "left_semi").withColumn("one", F.lit(1))
     free_before = running_sums(on_disk, keys, "number", ["one"]).groupBy(
         *keys, (F.col("number") - F.col("one_before") - 1).alias("free")).agg(F.count(F.lit(1)).alias("numbers"))

@@ -109,3 +109,11 @@ def test_headers(spark):
     lines = bytes(row.payload).decode().split("\n")
     assert len(lines) == 14 and lines[1] == "# SOURCEFILE: a.py" and lines[2] == "# RELPATH: s/a.py"
     assert lines[3] == "# PROJECT: p" and lines[-2:] == ["x", ""]
+
+
+def test_names_without_number_are_no_numbered_forms(spark):
+    """A name that is the same for all files is worked out before any file is left out."""
+    rows = entries(spark, [text("a.md"), text("./a.md"), text("/a.md")])
+    there = spark.range(1).select(F.lit("b").alias("bundle_id"), F.lit("a.md").alias("target"))
+    plan = X.plan_extraction(rows, there, "rename")
+    assert [r.target for r in plan.orderBy("entry_idx").collect()] == ["a_1.md", "a_2.md", "a_3.md"]
