@@ -477,10 +477,10 @@ _PAYLOAD = "sha256(CASE WHEN entry_idx % 6 = 2 THEN unhex('EFBBBF') ELSE ''::BLO
 
 
 def _actions(spark, sf, policy):
-    return _shown(X.plan_extraction(_to_extract(spark, sf), _existing(spark, sf), policy, add_headers=False))
+    return _shown_actions(X.plan_extraction(_to_extract(spark, sf), _existing(spark, sf), policy, add_headers=False))
 
 
-def _shown(actions):
+def _shown_actions(actions):
     return actions.select(
         "bundle_id", "entry_idx", "path",
         F.when(F.col("error").isNull() | F.col("error").contains("decode"), F.col("target")).alias("target"),

@@ -133,4 +133,4 @@ def stream_extract_rename(spark, sf):
         entries.filter(third == delivery).write.mode("append").parquet(f"{work}/in")
         arriving = spark.readStream.schema(entries.schema).parquet(f"{work}/in")
         T.extract_stream(arriving, B._existing(spark, sf), f"{work}/out", f"{work}/state", add_headers=False).awaitTermination()
-    return B._shown(T.planned_actions(spark, f"{work}/out")).drop("path", "payload")
+    return B._shown_actions(T.planned_actions(spark, f"{work}/out")).drop("path", "payload")
