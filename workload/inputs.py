@@ -106,6 +106,14 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def arriving(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of them.
+
+    A stream takes a plain path for a folder; a pattern it lists as it finds it.
+    """
+    return spark.readStream.schema(load(spark, sf, table).schema).parquet(f"{sf}/[{table[0]}]{table[1:]}.parquet")
+
+
 def spark_sql(expression: str) -> str:
     return expression.replace("{bytes}", "BINARY")
 

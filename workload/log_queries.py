@@ -112,9 +112,8 @@ SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS event, count(*) AS
 def stream_session_counts(spark, sf):
     """The event table drained as a stream into running counts."""
     work = _work_folder(spark)
-    events = I.load(spark, sf, "events")
     stream = (
-        spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        I.arriving(spark, sf, "events")
         .select(
             F.col("user_id").cast("string").alias("sessionId"), F.col("ts").cast("timestamp").alias("timestamp"),
             F.col("event_type").alias("event"), F.col("props").alias("details"),
@@ -129,9 +128,8 @@ SELECT conv_id || '/' || turn AS bundle_id, turn % 3 <> 0 AS valid, CASE WHEN tu
 def stream_validate(spark, sf):
     """Each turn arrives as a bundle of its own; a third of them hold no marker."""
     work = _work_folder(spark)
-    turns = I.load(spark, sf, "conversations")
     stream = (
-        spark.readStream.schema(turns.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+        I.arriving(spark, sf, "conversations")
         .select(
             F.expr("CAST(conv_id AS STRING) || '/' || CAST(turn AS STRING)").alias("bundle_id"),
             F.expr("CASE WHEN turn % 3 = 0 THEN text ELSE '# FILE: a.md' || chr(10) || text END").alias("text"),
@@ -156,9 +154,8 @@ def stream_ended_sessions(spark, sf):
     """Half a day without an event ends a user's session; the table is drained as a stream, and every
     session that its watermark has ended is summed up once."""
     work = _work_folder(spark)
-    events = I.load(spark, sf, "events")
     stream = (
-        spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        I.arriving(spark, sf, "events")
         .select(F.col("user_id").cast("string").alias("sessionId"), F.col("ts").cast("timestamp").alias("timestamp"),
                 F.col("event_type").alias("event"))
     )
