@@ -19,11 +19,24 @@ from sheaf.session import deal_out
 
 
 # Nodes that add one decision each.
-_BRANCHES = (
+_BRANCHES = frozenset((
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.AsyncWith,
     ast.Assert, ast.IfExp, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Match,
-)
+))
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_DEFINITIONS = (*_FUNCTIONS, ast.ClassDef)
+_KINDS = [kind for kind in vars(ast).values() if isinstance(kind, type) and issubclass(kind, ast.AST)]
+_STATEMENTS = frozenset(kind for kind in _KINDS if issubclass(kind, ast.stmt))
+# Nodes without a decision in or below them.
+_LEAVES = frozenset(
+    kind for kind in _KINDS
+    if issubclass(kind, (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop, ast.Name, ast.Constant, ast.alias))
+)
+# By kind the lists of statements, or of what holds some, in the order in which they are written.
+_BODIES = {
+    kind: [name for name in ("body", "handlers", "cases", "orelse", "finalbody") if name in kind._fields]
+    for kind in (*_STATEMENTS, ast.ExceptHandler, ast.match_case)
+}
 
 _NODE = (
     "struct<kind:string,line:int,col:int,text:string,comment:string,name:string,doc:string,"
@@ -72,34 +85,71 @@ def _names(node: ast.stmt) -> list[dict]:
     return []
 
 
+def _written(node: ast.AST) -> str:
+    return " ".join(ast.unparse(node).split())
+
+
+def _statement_text(node: ast.AST, texts: dict[ast.AST, str]) -> str:
+    """A statement, exception handler or case on one line, put together from its head and the texts of
+    the statements in it, so that no statement is written out again for each one around it."""
+    names = _BODIES[type(node)]
+    if not names:
+        return _written(node)
+    # A docstring is written otherwise than the same string as a statement of its own.
+    first = int(type(node) in _DEFINITIONS and ast.get_docstring(node, clean=False) is not None)
+    bodies = {name: getattr(node, name) for name in names}
+    for name in names:
+        setattr(node, name, bodies[name][:first] if name == "body" else [])
+    out = [_written(node)]
+    for name, nodes in bodies.items():
+        setattr(node, name, nodes)
+    for name, nodes in bodies.items():
+        if name == "orelse" and isinstance(node, ast.If) and len(nodes) == 1 and isinstance(nodes[0], ast.If):
+            out.append("el" + texts[nodes[0]])
+            continue
+        if nodes and name in ("orelse", "finalbody"):
+            out.append("else:" if name == "orelse" else "finally:")
+        for child in nodes[first:] if name == "body" else nodes:
+            text = texts[child]
+            out.append("except*" + text.removeprefix("except") if name == "handlers" and isinstance(node, ast.TryStar) else text)
+    return " ".join(out)
+
+
 def flatten(text: str, with_text: bool = True) -> list[dict]:
     """Statements of a source in pre-order, each with the totals of its own subtree and its place
     on the line, counted by column. A statement's text holds all of its body, and is what takes most time
     and room; without texts there are no comments either."""
-    comments, rows = _comments(text) if with_text else {}, []
+    comments, rows = _comments(text) if with_text and "#" in text else {}, []
+    texts: dict[ast.AST, str] = {}
 
     def visit(node: ast.AST, scopes: list[dict]) -> tuple[int, int]:
-        branches = len(node.values) - 1 if isinstance(node, ast.BoolOp) else int(isinstance(node, _BRANCHES))
+        what = type(node)
+        branches = len(node.values) - 1 if what is ast.BoolOp else int(what in _BRANCHES)
         statements, row = 0, None
-        if isinstance(node, ast.stmt):
+        if what in _STATEMENTS:
             statements = 1
-            documented = isinstance(node, (*_FUNCTIONS, ast.ClassDef))
+            documented = isinstance(node, _DEFINITIONS)
             if documented:
                 kind = "class" if isinstance(node, ast.ClassDef) else "function"
                 scopes = [*scopes, {"kind": kind, "name": node.name}]
             row = {
-                "kind": type(node).__name__, "line": node.lineno, "col": node.col_offset,
-                "text": " ".join(ast.unparse(node).split()) if with_text else None, "comment": comments.get(node.lineno),
+                "kind": what.__name__, "line": node.lineno, "col": node.col_offset,
+                "text": None, "comment": comments.get(node.lineno),
                 "name": node.name if documented else None,
                 "doc": ast.get_docstring(node) if documented else None,
                 "names": _names(node), "scopes": scopes,
             }
             rows.append(row)
-        for child in ast.iter_child_nodes(node):
-            b, s = visit(child, scopes)
-            branches, statements = branches + b, statements + s
+        for name in node._fields:
+            value = getattr(node, name)
+            for child in value if type(value) is list else (value,):
+                if isinstance(child, ast.AST) and type(child) not in _LEAVES:
+                    b, s = visit(child, scopes)
+                    branches, statements = branches + b, statements + s
+        if with_text and what in _BODIES:
+            texts[node] = _statement_text(node, texts)
         if row is not None:
-            row["branches"], row["statements"] = branches, statements
+            row["branches"], row["statements"], row["text"] = branches, statements, texts.get(node)
         return branches, statements
 
     visit(ast.parse(text), [])

@@ -1,3 +1,4 @@
+import ast
 import random
 
 from pyspark.sql import functions as F
@@ -143,3 +144,22 @@ def test_without_commands_all_else_stays(spark):
     full, light = (K.build_catalog(df, with_commands=c) for c in (True, False))
     assert full.drop("commands").orderBy("file").collect() == light.drop("commands").orderBy("file").collect()
     assert all(not n["text"] and not n["comment"] for r in K.source_nodes(df, with_text=False).collect() for n in r["nodes"])
+
+
+def test_no_statement_is_written_out_for_each_one_around_it(monkeypatch):
+    """Statements in statements: their texts are as of each written alone, at a cost in proportion to the source."""
+    deep = "".join("  " * i + f"if a{i}: x{i} = 1\n" + "  " * i + f"while b{i}:\n" for i in range(40)) + "  " * 40 + "pass\n"
+    mixed = (
+        "@d\nclass A(B):\n  'd  oc\\n  \"x\"'\n  'again'\n  async def f(self):\n    async with a as b: pass\n    for i in j: x\n    else: y\n"
+        "if a: b\nelif c:\n  d = ''' \n '''\nelse:\n  if e: f\n  g\n"
+        "try: a\nexcept* E as e:\n  try: b\n  except (F, G): c\n  else: d\n  finally: e\nfinally: h\n"
+        "match x:\n  case [1, *_] if y:\n    while z: w\n    else: v\n  case _: pass\n")
+    for source in (deep, mixed):
+        want = [" ".join(ast.unparse(n).split()) for n in sorted(
+            (n for n in ast.walk(ast.parse(source)) if isinstance(n, ast.stmt)), key=lambda n: (n.lineno, n.col_offset))]
+        got = sorted(K.flatten(source), key=lambda r: (r["line"], r["col"]))
+        assert [r["text"] for r in got] == want
+    written, unparse = [], ast.unparse
+    monkeypatch.setattr(ast, "unparse", lambda node: written.append(unparse(node)) or written[-1])
+    K.flatten(deep)
+    assert sum(map(len, written)) < 2 * len("".join(deep.split()))
