@@ -30,8 +30,8 @@ _STATEMENTS = frozenset(kind for kind in _KINDS if issubclass(kind, ast.stmt))
 # Nodes without a decision in or below them.
 _LEAVES = frozenset(
     kind for kind in _KINDS
-    if issubclass(kind, (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop, ast.Name, ast.Constant, ast.alias))
-)
+    if issubclass(kind, (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop))
+) | {ast.Name, ast.Constant, ast.alias}
 # By kind the lists of statements, or of what holds some, in the order in which they are written.
 _BODIES = {
     kind: [name for name in ("body", "handlers", "cases", "orelse", "finalbody") if name in kind._fields]

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sheaf.session import checkpoint
+from sheaf.session import checkpoint, deal_out
 
 POSITION = ("scope", "line", "pos_index")
 SIGNATURE = ("scope", "kind", "text")
 PAIR = ("file_old", "file_new")
+#: Tasks that the keys of one pair are dealt to.
+KEY_PARTS = 16
 
 
 def explode_catalog(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,20 +185,24 @@ def _four_decimals(share: pd.Series) -> pd.Series:
 
 def stability(old: DataFrame, new: DataFrame, pairs: DataFrame, keys: Sequence[str],
               name: str = "stability") -> DataFrame:
-    """Per pair the share of distinct keys found on both sides, four decimals; 1.0 without any."""
-    pairs = checkpoint(pairs.select(*PAIR))
-    both = (
-        _of_pairs(old, pairs, "old").select(*PAIR, *keys, F.lit(1).alias("o"), F.lit(0).alias("n"))
-        .unionByName(
-            _of_pairs(new, pairs, "new").select(*PAIR, *keys, F.lit(0).alias("o"), F.lit(1).alias("n"))
-        )
-        .groupBy(*PAIR, *keys)
-        .agg((F.max("o") + F.max("n")).alias("sides"))
-    )
-    share = both.groupBy(*PAIR).agg(
-        (F.count_if(F.col("sides") == 2) / F.count(F.lit(1))).alias("__share")
+    """Per pair the share of distinct keys found on both sides, four decimals; 1.0 without any.
+
+    Pairs go by number. Each one's keys are dealt to a few tasks of all there are, and the pairs, one
+    light row per file, are what the joins hold: no task sorts the keys, or holds those of many others.
+    """
+    pairs = checkpoint(pairs.select(*PAIR, F.monotonically_increasing_id().alias("__pair")))
+
+    def of_pairs(rows: DataFrame, side: str, bit: int) -> DataFrame:
+        own = pairs.select("__pair", F.col(f"file_{side}").alias("__file")).hint("shuffle_hash")
+        return rows.join(own, rows["file"] == own["__file"]).select("__pair", *keys, F.lit(bit).alias("__side"))
+
+    both = of_pairs(old, "old", 1).unionByName(of_pairs(new, "new", 2)).withColumn(
+        "__part", F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)))
+    found = deal_out(both, "__pair", "__part").groupBy("__pair", "__part", *keys).agg(F.bit_or("__side").alias("sides"))
+    share = found.groupBy("__pair").agg(
+        (F.count_if(F.col("sides") == 3) / F.count(F.lit(1))).alias("__share")
     )
-    return pairs.join(share, list(PAIR), "left").select(
+    return pairs.join(share, "__pair", "left").select(
         *PAIR, _four_decimals(F.coalesce("__share", F.lit(1.0))).alias(name)
     )
 

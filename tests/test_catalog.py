@@ -163,3 +163,21 @@ def test_no_statement_is_written_out_for_each_one_around_it(monkeypatch):
     monkeypatch.setattr(ast, "unparse", lambda node: written.append(unparse(node)) or written[-1])
     K.flatten(deep)
     assert sum(map(len, written)) < 2 * len("".join(deep.split()))
+
+
+def test_shares_of_keys_without_sorting_them(spark):
+    """Pairs may repeat, have null names or no keys; keys may be null and occur often."""
+    rng = random.Random(5)
+    rows = [[(rng.choice(["a", "b", None]), rng.choice(["s", None]), f"n{rng.randint(0, 30)}") for _ in range(120)] for _ in range(2)]
+    old, new = (spark.createDataFrame(r, "file string, scope string, name string") for r in rows)
+    named = [("a", "b"), ("a", "a"), ("a", "a"), (None, "b"), ("none", "no"), (None, None)]
+    pairs = spark.createDataFrame(named, "file_old string, file_new string")
+    found = D.stability(old, new, pairs, ("scope", "name"))
+
+    def share(a, b):
+        x, y = ({r[1:] for r in side if r[0] == f and f is not None} for side, f in zip(rows, (a, b)))
+        return round(len(x & y) / len(x | y), 4) if x | y else 1.0
+
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(str((*p, share(*p))) for p in named)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("ShuffledHashJoin") >= 2 and "REPARTITION_BY_NUM" in plan
