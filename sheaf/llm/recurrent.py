@@ -31,6 +31,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,9 +72,16 @@ def is_held_out(doc_id: str | None) -> bool:
 NUMBERED = "block string, doc_id string, held_out boolean, numbers binary, words array<string>, counts array<long>"
 
 
+def _numbers() -> dict[bytes, int]:
+    """Words to numbers; a word that is asked for first gets the next one."""
+    known: defaultdict = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per document, and per block one with its words and their occurrences in training."""
-    part, block, chars, known, counts, learned = TaskContext.get().partitionId(), 0, 0, {}, np.zeros(0, np.int64), []
+    part, block, chars, known, counts, learned = TaskContext.get().partitionId(), 0, 0, _numbers(), np.zeros(0, np.int64), []
 
     def summed() -> np.ndarray:
         every = np.concatenate([np.zeros(0, np.int64), *learned])
@@ -88,7 +96,8 @@ def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers, held_out = [], [is_held_out(d) for d in frame["doc_id"]]
         for text, held in zip(frame["text"], held_out):
             # Bytes are lower-cased, and split, by ASCII only.
-            own = np.array([known.setdefault(w, len(known)) for w in (text or "").encode().lower().split()], dtype=np.int64)
+            words = (text or "").encode().lower().split()
+            own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             numbers.append(_stored(own))
             chars += len(text or "")
             if not held:
@@ -99,7 +108,7 @@ def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, learned = summed(), []
         if chars >= BLOCK_CHARS or len(known) >= BLOCK_WORDS:
             yield closed(counts)
-            block, chars, known, counts = block + 1, 0, {}, np.zeros(0, np.int64)
+            block, chars, known, counts = block + 1, 0, _numbers(), np.zeros(0, np.int64)
     if known:
         yield closed(counts)
 
@@ -294,8 +303,21 @@ def _states(m: dict, lanes: Lanes, at: np.ndarray, h: np.ndarray, keep: list | N
     return out
 
 
+def _row_max(x: np.ndarray) -> np.ndarray:
+    """The largest of each row, as a column. Of many short rows the halves are compared as wholes."""
+    if len(x) < 512:
+        return x.max(axis=1, keepdims=True)
+    while x.shape[1] > 6:
+        half = (x.shape[1] + 1) // 2
+        x = np.maximum(x[:, :half], x[:, -half:])
+    out = x[:, 0]
+    for i in range(1, x.shape[1]):
+        out = np.maximum(out, x[:, i])
+    return out[:, None]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    x -= _row_max(x)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
@@ -304,7 +326,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _by_class(codes: np.ndarray, n_head: int) -> Iterator[tuple[int, np.ndarray]]:
     """Classes of the head among the codes, and where they are."""
     head = np.flatnonzero(codes < n_head)
-    order = head[np.argsort(codes[head] // CLASS_WORDS, kind="stable")]
+    # Numbers of 16 bits are sorted by their digits.
+    order = head[np.argsort((codes[head] // CLASS_WORDS).astype(np.uint16), kind="stable")]
     which = codes[order] // CLASS_WORDS
     cuts = np.flatnonzero(np.diff(which)) + 1
     for places in np.split(order, cuts):
@@ -387,7 +410,7 @@ class Model:
                     d_h = np.where(fresh[t][:, None], np.float32(0), d_h)
             d_x = np.where(present[..., None], d_x, np.float32(0)).reshape(-1, 3 * STATE)
             codes_in = lanes.given[at].ravel()
-            order = np.argsort(codes_in, kind="stable")
+            order = np.argsort(codes_in.astype(np.uint16), kind="stable")
             firsts = np.flatnonzero(np.diff(codes_in[order], prepend=-1))
             steps |= {"state": d_state}
             size = math.sqrt(sum(float((g * g).sum()) for g in steps.values()))
