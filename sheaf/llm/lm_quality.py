@@ -139,48 +139,71 @@ def _context(key: str) -> Column:
     return F.shiftrightunsigned(key, 16)
 
 
-def log_probabilities(counts: DataFrame) -> DataFrame | None:
-    """(key, logp) for every key of ``counts`` under the model of the counted ones."""
-    grams, levels = counts.where("n > 0").select(F.col("key").alias("gram"), F.col("n").alias("c")), {}
+def _level_sums(level: DataFrame, kinds: list[str]) -> dict[str, tuple]:
+    """Of each kind: how many n-grams occur one, two, three and four times, how many there are, and the sum."""
+    found = level.agg(*(
+        x for k in kinds for x in (
+            *(F.count(F.when(F.col(k) == i, 1)) for i in (1, 2, 3, 4)), F.count(F.when(F.col(k) > 0, 1)), F.sum(k)))).first()
+    return {k: found[6 * i:6 * i + 6] for i, k in enumerate(kinds)}
+
+
+def _models(counts: DataFrame, kinds: list[str]) -> DataFrame | None:
+    """(key, p_<kind>) for every key of ``counts`` under the model of each kind, a column of ``counts``, that
+    has any; none if the first has none. The models go through the same joins, and what an order finds is
+    written, as a plan of all orders takes the driver hundreds of megabytes, on the smallest table too."""
+    grams = counts.where(" or ".join(f"{k} > 0" for k in kinds)).select(F.col("key").alias("gram"), *kinds)
+    levels, sums = {}, {}
     for order in range(ORDER, 0, -1):
         levels[order] = grams = grams if order == ORDER else written(grams, f"grams{order}")
-        grams = grams.groupBy(_suffix("gram", order - 1).alias("gram")).agg(F.count("*").alias("c"))
-    found = {
-        order: levels[order].agg(*(F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)), F.count("*"), F.sum("c")).first()
-        for order in levels
-    }
-    if not found[ORDER][4]:
-        return None
+        sums[order] = _level_sums(grams, kinds)
+        if order == ORDER:
+            if not sums[ORDER][kinds[0]][4]:
+                return None
+            kinds = [k for k in kinds if sums[ORDER][k][4]]
+        grams = grams.groupBy(_suffix("gram", order - 1).alias("gram")).agg(*(F.count(F.when(F.col(k) > 0, 1)).alias(k) for k in kinds))
     out = counts.select("key")
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(*found[order][:4])
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        off = {}
+        for k in kinds:
+            d1, d2, d3 = discounts(*sums[order][k][:4])
+            off[k] = F.when(F.col(k) == 0, 0.0).when(F.col(k) == 1, d1).when(F.col(k) == 2, d2).otherwise(d3)
         if order == 1:
-            total, size = found[1][5], found[1][4] + 1
-            own = levels[1].select(F.col("gram").alias("g"), ((F.col("c") - off) / total).alias("own"))
-            weight = levels[1].agg(F.sum(off)).first()[0] / total
-            out = out.withColumn("g", _suffix("key", 1)).join(own, "g", "left").select(
-                "key", (F.coalesce("own", F.lit(0.0)) + weight / size).alias("p"))
+            total = {k: sums[1][k][5] for k in kinds}
+            weights = levels[1].agg(*(F.sum(off[k]) for k in kinds)).first()
+            own = levels[1].select(F.col("gram").alias("g"), *(((F.col(k) - off[k]) / total[k]).alias(f"own_{k}") for k in kinds))
+            out = out.withColumn("g", _suffix("key", 1)).join(own, "g", "left").select("key", *(
+                (F.coalesce(f"own_{k}", F.lit(0.0)) + weights[i] / total[k] / (sums[1][k][4] + 1)).alias(f"p_{k}") for i, k in enumerate(kinds)))
             continue
-        context = levels[order].groupBy(_context("gram").alias("h")).agg(
-            F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("weight"))
+        # A context that a kind does not have has no weight there, and no n-grams.
+        context = written(levels[order].groupBy(_context("gram").alias("h")).agg(*(
+            x for k in kinds for x in (F.sum(k).alias(f"total_{k}"), F.try_divide(F.sum(off[k]), F.sum(k)).alias(f"weight_{k}")))), f"contexts{order}")
         own = levels[order].withColumn("h", _context("gram")).join(context, "h").select(
-            F.col("gram").alias("g"), ((F.col("c") - off) / F.col("total")).alias("own"))
+            F.col("gram").alias("g"), *(F.try_divide(F.col(k) - off[k], F.col(f"total_{k}")).alias(f"own_{k}") for k in kinds))
         out = (
             out.withColumn("g", _suffix("key", order)).join(own, "g", "left")
-            .withColumn("h", _context("g")).join(context.select("h", "weight"), "h", "left")
-            .select("key", (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+            .withColumn("h", _context("g")).join(context.select("h", *(f"weight_{k}" for k in kinds)), "h", "left")
+            .select("key", *((F.coalesce(f"own_{k}", F.lit(0.0)) + F.coalesce(f"weight_{k}", F.lit(1.0)) * F.col(f"p_{k}")).alias(f"p_{k}") for k in kinds))
         )
-    return out.select("key", F.log("p").alias("logp"))
+        if 1 < order < ORDER:
+            out = written(out, f"probs{order}")
+    return out
 
 
-def with_excess(probs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``probs`` (key, logp) with the ``excess`` of each key under the toxic counts; 0 without any."""
-    toxic = log_probabilities(counts.select("key", F.col("n_toxic").alias("n")))
-    if toxic is None:
-        return probs.withColumn("excess", F.lit(0.0))
-    mixed = F.log(1 - TOXIC_SHARE + TOXIC_SHARE * F.exp(F.col("toxic_logp") - F.col("logp")))
-    return probs.join(toxic.withColumnRenamed("logp", "toxic_logp"), "key").select("key", "logp", mixed.alias("excess"))
+def log_probabilities(counts: DataFrame) -> DataFrame | None:
+    """(key, logp) for every key of ``counts`` under the model of the counted ones."""
+    probs = _models(counts, ["n"])
+    return None if probs is None else probs.select("key", F.log("p_n").alias("logp"))
+
+
+def with_excess(counts: DataFrame) -> DataFrame | None:
+    """(key, logp, excess) for every key of ``counts``; the ``excess`` under the toxic counts is 0 without any."""
+    probs = _models(counts, ["n", "n_toxic"])
+    if probs is None:
+        return None
+    logp, mixed = F.log("p_n"), F.lit(0.0)
+    if "p_n_toxic" in probs.columns:
+        mixed = F.log(1 - TOXIC_SHARE + TOXIC_SHARE * F.exp(F.log("p_n_toxic") - logp))
+    return probs.select("key", logp.alias("logp"), mixed.alias("excess"))
 
 
 def _ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,7 +283,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD_OUT)) == 0
     counts = written(gram_counts(named, trusted.where(~held), toxic.where(~held)), "grams")
-    probs = log_probabilities(counts)
+    probs = with_excess(counts)
     none = [F.lit(None).cast("double").alias(c) for c in ("loss", "excess")]
     empty = named.where("coalesce(length(text), 0) = 0").select(
         "doc_id", "mark", "lang", F.lit(0).cast("long").alias("n_units"), *none)
@@ -271,7 +294,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         # What identifies a row goes along as one string, so that null ids and languages survive.
         row = F.to_json(F.struct("doc_id", "mark", "lang"))
-        found = perplexities(named.select(row.alias("row"), "text"), written(with_excess(probs, counts), "probs"))
+        found = perplexities(named.select(row.alias("row"), "text"), written(probs, "probs"))
         parsed = F.from_json("row", "doc_id long, mark long, lang string")
         scored = written(
             found.select(parsed.alias("r"), "n_units", "loss", "excess")

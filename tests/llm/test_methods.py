@@ -126,6 +126,26 @@ def test_kneser_ney(spark, docs):
     assert total <= 1 + 1e-9
 
 
+def test_both_models_go_through_the_same_joins(spark, docs):
+    """A plan with the joins of two models and all orders took the driver more memory than its budget, on the smallest table too."""
+    some = docs.head(60)
+    df = spark.createDataFrame([(int(d), t) for d, t in zip(some["doc_id"], some["text"])], "doc_id long, text string")
+    counts = lm_quality.written(lm_quality.gram_counts(
+        df, df.where("doc_id % 3 = 0").select("doc_id"), df.where("doc_id % 3 = 1").select("doc_id")), "grams")
+    found = lm_quality.with_excess(counts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3 and "Aggregate" not in plan
+    toxic = lm_quality.log_probabilities(counts.select("key", F.col("n_toxic").alias("n"))).withColumnRenamed("logp", "toxic")
+    alone = lm_quality.log_probabilities(counts).withColumnRenamed("logp", "alone")
+    got = found.join(alone, "key").join(toxic, "key").toPandas()
+    t = lm_quality.TOXIC_SHARE
+    want = np.log(1 - t + t * np.exp(got["toxic"] - got["alone"]))
+    assert len(got) == counts.count() and np.allclose(got["logp"], got["alone"], rtol=1e-12) and np.allclose(got["excess"], want, atol=1e-12)
+    assert lm_quality.with_excess(counts.withColumn("n", F.lit(0).cast("long"))) is None
+    none = lm_quality.with_excess(counts.withColumn("n_toxic", F.lit(0).cast("long"))).agg(F.min("excess"), F.max("excess")).first()
+    assert tuple(none) == (0.0, 0.0)
+
+
 def test_quality_keeps_trusted_kinds(spark):
     got = QUERIES["op7_kneser_ney_quality"](spark, "/root/testdata/sf0.01").toPandas().merge(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
