@@ -36,6 +36,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +74,24 @@ def is_held_out(doc_id: str | None) -> bool:
 NUMBERED = "block string, doc_id string, held_out boolean, numbers binary, words array<string>, counts array<long>"
 
 
-def _numbers() -> dict[bytes, int]:
+def _numbers() -> dict[str, int]:
     """Words to numbers; a word that is asked for first gets the next one."""
     known: defaultdict = defaultdict()
     known.default_factory = known.__len__
     return known
 
 
+def _tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words by their first place, which of them each word is, and the words of each text."""
+    # Lower-cased, and split, by ASCII only. White space at an end of a text leaves an empty word there.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    words, ends = lists.flatten(), lists.offsets.to_numpy()
+    there = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(there)))[ends]
+    coded = words.filter(pa.array(there)).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(before)
+
+
 def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per document, and per block one with its words and their occurrences in training."""
     part, block, chars, known, counts, learned = TaskContext.get().partitionId(), 0, 0, _numbers(), np.zeros(0, np.int64), []
@@ -90,18 +103,18 @@ def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def closed(counts) -> pd.DataFrame:
         return pd.DataFrame({
             "block": [f"{part}-{block}"], "doc_id": [None], "held_out": [None], "numbers": [None],
-            "words": [[w.decode() for w in known]], "counts": [counts]}, dtype=object)
+            "words": [list(known)], "counts": [counts]}, dtype=object)
 
     for frame in slices(frames):
         numbers, held_out = [], [is_held_out(d) for d in frame["doc_id"]]
-        for text, held in zip(frame["text"], held_out):
-            # Bytes are lower-cased, and split, by ASCII only.
-            words = (text or "").encode().lower().split()
-            own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        # A word is looked up once for all its occurrences in the frame.
+        distinct, which, lengths = _tokens(frame["text"].tolist())
+        every = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[which]
+        for own, held in zip(np.split(every, np.cumsum(lengths)[:-1]), held_out):
             numbers.append(_stored(own))
-            chars += len(text or "")
             if not held:
                 learned.append(own)
+        chars += sum(len(t or "") for t in frame["text"])
         yield pd.DataFrame({
             "block": np.full(len(frame), f"{part}-{block}", dtype=object), "doc_id": frame["doc_id"].to_numpy(), "held_out": held_out,
             "numbers": numbers, "words": None, "counts": None})
@@ -286,20 +299,30 @@ class Lanes:
             yield np.where(present, self.firsts[:live] + steps, 0), present
 
 
+def _thirds(rows: np.ndarray) -> np.ndarray:
+    """Rows seen as three tables: of the two gates, and of the new state."""
+    return rows.reshape(-1, 3, STATE).transpose(1, 0, 2)
+
+
 def _states(m: dict, lanes: Lanes, at: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
     """The states after each step of a window; with ``keep``, what backpropagation needs is added to it."""
     x = m["inputs"][lanes.given[at]]
     fresh, out = lanes.start[at], np.empty((*at.shape, STATE), dtype=np.float32)
+    starts = fresh.any(axis=1)
     for t in range(len(at)):
-        if fresh[t].any():
+        if starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         own = h @ m["state"]
         gates = _sigmoid(x[t, :, : 2 * STATE] + own[:, : 2 * STATE])
         z, r = gates[:, :STATE], gates[:, STATE:]
-        new = np.tanh(x[t, :, 2 * STATE:] + r * own[:, 2 * STATE:])
+        new = r * own[:, 2 * STATE:]
+        new += x[t, :, 2 * STATE:]
+        np.tanh(new, out=new)
         if keep is not None:
             keep.append((h, z, r, new, own[:, 2 * STATE:]))
-        h = out[t] = new + z * (h - new)
+        step = h - new
+        step *= z
+        h = np.add(new, step, out=out[t])
     return out
 
 
@@ -316,23 +339,39 @@ def _row_max(x: np.ndarray) -> np.ndarray:
     return out[:, None]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _powers(x: np.ndarray) -> np.ndarray:
+    """Makes the rows of x a softmax times what is returned, the sum of each row."""
     x -= _row_max(x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return x.sum(axis=1, keepdims=True)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x /= _powers(x)
     return x
 
 
+def _softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One place of each row of a softmax."""
+    sums = _powers(x)[:, 0]
+    return x[np.arange(len(x)), at] / sums
+
+
 def _by_class(codes: np.ndarray, n_head: int) -> Iterator[tuple[int, np.ndarray]]:
     """Classes of the head among the codes, and where they are."""
+    order, groups = _ordered_by_class(codes, n_head)
+    for c, own in groups:
+        yield c, order[own]
+
+
+def _ordered_by_class(codes: np.ndarray, n_head: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of the head's codes by class, and each class with its share of them."""
     head = np.flatnonzero(codes < n_head)
     # Numbers of 16 bits are sorted by their digits.
     order = head[np.argsort((codes[head] // CLASS_WORDS).astype(np.uint16), kind="stable")]
     which = codes[order] // CLASS_WORDS
-    cuts = np.flatnonzero(np.diff(which)) + 1
-    for places in np.split(order, cuts):
-        if len(places):
-            yield int(codes[places[0]]) // CLASS_WORDS, places
+    cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(order)]
+    return order, [(int(which[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def _outputs(codes: np.ndarray, n_head: int, n_classes: int) -> np.ndarray:
@@ -353,11 +392,16 @@ class Model:
             h = states[-1]
             s, own = (states[present], at[present]) if not present.all() else (states.reshape(-1, STATE), at.ravel())
             codes, doc = lanes.target[own], lanes.doc[own]
-            p = _softmax(s @ m["classes"] + m["class_bias"])
-            log_p = np.log(p[np.arange(len(codes)), _outputs(codes, self.n_head, self.n_classes)] + np.float32(1e-30)).astype(np.float64)
-            for c, rows in _by_class(codes, self.n_head):
-                own = _softmax(s[rows] @ m["words"][c] + m["word_bias"][c])
-                log_p[rows] += np.log(own[np.arange(len(rows)), codes[rows] % CLASS_WORDS] + np.float32(1e-30))
+            x = s @ m["classes"]
+            x += m["class_bias"]
+            log_p = np.log(_softmax_at(x, _outputs(codes, self.n_head, self.n_classes)) + np.float32(1e-30)).astype(np.float64)
+            order, groups = _ordered_by_class(codes, self.n_head)
+            of_head, places, found = s[order], codes[order] % CLASS_WORDS, np.empty(len(order), dtype=np.float32)
+            for c, rows in groups:
+                x = of_head[rows] @ m["words"][c]
+                x += m["word_bias"][c]
+                found[rows] = _softmax_at(x, places[rows])
+            log_p[order] += np.log(found + np.float32(1e-30))
             total += np.bincount(doc, weights=log_p, minlength=len(docs))
         return total
 
@@ -375,40 +419,67 @@ class Model:
             kept: list = []
             states = _states(m, lanes, at, h[: at.shape[1]], kept)
             h = states[-1]
-            s, codes = states[present], lanes.target[at[present]]
+            full = present.all()
+            s, own = (states.reshape(-1, STATE), at.ravel()) if full else (states[present], at[present])
+            codes = lanes.target[own]
             # By full windows, so that the last lanes of a buffer count by their tokens.
             scale = np.float32(1 / (LANES * WINDOW))
-            p = _softmax(s @ m["classes"] + m["class_bias"])
+            p = s @ m["classes"]
+            p += m["class_bias"]
+            p = _softmax(p)
             p[np.arange(len(codes)), _outputs(codes, self.n_head, self.n_classes)] -= 1
             p *= scale
             back = p @ m["classes"].T
             steps = {"classes": s.T @ p, "class_bias": p.sum(axis=0)}
-            for c, rows in _by_class(codes, self.n_head):
-                own = _softmax(s[rows] @ m["words"][c] + m["word_bias"][c])
-                own[np.arange(len(rows)), codes[rows] % CLASS_WORDS] -= 1
+            order, groups = _ordered_by_class(codes, self.n_head)
+            of_head, places = s[order], codes[order] % CLASS_WORDS
+            back_head = np.empty(of_head.shape, dtype=np.float32)
+            words, word_bias = np.zeros_like(m["words"]), np.zeros_like(m["word_bias"])
+            for c, rows in groups:
+                own = of_head[rows] @ m["words"][c]
+                own += m["word_bias"][c]
+                own = _softmax(own)
+                own[np.arange(len(own)), places[rows]] -= 1
                 own *= scale
-                back[rows] += own @ m["words"][c].T
-                self._step("words", s[rows].T @ own, c)
-                self._step("word_bias", own.sum(axis=0), c)
-            given = np.zeros(states.shape, dtype=np.float32)
-            given[present] = back
+                np.matmul(own, m["words"][c].T, out=back_head[rows])
+                words[c], word_bias[c] = of_head[rows].T @ own, own.sum(axis=0)
+            back[order] += back_head
+            # A class that no token is in has no gradient, and stays as it is.
+            self._step("words", words)
+            self._step("word_bias", word_bias)
+            if full:
+                given = back.reshape(states.shape)
+            else:
+                given = np.zeros(states.shape, dtype=np.float32)
+                given[present] = back
             d_x = np.empty((*at.shape, 3 * STATE), dtype=np.float32)
             fresh = lanes.start[at]
+            starts = fresh.any(axis=1)
+            d_own = np.empty((at.shape[1], 3 * STATE), dtype=np.float32)
             d_state, d_h = np.zeros_like(m["state"]), np.zeros_like(h)
             for t in range(len(at) - 1, -1, -1):
                 before, z, r, new, own = kept[t]
                 d_h = d_h + given[t]
-                d_new = d_h * (1 - z) * (1 - new * new)
-                d_x[t, :, :STATE] = 2 * d_h * (before - new) * z * (1 - z)
-                d_x[t, :, STATE: 2 * STATE] = 2 * d_new * own * r * (1 - r)
-                d_x[t, :, 2 * STATE:] = d_new
-                d_own = d_x[t].copy()
-                d_own[:, 2 * STATE:] *= r
+                rest = 1 - z
+                d_new = 1 - new * new
+                d_new *= d_h * rest
+                d_z = before - new
+                d_z *= 2 * d_h
+                d_z *= z
+                d_z *= rest
+                d_r = 2 * d_new
+                d_r *= own
+                d_r *= r
+                d_r *= 1 - r
+                d_x[t, :, :STATE], d_x[t, :, STATE: 2 * STATE], d_x[t, :, 2 * STATE:] = d_z, d_r, d_new
+                d_own[:] = d_x[t]
+                np.multiply(d_new, r, out=d_own[:, 2 * STATE:])
                 d_state += before.T @ d_own
-                d_h = d_h * z + d_own @ m["state"].T
-                if fresh[t].any():
+                d_h *= z
+                d_h += d_own @ m["state"].T
+                if starts[t]:
                     d_h = np.where(fresh[t][:, None], np.float32(0), d_h)
-            d_x = np.where(present[..., None], d_x, np.float32(0)).reshape(-1, 3 * STATE)
+            d_x = (d_x if full else np.where(present[..., None], d_x, np.float32(0))).reshape(-1, 3 * STATE)
             codes_in = lanes.given[at].ravel()
             order = np.argsort(codes_in.astype(np.uint16), kind="stable")
             firsts = np.flatnonzero(np.diff(codes_in[order], prepend=-1))

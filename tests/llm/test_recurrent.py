@@ -24,3 +24,19 @@ def test_head_by_class():
     assert sorted(found) == list(range(16))
     for c, places in found.items():
         assert places.tolist() == [i for i in range(5000) if codes[i] < 512 and codes[i] // R.CLASS_WORDS == c]
+
+
+def test_words_of_a_frame():
+    texts = [None, "", " \t", "\x1cB\x85b  É x\x0b", "x lead B\n", "b\fİ"]
+    words = [(t or "").encode().lower().split() for t in texts]
+    distinct, which, lengths = R._tokens(texts)
+    assert distinct == [w.decode() for w in dict.fromkeys(w for own in words for w in own)]
+    assert [distinct[i].encode() for i in which] == [w for own in words for w in own]
+    assert lengths.tolist() == [len(own) for own in words]
+    assert [len(x) for x in R._tokens([None, " "])] == [0, 0, 2]
+
+
+def test_one_place_of_a_softmax():
+    x = np.random.default_rng(3).normal(0, 9, (600, 48)).astype(np.float32)
+    at = np.arange(600) % 48
+    assert (R._softmax_at(x.copy(), at) == R._softmax(x.copy())[np.arange(600), at]).all()
