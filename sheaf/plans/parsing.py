@@ -222,9 +222,18 @@ def _by_parts(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bundles.filter(~F.col("in_parts")).drop("part_no", "in_parts"), bundles.filter(F.col("in_parts")).drop("in_parts")
 
 
+def _joined(parts: DataFrame) -> DataFrame:
+    """One row for each part number of a bundle, keyed by both. Texts of one number are joined, sorted,
+    so that each block has a place of its own."""
+    named = [F.max("profile").alias("profile")] if "profile" in parts.columns else []
+    text = F.array_join(F.array_sort(F.collect_list("text")), "")
+    return parts.groupBy("bundle_id", "part_no").agg(*named, text.alias("text"))
+
+
 def _with_profile(parts: DataFrame, profile: str | None, registry: ProfileRegistry) -> DataFrame:
-    """Every part with its bundle's format: the given one, the one of its column, or the one that the
-    head of the first part shows, null if none."""
+    """Every part, once, with its bundle's format: the given one, the one of its column, or the one that
+    the head of the first part shows, null if none."""
+    parts = _joined(parts)
     if profile is not None:
         return parts.withColumn("profile", F.lit(registry.get(profile).name))
     if "profile" in parts.columns:
@@ -338,7 +347,7 @@ def _report_of_parts(named: DataFrame, registry: ProfileRegistry) -> DataFrame:
 def parse_parts(parts: DataFrame, profile: str | None = None,
                 registry: ProfileRegistry | None = None) -> DataFrame:
     """Bundles whose text is spread over several rows, ``bundle_id, part_no, text`` and perhaps
-    ``profile``, cut at any line.
+    ``profile``, cut at any line. Rows of one ``part_no`` are one part.
 
     Repeats are settled by ``(bundle, path)``: for the last-wins format the rank filter already
     drops the losers before the shuffle. A bundle that fails is removed through the list of failed

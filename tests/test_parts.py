@@ -48,6 +48,24 @@ def test_parts_cut_at_any_line(spark, profile):
     assert errors(p) == errors(w) and 0 < len(errors(p))
 
 
+@pytest.mark.parametrize("profile", ["plain_marker", "md_fence"])
+def test_rows_of_one_part(spark, profile):
+    """Part numbers that repeat, with the same text and with others: blocks of one number keep apart."""
+    head = "# FILE: {}\n" if profile == "plain_marker" else "<!-- FILE: {}; eol=LF -->\n```\n"
+    end = "" if profile == "plain_marker" else "```\n"
+    block = lambda path, body: head.format(path) + body + "\n" + end
+    rows = [("a", 0, block("p", "1")), ("a", 0, block("q", "2")), ("a", 1, block("r", "3")), ("a", 1, block("s", "4")[:len(block("s", "4")) - len(end)]),
+            ("a", 2, "more\n" + end), ("b", 0, block("p", "1")), ("b", 0, block("p", "1")), ("c", 0, block("p", "1")), ("c", 3, "tail\n"), ("c", 3, "tail\n")]
+    joined = [(b, "".join(t for k, _, t in sorted(rows) if k == b)) for b in "abc"]
+    p = spark.createDataFrame([(*r, True) for r in rows], "bundle_id string, part_no bigint, text string, in_parts boolean")
+    w = spark.createDataFrame(joined, "bundle_id string, text string")
+    shown = lambda df: sorted((r.bundle_id, r.path, r.content) for r in df.collect())
+    assert shown(parse_parts(p, profile)) == shown(parse_bundles(w, profile))
+    assert len(shown(parse_parts(p, profile))) == (6 if profile == "plain_marker" else 5)
+    report = lambda df: sorted(map(tuple, validate_bundles(df, profile).collect()))
+    assert report(p) == report(w)
+
+
 @pytest.mark.parametrize("split", [200, 5000, 10**8])
 def test_slices_of_files_in_splits(spark, tmp_path, split):
     texts = {"one.txt": made(1, "md_fence") * 20, "in/two +%20.txt": "é\n" * 999 + "open", "empty": "", "in/nl": "\n\n", "long": "x" * 3000 + "\ny\n"}
