@@ -259,12 +259,15 @@ def unpacked(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of 2 x: the factor is left to the weights."""
-    np.tanh(x, out=x)
+#: What weights are taken times: gates are sigmoids of twice the sum, by the power of its negative.
+SIGNS = np.repeat(np.array([-2, 1], dtype=np.float32), (2 * STATE, STATE))
+
+
+def _gates(x: np.ndarray) -> np.ndarray:
+    """Makes x, in which signs are taken, the gates. A power beyond a float's range is infinite, and gives 0."""
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
-    return x
+    return np.reciprocal(x, out=x)
 
 
 class Lanes:
@@ -299,49 +302,44 @@ class Lanes:
             yield np.where(present, self.firsts[:live] + steps, 0), present
 
 
-def _thirds(rows: np.ndarray) -> np.ndarray:
-    """Rows seen as three tables: of the two gates, and of the new state."""
-    return rows.reshape(-1, 3, STATE).transpose(1, 0, 2)
-
-
 def _states(m: dict, lanes: Lanes, at: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """The states after each step of a window; with ``keep``, what backpropagation needs is added to it."""
-    x = m["inputs"][lanes.given[at]]
-    fresh, out = lanes.start[at], np.empty((*at.shape, STATE), dtype=np.float32)
-    starts = fresh.any(axis=1)
-    for t in range(len(at)):
-        if starts[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        own = h @ m["state"]
-        gates = _sigmoid(x[t, :, : 2 * STATE] + own[:, : 2 * STATE])
-        z, r = gates[:, :STATE], gates[:, STATE:]
-        new = r * own[:, 2 * STATE:]
-        new += x[t, :, 2 * STATE:]
-        np.tanh(new, out=new)
-        if keep is not None:
-            keep.append((h, z, r, new, own[:, 2 * STATE:]))
-        step = h - new
-        step *= z
-        h = np.add(new, step, out=out[t])
+    """The states after each step of a window, by step, feature and lane, so that gates are whole blocks of memory;
+    with ``keep``, what backpropagation needs is added to it: states before, their products, gates and new states."""
+    # The gates and the new states take the place of the inputs.
+    x = np.ascontiguousarray(np.take(m["inputs"] * SIGNS, lanes.given[at], axis=0).transpose(0, 2, 1))
+    fresh, out = lanes.start[at], np.empty((len(at), STATE, at.shape[1]), dtype=np.float32)
+    starts, weights = fresh.any(axis=1), np.ascontiguousarray((m["state"] * SIGNS).T)
+    own = np.empty(x.shape[1:], dtype=x.dtype)
+    if keep is not None:
+        keep += [np.empty_like(x[:, :STATE]), np.empty_like(x[:, :STATE]), x]
+    with np.errstate(over="ignore"):
+        for t in range(len(at)):
+            if starts[t]:
+                h = np.where(fresh[t], np.float32(0), h)
+            np.matmul(weights, h, out=own)
+            if keep is not None:
+                keep[0][t], keep[1][t] = h, own[2 * STATE:]
+            gates, new = x[t, : 2 * STATE], x[t, 2 * STATE:]
+            gates += own[: 2 * STATE]
+            z, r = _gates(gates).reshape(2, STATE, -1)
+            new += np.multiply(r, own[2 * STATE:], out=own[2 * STATE:])
+            np.tanh(new, out=new)
+            step = h - new
+            step *= z
+            h = np.add(new, step, out=out[t])
     return out
 
 
 def _row_max(x: np.ndarray) -> np.ndarray:
-    """The largest of each row, as a column. Of many short rows the halves are compared as wholes."""
-    if len(x) < 512:
-        return x.max(axis=1, keepdims=True)
-    while x.shape[1] > 6:
-        half = (x.shape[1] + 1) // 2
-        x = np.maximum(x[:, :half], x[:, -half:])
-    out = x[:, 0]
-    for i in range(1, x.shape[1]):
-        out = np.maximum(out, x[:, i])
-    return out[:, None]
-
-
-def _powers(x: np.ndarray) -> np.ndarray:
-    """Makes the rows of x a softmax times what is returned, the sum of each row."""
-    x -= _row_max(x)
+    """The largest of each row, as a column."""
+    return x.max(axis=1, keepdims=True)
+
+
+def _powers(x: np.ndarray, bounded: bool = False) -> np.ndarray:
+    """Makes the rows of x a softmax times what is returned, the sum of each row. Rows that are ``bounded`` need
+    nothing taken off before."""
+    if not bounded:
+        x -= _row_max(x)
     np.exp(x, out=x)
     return x.sum(axis=1, keepdims=True)
 
@@ -351,10 +349,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _softmax_at(x: np.ndarray, at: np.ndarray, bounded: bool = False) -> np.ndarray:
     """One place of each row of a softmax."""
-    sums = _powers(x)[:, 0]
-    return x[np.arange(len(x)), at] / sums
+    sums = _powers(x, bounded)[:, 0]
+    return x.T.reshape(-1)[at * len(x) + np.arange(len(x))] / sums
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The bias, its largest at 0, and whether sums of powers then stay well within a float's range, whatever the state."""
+    return bias - bias.max(axis=-1, keepdims=True), bool(np.abs(weights).sum(axis=-2).max() < 40)
 
 
 def _by_class(codes: np.ndarray, n_head: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -386,25 +389,33 @@ class Model:
     def log_likelihoods(self, docs: list[np.ndarray]) -> np.ndarray:
         """Sum of log probabilities of the codes of each document."""
         lanes, total, m = Lanes(docs), np.zeros(len(docs)), self.m
-        h = np.zeros((len(lanes.sizes), STATE), dtype=np.float32)
+        (class_bias, classes_bounded), (word_bias, words_bounded) = _bounded(m["classes"], m["class_bias"]), _bounded(m["words"], m["word_bias"])
+        h = np.zeros((STATE, len(lanes.sizes)), dtype=np.float32)
         for at, present in lanes.windows():
-            states = _states(m, lanes, at, h[: at.shape[1]])
+            states = _states(m, lanes, at, h[:, : at.shape[1]])
             h = states[-1]
-            s, own = (states[present], at[present]) if not present.all() else (states.reshape(-1, STATE), at.ravel())
-            codes, doc = lanes.target[own], lanes.doc[own]
-            x = s @ m["classes"]
-            x += m["class_bias"]
-            log_p = np.log(_softmax_at(x, _outputs(codes, self.n_head, self.n_classes)) + np.float32(1e-30)).astype(np.float64)
-            order, groups = _ordered_by_class(codes, self.n_head)
-            of_head, places, found = s[order], codes[order] % CLASS_WORDS, np.empty(len(order), dtype=np.float32)
+            s, codes, own, groups = self._laid(lanes, states, at, present)
+            # Rows are tokens, and columns whole blocks of memory.
+            x = (m["classes"].T @ s).T
+            x += class_bias
+            log_p = np.log(_softmax_at(x, _outputs(codes, self.n_head, self.n_classes), classes_bounded) + np.float32(1e-30)).astype(np.float64)
             for c, rows in groups:
-                x = of_head[rows] @ m["words"][c]
-                x += m["word_bias"][c]
-                found[rows] = _softmax_at(x, places[rows])
-            log_p[order] += np.log(found + np.float32(1e-30))
-            total += np.bincount(doc, weights=log_p, minlength=len(docs))
+                x = (m["words"][c].T @ s[:, rows]).T
+                x += word_bias[c]
+                log_p[rows] += np.log(_softmax_at(x, codes[rows] % CLASS_WORDS, words_bounded) + np.float32(1e-30))
+            total += np.bincount(lanes.doc[at.ravel()[own]], weights=log_p, minlength=len(docs))
         return total
 
+    def _laid(self, lanes: Lanes, states: np.ndarray, at: np.ndarray, present: np.ndarray) -> tuple:
+        """States (by feature) and codes of the tokens of a window, first those of the head's classes, where in the
+        window each is, and the share of each class."""
+        there = np.flatnonzero(present)
+        codes = lanes.target[at.ravel()[there]]
+        order, groups = _ordered_by_class(codes, self.n_head)
+        order = np.concatenate((order, np.flatnonzero(codes >= self.n_head)))
+        own = there[order]
+        return states.transpose(1, 0, 2).reshape(STATE, -1).take(own, axis=1), codes[order], own, groups
+
     def _step(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
         """Adagrad, on all weights of a name or on some rows."""
         self.past[name][at] += grad * grad
@@ -414,80 +425,76 @@ class Model:
         """One pass over the documents; long ones in pieces, so that all lanes end together and no few
         documents are learned from alone."""
         lanes, m = Lanes([d[i:i + PIECE_TOKENS] for d in docs for i in range(0, len(d), PIECE_TOKENS)]), self.m
-        h = np.zeros((len(lanes.sizes), STATE), dtype=np.float32)
+        h = np.zeros((STATE, len(lanes.sizes)), dtype=np.float32)
         for at, present in lanes.windows():
             kept: list = []
-            states = _states(m, lanes, at, h[: at.shape[1]], kept)
+            states = _states(m, lanes, at, h[:, : at.shape[1]], kept)
             h = states[-1]
-            full = present.all()
-            s, own = (states.reshape(-1, STATE), at.ravel()) if full else (states[present], at[present])
-            codes = lanes.target[own]
+            s, codes, own, groups = self._laid(lanes, states, at, present)
             # By full windows, so that the last lanes of a buffer count by their tokens.
             scale = np.float32(1 / (LANES * WINDOW))
-            p = s @ m["classes"]
-            p += m["class_bias"]
-            p = _softmax(p)
-            p[np.arange(len(codes)), _outputs(codes, self.n_head, self.n_classes)] -= 1
-            p *= scale
-            back = p @ m["classes"].T
-            steps = {"classes": s.T @ p, "class_bias": p.sum(axis=0)}
-            order, groups = _ordered_by_class(codes, self.n_head)
-            of_head, places = s[order], codes[order] % CLASS_WORDS
-            back_head = np.empty(of_head.shape, dtype=np.float32)
+            p = (m["classes"].T @ s).T
+            bias, bounded = _bounded(m["classes"], m["class_bias"])
+            p += bias
+            p *= scale / _powers(p, bounded)
+            p.T.reshape(-1)[_outputs(codes, self.n_head, self.n_classes) * len(p) + np.arange(len(p))] -= scale
+            # The last column is for places behind the ends of lanes.
+            back = np.zeros((STATE, len(codes) + 1), dtype=np.float32)
+            np.matmul(m["classes"], p.T, out=back[:, :-1])
+            steps = {"classes": s @ p, "class_bias": p.sum(axis=0)}
             words, word_bias = np.zeros_like(m["words"]), np.zeros_like(m["word_bias"])
+            bias, bounded = _bounded(m["words"], m["word_bias"])
             for c, rows in groups:
-                own = of_head[rows] @ m["words"][c]
-                own += m["word_bias"][c]
-                own = _softmax(own)
-                own[np.arange(len(own)), places[rows]] -= 1
-                own *= scale
-                np.matmul(own, m["words"][c].T, out=back_head[rows])
-                words[c], word_bias[c] = of_head[rows].T @ own, own.sum(axis=0)
-            back[order] += back_head
+                p = (m["words"][c].T @ s[:, rows]).T
+                p += bias[c]
+                p *= scale / _powers(p, bounded)
+                p.T.reshape(-1)[codes[rows] % CLASS_WORDS * len(p) + np.arange(len(p))] -= scale
+                back[:, rows] += m["words"][c] @ p.T
+                words[c], word_bias[c] = s[:, rows] @ p, p.sum(axis=0)
             # A class that no token is in has no gradient, and stays as it is.
             self._step("words", words)
             self._step("word_bias", word_bias)
-            if full:
-                given = back.reshape(states.shape)
-            else:
-                given = np.zeros(states.shape, dtype=np.float32)
-                given[present] = back
-            d_x = np.empty((*at.shape, 3 * STATE), dtype=np.float32)
+            column = np.full(at.size, len(codes))
+            column[own] = np.arange(len(codes))
+            given = back.take(column, axis=1).reshape(STATE, *at.shape)
+            before, product, x = kept
+            z, r, new = x[:, :STATE], x[:, STATE: 2 * STATE], x[:, 2 * STATE:]
+            # What the gradient of a state is multiplied with, for the new state and for what the state before was taken times.
+            rest, of_new, of_own = 1 - z, 1 - new * new, np.empty((len(at), 3, STATE, at.shape[1]), dtype=np.float32)
+            of_new *= rest
+            np.multiply(before - new, rest, out=of_own[:, 0])
+            of_own[:, 0] *= z
+            of_own[:, 0] *= 2
+            np.multiply(r, of_new, out=of_own[:, 2])
+            np.multiply(product, of_own[:, 2], out=of_own[:, 1])
+            of_own[:, 1] *= 1 - r
+            of_own[:, 1] *= 2
+            d_own, d_states = np.empty_like(of_own), np.empty(states.shape, dtype=np.float32)
             fresh = lanes.start[at]
             starts = fresh.any(axis=1)
-            d_own = np.empty((at.shape[1], 3 * STATE), dtype=np.float32)
-            d_state, d_h = np.zeros_like(m["state"]), np.zeros_like(h)
+            d_h = np.zeros(states[0].shape, dtype=m["state"].dtype)
             for t in range(len(at) - 1, -1, -1):
-                before, z, r, new, own = kept[t]
-                d_h = d_h + given[t]
-                rest = 1 - z
-                d_new = 1 - new * new
-                d_new *= d_h * rest
-                d_z = before - new
-                d_z *= 2 * d_h
-                d_z *= z
-                d_z *= rest
-                d_r = 2 * d_new
-                d_r *= own
-                d_r *= r
-                d_r *= 1 - r
-                d_x[t, :, :STATE], d_x[t, :, STATE: 2 * STATE], d_x[t, :, 2 * STATE:] = d_z, d_r, d_new
-                d_own[:] = d_x[t]
-                np.multiply(d_new, r, out=d_own[:, 2 * STATE:])
-                d_state += before.T @ d_own
-                d_h *= z
-                d_h += d_own @ m["state"].T
+                d_state = np.add(d_h, given[:, t], out=d_states[t])
+                np.multiply(of_own[t], d_state, out=d_own[t])
+                np.matmul(m["state"], d_own[t].reshape(3 * STATE, -1), out=d_h)
+                d_state = d_state * z[t]
+                d_h += d_state
                 if starts[t]:
-                    d_h = np.where(fresh[t][:, None], np.float32(0), d_h)
-            d_x = (d_x if full else np.where(present[..., None], d_x, np.float32(0))).reshape(-1, 3 * STATE)
+                    d_h[:, fresh[t]] = 0
+            d_own = d_own.transpose(1, 2, 0, 3).reshape(3 * STATE, -1)
+            steps["state"] = before.transpose(1, 0, 2).reshape(STATE, -1) @ d_own.T
+            of_new *= d_states
+            d_x = d_own
+            d_x[2 * STATE:] = of_new.transpose(1, 0, 2).reshape(STATE, -1)
             codes_in = lanes.given[at].ravel()
             order = np.argsort(codes_in.astype(np.uint16), kind="stable")
-            firsts = np.flatnonzero(np.diff(codes_in[order], prepend=-1))
-            steps |= {"state": d_state}
+            times = np.bincount(codes_in)
+            there = np.flatnonzero(times)
+            firsts = np.cumsum(times[there]) - times[there]
             size = math.sqrt(sum(float((g * g).sum()) for g in steps.values()))
             for name, grad in steps.items():
                 self._step(name, grad * np.float32(min(1, CLIP / (size + 1e-12))))
-            self._step("inputs", np.add.reduceat(d_x[order], firsts, axis=0), codes_in[order][firsts])
+            self._step("inputs", np.add.reduceat(d_x.take(order, axis=1), firsts, axis=1).T, there)
 
 
 def _buffered(frames: Iterator[pd.DataFrame], tokens: int) -> Iterator[pd.DataFrame]:
