@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators.once import once
 from sheaf.operators.ordinal import running_sums
-from sheaf.plans.parsing import _chooser, parse_bundles
+from sheaf.plans.parsing import ONE_ROW, _chooser, parse_bundles
 from sheaf.profiles import Profile, ProfileRegistry, default_registry
 
 MAX_TEXT_BYTES = 256 * 1024 * 1024
+#: From this limit on, the bounds of parts are so few beside the texts that they are broadcast.
+BROADCAST_FROM = 1024 * 1024
+#: Positions that have their bounds in one row.
+PLACES = 1024
 _USED = ("path", "content", "encoding", "is_binary", "eol_style")
 
 
@@ -62,11 +67,20 @@ def assemble(blocks: DataFrame, separator: Column | str, max_bytes: int = MAX_TE
     that does. Part numbers start at 0 and rise, with gaps where blocks above half the limit meet.
 
     Sizes are summed with a map-side combine. Only blocks of bundles over the limit get a part from
-    rows without text, joined back by position; whether these rows are broadcast is left to Spark,
-    which has measured them by then.
+    rows without text. Under a small limit these are joined back by position, and whether they are
+    broadcast is left to Spark, which has measured them by then. Under one of ``BROADCAST_FROM`` or more
+    the places where parts start are broadcast, so that texts are shuffled once, into their parts; they
+    are two for each limit of text at most, and one for each ``PLACES`` positions.
     """
     half = max(max_bytes // 2, 1)
-    sizes = blocks.select("bundle_id", "entry_idx", (F.octet_length("block") + 2).cast("bigint").alias("bytes"))
+    wide = max_bytes >= BROADCAST_FROM
+    size = F.octet_length("block") + 2
+    if wide:
+        size = F.coalesce(size, F.lit(0))
+    sizes = blocks.select("bundle_id", "entry_idx", size.cast("bigint").alias("bytes"))
+    if wide:
+        # What reads the sizes shares this shuffle: filters stay above the generator, so it is one.
+        sizes = once(sizes.repartition("bundle_id", "entry_idx"), *sizes.columns)
     oversized = (
         sizes.groupBy("bundle_id")
         .agg(F.sum("bytes").alias("sum"), F.min_by("bytes", "entry_idx").alias("first"))
@@ -84,7 +98,7 @@ def assemble(blocks: DataFrame, separator: Column | str, max_bytes: int = MAX_TE
         (2 * F.col("large_before") + F.col("large") + F.floor(F.col("small_before") / F.lit(half)) - F.col("shift"))
         .cast("bigint").alias("cut_no"),
     )
-    sized = blocks.join(cut, ["bundle_id", "entry_idx"], "left")
+    sized = _cut_by_bounds(blocks, cut) if wide else blocks.join(cut, ["bundle_id", "entry_idx"], "left")
 
     part = F.coalesce("cut_no", F.lit(0)).cast("bigint")
     sep = F.lit(separator) if isinstance(separator, str) else separator
@@ -101,6 +115,22 @@ def assemble(blocks: DataFrame, separator: Column | str, max_bytes: int = MAX_TE
             "bundle_id", *keep, "part_no", "in_parts",
             F.call_function("array_join", F.col("__blocks"), F.col("__sep")).alias("text"),
         )
+        .withMetadata("part_no", {ONE_ROW: True})
+    )
+
+
+def _cut_by_bounds(blocks: DataFrame, cut: DataFrame) -> DataFrame:
+    """``blocks`` with the ``cut_no`` of their position. Numbers rise with positions, so first positions tell all."""
+    places = F.floor(F.col("entry_idx") / F.lit(PLACES))
+    starts = cut.groupBy("bundle_id", places.alias("__places"), "cut_no").agg(F.min("entry_idx").alias("start"))
+    bounds = starts.groupBy("bundle_id", "__places").agg(
+        F.array_sort(F.collect_list(F.struct("start", "cut_no"))).alias("__bounds"))
+    passed = F.filter("__bounds", lambda b: b["start"] <= F.col("entry_idx"))
+    return (
+        blocks.withColumn("__places", places)
+        .join(F.broadcast(bounds), ["bundle_id", "__places"], "left")
+        .withColumn("cut_no", F.try_element_at(passed, F.lit(-1))["cut_no"])
+        .drop("__places", "__bounds")
     )
 
 

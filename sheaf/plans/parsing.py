@@ -22,6 +22,10 @@ from sheaf.profiles.base import DETECT_CHARS, entry_problem
 _ENTRY_FIELDS = ("path", "content", "encoding", "is_binary", "eol_style")
 #: Bits of a place for the block in its part; those above hold the part's number.
 _PART_SHIFT = 20
+#: Mark on ``part_no``: each number of a bundle is one row, as ``assemble`` makes them.
+ONE_ROW = "one_row_a_part"
+#: So many ids of failed bundles go into a condition; more are joined.
+FAILED_IDS = 1000
 
 
 def _chooser(profiles: list[Profile], name: Column | None):
@@ -230,10 +234,22 @@ def _joined(parts: DataFrame) -> DataFrame:
     return parts.groupBy("bundle_id", "part_no").agg(*named, text.alias("text"))
 
 
-def _with_profile(parts: DataFrame, profile: str | None, registry: ProfileRegistry) -> DataFrame:
+def _apart(parts: DataFrame) -> bool:
+    """Are rows that ``assemble`` has made still one for each part number? They may have been united
+    since, so their keys are counted."""
+    if not parts.schema["part_no"].metadata.get(ONE_ROW):
+        return False
+    return parts.groupBy("bundle_id", "part_no").count().filter("count > 1").isEmpty()
+
+
+def _with_profile(parts: DataFrame, profile: str | None, registry: ProfileRegistry,
+                  apart: bool = False) -> DataFrame:
     """Every part, once, with its bundle's format: the given one, the one of its column, or the one that
-    the head of the first part shows, null if none."""
-    parts = _joined(parts)
+    the head of the first part shows, null if none. Texts of parts that are ``apart`` stay where they are."""
+    if apart:
+        parts = parts.withColumn("text", F.coalesce("text", F.lit("")))
+    else:
+        parts = _joined(parts)
     if profile is not None:
         return parts.withColumn("profile", F.lit(registry.get(profile).name))
     if "profile" in parts.columns:
@@ -352,18 +368,28 @@ def parse_parts(parts: DataFrame, profile: str | None = None,
     Repeats are settled by ``(bundle, path)``: for the last-wins format the rank filter already
     drops the losers before the shuffle. A bundle that fails is removed through the list of failed
     bundle ids; :func:`parse_errors` names it.
+
+    Parts as ``format_bundles`` makes them are not shuffled but for the blocks at their ends: the failed
+    bundles are found first, and repeats are ranked only where the format lets the last one win. In
+    the others they fail their bundle.
     """
     registry = registry or default_registry()
-    named = _with_profile(parts, profile, registry)
+    apart = _apart(parts)
+    named = _with_profile(parts, profile, registry, apart)
     entries = _entries_of_parts(named, registry)
     failed = _report_of_parts(named, registry).filter("problem IS NOT NULL").select("bundle_id")
-    newest = Window.partitionBy("bundle_id", "path").orderBy(F.desc("entry_idx"))
-    kept = (
-        entries.withColumn("__rank", F.row_number().over(newest))
-        .filter(F.col("__rank") == 1)
-        .drop("__rank")
-        .join(failed, "bundle_id", "left_anti")
-    )
+    if apart:
+        ids = [r.bundle_id for r in failed.filter("bundle_id IS NOT NULL").limit(FAILED_IDS + 1).collect()]
+        if len(ids) <= FAILED_IDS:
+            failed = None
+            entries = entries.filter(F.col("bundle_id").isNull() | ~F.col("bundle_id").isin(ids)) if ids else entries
+    if apart and profile is not None and registry.get(profile).duplicate_paths != "last":
+        kept = entries
+    else:
+        newest = Window.partitionBy("bundle_id", "path").orderBy(F.desc("entry_idx"))
+        kept = entries.withColumn("__rank", F.row_number().over(newest)).filter(F.col("__rank") == 1).drop("__rank")
+    if failed is not None:
+        kept = kept.join(failed, "bundle_id", "left_anti")
     return _as_entries(kept, "profile")
 
 
